@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -126,17 +128,18 @@ def account_parts(text: Column, patterns: dict[str, str] = ACCOUNT_PATTERNS) ->
     A part missing from the picked pattern, or a text without a match, gives ''.
     """
     names: list[str] = []
-    layouts = {}
+    layouts, bare = {}, {}
     for kind, pattern in patterns.items():
-        found = [p.split(">")[0] for p in pattern.split("(?<")[1:]]
+        found = re.findall(r"\(\?<(\w+)>", pattern)
+        bare[kind] = re.sub(r"\(\?<\w+>", "(", pattern)  # group names with "_" are not valid in the engine
         layouts[kind] = found
         names += [n for n in found if n not in names]
     out = {}
     for name in names:
         expr = None
-        for kind, pattern in patterns.items():
+        for kind in patterns:
             value = (
-                F.coalesce(F.regexp_extract(text, pattern, layouts[kind].index(name) + 1), F.lit(""))
+                F.coalesce(F.regexp_extract(text, bare[kind], layouts[kind].index(name) + 1), F.lit(""))
                 if name in layouts[kind] else F.lit("")
             )
             expr = F.when(text.endswith(kind), value) if expr is None else expr.when(text.endswith(kind), value)

@@ -6,7 +6,7 @@ import importlib
 
 from benefica.plans.registry import REGISTRY
 
-MODULES = ["fraud"]
+MODULES = ["fraud", "projections", "validation", "joins", "aggregates"]
 
 
 def load() -> dict:

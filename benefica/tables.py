@@ -121,6 +121,32 @@ DERIVED: dict[str, str] = {
                CASE WHEN o_orderkey % 61 = 0 THEN '' ELSE 'Support ' || o_orderpriority END AS narrative,
                CASE WHEN o_orderstatus = 'P' THEN 'CANCELLED' ELSE 'NOT_CANCELLED' END AS cancellation_status
         FROM {orders}""",
+    "envelope": """
+        SELECT envelope_id, 'P' || substr(max(envelope_id), 6, 1) AS program_mnemonic,
+               count(*) + CASE WHEN max(beneficiary_id) % 3 = 0 THEN 5 ELSE 0 END AS declared_n,
+               round(sum(quantity), 2) + CASE WHEN max(beneficiary_id) % 5 = 0 THEN 1000.0 ELSE 0.0 END
+                   AS declared_total,
+               CASE WHEN count(*) % 2 = 0 THEN DATE '2002-01-01' ELSE DATE '2002-02-01' END AS schedule_date,
+               CASE WHEN count(*) % 9 = 0 THEN 'CANCELLED' ELSE 'NOT_CANCELLED' END AS cancellation_status,
+               CASE count(*) % 4 WHEN 0 THEN 'PENDING_CHECK' WHEN 1 THEN 'FUNDS_NOT_AVAILABLE'
+                    ELSE 'FUNDS_AVAILABLE' END AS funds_status
+        FROM {disbursement} GROUP BY envelope_id""",
+    "geo_resolution": """
+        SELECT c_custkey AS beneficiary_id, n_nationkey AS zone_small, n_regionkey AS zone_large
+        FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey WHERE c_acctbal > -800""",
+    "statement_line": """
+        SELECT 'S' || CAST(l_suppkey AS STRING) || '-' || CAST(year(l_shipdate) * 100 + month(l_shipdate) AS STRING)
+                   AS statement_id, (year(l_shipdate) * 100 + month(l_shipdate)) * 1000000 + l_suppkey AS statement_order,
+               CASE WHEN l_linenumber = 7 THEN 'G' || CAST(l_partkey % 40 AS STRING)
+                    WHEN l_linenumber = 6 AND l_partkey % 4 = 0 THEN 'X' || CAST(l_orderkey AS STRING)
+                    ELSE 'D' || CAST(l_orderkey AS STRING) END AS reconciliation_id,
+               CASE WHEN l_returnflag = 'R' THEN 'RD' WHEN l_linenumber = 5 AND l_returnflag = 'N' THEN 'C' ELSE 'D' END
+                   AS indicator,
+               l_extendedprice AS amount, CAST(l_shipdate AS DATE) AS value_date,
+               'BK' || CAST(l_orderkey AS STRING) || 'L' || CAST(l_linenumber AS STRING) AS reference,
+               l_orderkey AS o1, l_linenumber AS o2, l_partkey AS o3, l_shipdate AS o4, l_extendedprice AS o5,
+               l_discount AS o6, l_tax AS o7, l_quantity AS o8
+        FROM {lineitem}""",
     "id_fa_mapping": """
         SELECT 'ID' || CAST(c_custkey AS STRING) AS id_value, c_custkey AS beneficiary_id,
                CASE WHEN c_custkey % 3 = 0 THEN
