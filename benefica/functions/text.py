@@ -89,14 +89,28 @@ def is_similar(a: Column, b: Column, threshold: float = TRIGRAM_THRESHOLD) -> Co
 
 # --- markup ---------------------------------------------------------------------------------------------------
 
+# One piece of markup: raw script or style, comment, tag, or text up to the next "<".
+MARKUP = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[!/?a-z][^>]*>|[^<]+|<"
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"),
+            ("&copy;", "\u00a9"), ("&eacute;", "\u00e9"), ("&mdash;", "\u2014"), ("&hellip;", "\u2026"), ("&middot;", "\u00b7"),
+            ("&amp;", "&"), ("&amp", "&")]
+BLANKS = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
 def text_from_html(html: Column, max_words: int | None = None, max_chars: int | None = None,
-                   ellipsis: str = "…") -> Column:
+                   ellipsis: str = "\u2026") -> Column:
     """All text nodes joined, blanks squeezed, cut to words and characters; missing markup gives ''."""
-    text = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?s)<!--.*?-->|<[!/?a-zA-Z][^>]*>", "")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "),
-                         ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    words = F.filter(F.split(text, r"[\s ]+"), lambda w: F.length(w) > 0)
+    def piece(p: Column) -> Column:
+        text = p
+        for entity, char in ENTITIES:
+            text = F.replace(text, F.lit(entity), F.lit(char))
+        raw = F.regexp_replace(p, r"(?is)^<[^>]*>|</(?:script|style)\s*>$", "")
+        return (F.when(F.regexp(p, F.lit(r"(?is)^<(?:script|style)\b.*</(?:script|style)\s*>$")), raw)
+                .when(p.startswith("<") & (p != "<"), F.lit("")).otherwise(text))
+
+    pieces = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(MARKUP), F.lit(0))
+    text = F.array_join(F.transform(pieces, piece), "")
+    words = F.filter(F.split(text, BLANKS), lambda w: F.length(w) > 0)
     cut = F.lit(False)
     if max_words:
         cut = F.size(words) > max_words
@@ -104,8 +118,7 @@ def text_from_html(html: Column, max_words: int | None = None, max_chars: int |
     out = F.array_join(words, " ")
     if max_chars:
         cut = cut | (F.length(out) > max_chars)
-        out = F.trim(F.when(cut, F.substring(out, 1, max_chars - len(ellipsis))).otherwise(
-            F.substring(out, 1, max_chars)))
+        out = F.trim(F.when(cut, F.substring(out, 1, max_chars - len(ellipsis))).otherwise(out))
     return F.concat(out, F.when(cut, ellipsis).otherwise(""))
 
 
@@ -117,7 +130,7 @@ def e164(phone: Column, country_code: str, trunk: str = "0") -> Column:
     national = F.regexp_replace(bare, f"^{trunk}+", "")
     return (
         F.when(bare.startswith("+"), F.concat(F.lit("+"), F.regexp_replace(bare, r"[^0-9]", "")))
-        .when(bare.startswith("00"), F.concat(F.lit("+"), F.substring(bare, 3, 30)))
+        .when(bare.startswith("00") & (F.length(bare) > 2), F.concat(F.lit("+"), F.substring(bare, 3, 30)))
         .when(F.length(national) > 0, F.concat(F.lit(f"+{country_code}"), national))
     )
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from benefica.scale import stage
@@ -79,39 +79,35 @@ def pagerank(nodes: DataFrame, weights: Mapping[str, float], rounds: int = 100,
         "id", F.xxhash64("subset").alias("subset"), "key",
         (F.col("sign") * F.col("min_weight")).alias("coef"), "sign", "n"), "incidence")
     links = groups.groupBy("id").agg(F.sum(F.expr("sign * (n - 1)")).alias("degree"),
-                                     F.sum(F.expr("coef * (n - 1)")).alias("strength"))
+                                     F.sum(F.expr("coef * (n - 1)")).alias("strength"),
+                                     F.sum("coef").alias("own"))
     base = stage(
-        nodes.select(F.col(id_column).alias("id")).join(links, "id", "left").select(
-            "id", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("strength", F.lit(0.0)).alias("strength")),
-        "nodes")
-    n = base.count()
-    if n == 0:
-        return base.select("id", F.lit(0.0).alias("rank"), "degree")
-    ranks = base.withColumn("rank", F.lit(1.0 / n))
-    own = groups.groupBy("id").agg(F.sum("coef").alias("own"))
-    base_own = stage(base.join(own, "id", "left").na.fill(0.0, ["own"]), "nodes")
-    ranks = base_own.withColumn("rank", F.lit(1.0 / n))
+        nodes.select(F.col(id_column).alias("id")).join(links, "id", "left").na.fill(
+            0, ["degree"]).na.fill(0.0, ["strength", "own"]), "nodes")
+    n, loose_nodes = base.agg(F.count(F.lit(1)), F.count_if(F.col("degree") == 0)).first()
+    # Nodes without a neighbour all hold the same rank, so their part is one number.
+    loose_rank = 1.0 / n if n else 0.0
+    ranks = base.withColumn("rank", F.lit(loose_rank))
     for i in range(rounds):
         share = F.when(F.col("degree") > 0, F.col("rank") / F.col("strength")).otherwise(0.0)
-        shared = ranks.select("id", "degree", "strength", "own", "rank", share.alias("share"))
+        shared = ranks.withColumn("share", share)
         # Rows carry their key, so a hot group is first summed inside every task.
-        placed = groups.select("id", "subset", "key", "coef").join(shared.select("id", "share"), "id")
+        placed = groups.join(shared.select("id", "share"), "id")
         sums = placed.groupBy("subset", "key").agg(F.sum("share").alias("total"))
-        received = groups.select("id", "subset", "key", "coef").join(sums, ["subset", "key"]).groupBy("id").agg(
+        received = groups.join(sums, ["subset", "key"]).groupBy("id").agg(
             F.sum(F.col("coef") * F.col("total")).alias("received"))
-        loose = ranks.where("degree = 0").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose"))
         inflow = F.coalesce("received", F.lit(0.0)) - F.col("own") * F.col("share")
-        new = damping * inflow + F.lit((1 - damping) / n) + damping * F.col("loose") / n
-        # ``loose`` is a single row: attached by a one-row broadcast.
-        step = shared.join(received, "id", "left").join(F.broadcast(loose)).select(
-            "id", "degree", "strength", "own", F.col("rank").alias("old"), new.alias("rank"))
+        everywhere = ((1 - damping) + damping * loose_nodes * loose_rank) / max(n, 1)
+        step = shared.join(received, "id", "left").select(
+            "id", "degree", "strength", "own", F.col("rank").alias("old"), (damping * inflow + everywhere).alias("rank"))
+        loose_rank = everywhere
         last = i == rounds - 1
         if last or (i + 1) % stage_every == 0:
             step = stage(step, "ranks")
-            if last or step.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] < n * tolerance:
-                return step.select("id", "rank", "degree")
+            if last or (step.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0) < n * tolerance:
+                break
         ranks = step.drop("old")
-    return ranks.select("id", "rank", "degree")
+    return step.select("id", "rank", "degree")
 
 
 def graph_risk(ranked: DataFrame, n_nodes: int) -> DataFrame:
@@ -129,8 +125,6 @@ def first_neighbours(nodes: DataFrame, weights: Mapping[str, float], k: int = 5,
     smallest others of everyone in it.  Spark limits the ranked groups before
     the shuffle, so a group never travels whole.
     """
-    from pyspark.sql import Window
-
     attributes = [a for a in weights if a in nodes.columns]
     member = nodes.select(F.col(id_column).alias("id"), F.inline(F.filter(F.array(*[
         F.when(F.col(a).isNotNull(), F.struct(F.lit(a).alias("attribute"), F.col(a).cast("string").alias("value")))

@@ -6,7 +6,8 @@ import importlib
 
 from benefica.plans.registry import REGISTRY
 
-MODULES = ["fraud", "projections", "validation", "joins", "aggregates"]
+MODULES = ["fraud", "projections", "validation", "joins", "aggregates", "ordering", "scalars",
+           "resolution", "graphs"]
 
 
 def load() -> dict:
