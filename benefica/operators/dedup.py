@@ -114,10 +114,10 @@ def fuzzy_duplicates(df: DataFrame, key: str, text_field: str, text_weight: floa
     Score = text_weight x trigram similarity + the weights of equal exact fields.
     Equal tuples are merged first (a tuple meeting itself is a full match and
     shows as its number of records), so repeated values never multiply.  A pair
-    can only reach the threshold with a smallest set of equal exact fields and a
-    text similarity s; texts that similar share one of their rarest
-    |grams| - ceil(s x |grams|) + 1 trigrams.  Candidates are therefore joined on
-    (exact fields, rare trigram): no pair that could qualify is left out.
+    whose equal fields are E reaches the threshold only with a text similarity of
+    s = (threshold - weight of E) / text_weight, and texts that similar share one
+    of their rarest |grams| - ceil(s x |grams|) + 1 trigrams.  For every E that
+    can qualify, candidates are joined on (E, rare trigram): none is left out.
     """
     fields = [text_field, *exact]
     tuples = df.groupBy(*fields).agg(F.min(key).alias("rep"), F.count(F.lit(1)).alias("records")).withColumn(
@@ -127,15 +127,13 @@ def fuzzy_duplicates(df: DataFrame, key: str, text_field: str, text_weight: floa
         F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("rare"))
     rows = tuples.join(ranked, "rep")
 
-    needed: list[tuple[str, ...]] = []
-    for size in range(len(exact) + 1):
-        for chosen in combinations(exact, size):
-            others = [n for n in needed if set(n) <= set(chosen)]
-            if not others and text_weight + sum(exact[c] for c in chosen) >= threshold - 1e-12:
-                needed.append(chosen)
     found = None
-    for chosen in needed:
-        least = max((threshold - sum(exact.values())) / text_weight, 1e-9)
+    subsets = [c for size in range(len(exact) + 1) for c in combinations(exact, size)]
+    for chosen in subsets:
+        # A pair whose equal fields are these needs at least this text similarity.
+        least = max((threshold - sum(exact[c] for c in chosen)) / text_weight, 1e-9)
+        if least > 1 + 1e-12:
+            continue
         size = F.size("grams")
         keep = size - F.ceil(size * least - 1e-9) + 1
         indexed = rows.select("rep", "records", "grams", *fields, F.explode(
