@@ -7,7 +7,7 @@ import importlib
 from benefica.plans.registry import REGISTRY
 
 MODULES = ["fraud", "projections", "validation", "joins", "aggregates", "ordering", "scalars",
-           "resolution", "graphs", "learning"]
+           "resolution", "graphs", "learning", "exchange", "streams"]
 
 
 def load() -> dict:

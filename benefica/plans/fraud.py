@@ -330,7 +330,7 @@ def _(t):
 
 def scored(t, full=False):
     """Scores with the payment gap standing in for the model, so that the blend can be checked in SQL."""
-    df = light_features(t).withColumn("ml_score", F.col("payment_gap_ratio")).withColumn(
+    df = (features_of(t) if full else light_features(t)).withColumn("ml_score", F.col("payment_gap_ratio")).withColumn(
         "prediction", (F.col("ml_score") >= 0.5).cast("int"))
     df = df.withColumn("rule_s", scoring.heuristic_rule_score()).withColumn(
         "graph_s", scoring.heuristic_graph_score())

@@ -126,10 +126,15 @@ def chunked_lists(
     """Whole groups as numbered lists of at most ``size`` values: (keys, chunk, n, list)."""
     order = list(order or [F.col(value)])
     placed = running(df, keys, order, position="_position", hot_rows=hot_rows)
+    pairs = F.collect_list(F.struct("_position", value))
+    if "map<" in df.schema[value].dataType.simpleString():  # maps have no order of their own
+        pairs = F.array_sort(pairs, lambda a, b: (a["_position"] - b["_position"]).cast("int"))
+    else:
+        pairs = F.array_sort(pairs)
     return (
         placed.withColumn("chunk", F.floor((F.col("_position") - 1) / size).cast("long"))
         .groupBy(*keys, "chunk")
-        .agg(F.array_sort(F.collect_list(F.struct("_position", value))).alias("_pairs"))
+        .agg(pairs.alias("_pairs"))
         .select(*keys, "chunk", F.size("_pairs").cast("long").alias("n"), F.col(f"_pairs.{value}").alias(name))
     )
 
