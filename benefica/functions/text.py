@@ -140,26 +140,27 @@ def account_parts(text: Column, patterns: dict[str, str] = ACCOUNT_PATTERNS) ->
 
     A part missing from the picked pattern, or a text without a match, gives ''.
     """
-    names: list[str] = []
-    layouts, bare = {}, {}
+    layouts = {k: re.findall(r"\(\?<(\w+)>", p) for k, p in patterns.items()}
+    found = None
     for kind, pattern in patterns.items():
-        found = re.findall(r"\(\?<(\w+)>", pattern)
-        bare[kind] = re.sub(r"\(\?<\w+>", "(", pattern)  # group names with "_" are not valid in the engine
-        layouts[kind] = found
-        names += [n for n in found if n not in names]
+        groups = matched_groups(text, re.sub(r"\(\?<\w+>", "(", pattern), len(layouts[kind]))
+        found = F.when(text.endswith(kind), groups) if found is None else found.when(text.endswith(kind), groups)
     out = {}
-    for name in names:
-        expr = None
-        for kind in patterns:
-            value = (
-                F.coalesce(F.regexp_extract(text, bare[kind], layouts[kind].index(name) + 1), F.lit(""))
-                if name in layouts[kind] else F.lit("")
-            )
-            expr = F.when(text.endswith(kind), value) if expr is None else expr.when(text.endswith(kind), value)
-        out[name] = expr.otherwise(F.lit(""))
+    for name in dict.fromkeys(n for names in layouts.values() for n in names):
+        place = None
+        for kind, names in layouts.items():
+            at = names.index(name) if name in names else -1
+            place = F.when(text.endswith(kind), at) if place is None else place.when(text.endswith(kind), at)
+        out[name] = F.coalesce(F.get(found, place), F.lit(""))
     return out
 
 
+def matched_groups(text: Column, pattern: str, n: int) -> Column:
+    """All groups of an anchored pattern from one match, as an array; NULL where it does not match."""
+    marked = F.regexp_replace(text, pattern, "\x02" + "\x01".join(f"${i}" for i in range(1, n + 1)))
+    return F.when(marked.startswith("\x02"), F.split(F.substring(marked, 2, 1_000_000_000), "\x01"))
+
+
 def from_template(template: str, values: dict[str, Column]) -> Column:
     """Fill ``{key}`` places; a NULL value makes the result NULL, an unknown key is an error."""
     parts: list[Column] = []

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from benefica.functions.text import similarity, trigrams
+from benefica.scale import stage
 
 
 def valid_documents(reg_id: DataFrame, as_of: Column, id_types: Sequence[str]) -> DataFrame:
@@ -113,46 +114,61 @@ def fuzzy_duplicates(df: DataFrame, key: str, text_field: str, text_weight: floa
 
     Score = text_weight x trigram similarity + the weights of equal exact fields.
     Equal tuples are merged first (a tuple meeting itself is a full match and
-    shows as its number of records), so repeated values never multiply.  A pair
-    whose equal fields are E reaches the threshold only with a text similarity of
-    s = (threshold - weight of E) / text_weight, and texts that similar share one
-    of their rarest |grams| - ceil(s x |grams|) + 1 trigrams.  For every E that
-    can qualify, candidates are joined on (E, rare trigram): none is left out.
+    shows as its number of records), so repeated values never multiply.  Texts
+    are compared once per distinct text; a pair whose equal fields are E needs a
+    similarity of (threshold - weight of E) / text_weight, so tuples are joined
+    on (near text, E) for every E that can qualify: no pair is left out.
     """
-    fields = [text_field, *exact]
-    tuples = df.groupBy(*fields).agg(F.min(key).alias("rep"), F.count(F.lit(1)).alias("records")).withColumn(
-        "grams", trigrams(F.col(text_field)))
-    frequency = tuples.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    ranked = tuples.select("rep", F.explode("grams").alias("gram")).join(frequency, "gram").groupBy("rep").agg(
-        F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("rare"))
-    rows = tuples.join(ranked, "rep")
-
-    found = None
     subsets = [c for size in range(len(exact) + 1) for c in combinations(exact, size)]
-    for chosen in subsets:
-        # A pair whose equal fields are these needs at least this text similarity.
-        least = max((threshold - sum(exact[c] for c in chosen)) / text_weight, 1e-9)
-        if least > 1 + 1e-12:
-            continue
-        size = F.size("grams")
-        keep = size - F.ceil(size * least - 1e-9) + 1
-        indexed = rows.select("rep", "records", "grams", *fields, F.explode(
-            F.slice("rare", 1, F.greatest(keep, F.lit(1)).cast("int"))).alias("entry")).withColumn("gram", F.col("entry.gram"))
-        a = indexed.select(*[F.col(c).alias(f"a_{c}") for c in ("rep", "records", "grams", "gram", *fields)])
-        b = indexed.select(*[F.col(c).alias(f"b_{c}") for c in ("rep", "records", "grams", "gram", *fields)])
-        on = (F.col("a_gram") == F.col("b_gram")) & (F.col("a_rep") < F.col("b_rep"))
+    least = {c: (threshold - sum(exact[f] for f in c)) / text_weight for c in subsets}
+    least = {c: max(s, 1e-9) for c, s in least.items() if s <= 1 + 1e-12}
+    if not least:
+        raise ValueError("the weights cannot reach the threshold")
+    tuples = df.groupBy(text_field, *exact).agg(F.min(key).alias("rep"), F.count(F.lit(1)).alias("records"))
+    texts = stage(similar_texts(tuples.select(text_field).where(F.col(text_field).isNotNull()).distinct(), text_field,
+                                min(least.values())), "texts")
+    side = lambda p: tuples.select(*[F.col(c).alias(f"{p}_{c}") for c in ("rep", "records", text_field, *exact)])
+    found = None
+    for chosen, s in least.items():
+        on = (F.col("text_b") == F.col(f"b_{text_field}")) & (F.col("a_rep") < F.col("b_rep"))
         for c in chosen:
             on = on & (F.col(f"a_{c}") == F.col(f"b_{c}"))
-        score = text_weight * similarity(F.col("a_grams"), F.col("b_grams"))
+        score = text_weight * F.col("similarity")
         for c, w in exact.items():
-            score = score + F.when(F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")), w).otherwise(0.0)
-        pairs = a.join(b, on).select(F.col("a_rep").alias("rep_a"), F.col("b_rep").alias("rep_b"), score.alias("score"),
-                                     (F.col("a_records") + F.col("b_records")).alias("records")).where(
-            F.col("score") >= threshold - 1e-12)
+            score = score + F.when(F.col(f"a_{c}") == F.col(f"b_{c}"), w).otherwise(0.0)
+        near = texts.where(F.col("similarity") >= s - 1e-12)
+        pairs = side("a").join(near, F.col(f"a_{text_field}") == F.col("text_a")).join(side("b"), on).select(
+            F.col("a_rep").alias("rep_a"), F.col("b_rep").alias("rep_b"), score.alias("score"),
+            (F.col("a_records") + F.col("b_records")).alias("records"))
+        # A pair is reported once, by the largest field set it agrees on.
+        for c in exact:
+            if c not in chosen:
+                pairs = pairs.where(~F.coalesce(F.col(f"a_{c}") == F.col(f"b_{c}"), F.lit(False)))
         found = pairs if found is None else found.unionByName(pairs)
-    if found is None:
-        raise ValueError("the weights cannot reach the threshold")
-    return found.distinct()
+    return found.where(F.col("score") >= threshold - 1e-12)
+
+
+def similar_texts(texts: DataFrame, name: str, least: float) -> DataFrame:
+    """(text_a, text_b, similarity) in both directions, each text with itself included.
+
+    Two texts that similar share one of their rarest |grams| - ceil(least x |grams|) + 1
+    trigrams, so only those are joined on.
+    """
+    grams = texts.select(F.col(name).alias("text"), trigrams(F.col(name)).alias("grams"))
+    frequency = grams.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    ranked = grams.select("text", "grams", F.explode("grams").alias("gram")).join(frequency, "gram").groupBy("text").agg(
+        F.first("grams").alias("grams"), F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("rare"))
+    size = F.size("grams")
+    keep = F.greatest(size - F.ceil(size * least - 1e-9) + 1, F.lit(1)).cast("int")
+    indexed = ranked.select("text", "grams", F.explode(F.slice("rare.gram", 1, keep)).alias("gram"))
+    a = indexed.select(F.col("text").alias("text_a"), F.col("grams").alias("grams_a"), "gram")
+    b = indexed.select(F.col("text").alias("text_b"), F.col("grams").alias("grams_b"), "gram")
+    met = a.join(b, "gram").where("text_a < text_b").drop("gram").dropDuplicates(["text_a", "text_b"])
+    near = met.select("text_a", "text_b", similarity(F.col("grams_a"), F.col("grams_b")).alias("similarity")).where(
+        F.col("similarity") >= least - 1e-12)
+    same = texts.select(F.col(name).alias("text_a"), F.col(name).alias("text_b"), F.lit(1.0).alias("similarity"))
+    back = near.select(F.col("text_b").alias("text_a"), F.col("text_a").alias("text_b"), "similarity")
+    return near.unionByName(back).unionByName(same)
 
 
 # --- upsert by identifier -------------------------------------------------------------------------------------

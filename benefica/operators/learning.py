@@ -78,7 +78,8 @@ def classifier(kind: str, n: int, seed: int = 42, **overrides):
             "regParam": 1.0 / (0.1 * max(n, 1)), "maxIter": 800, "standardization": False, **overrides})
     if kind == "random_forest":
         return RandomForestClassifier(**common, weightCol="weight", seed=seed, **{
-            "numTrees": 200, "maxDepth": 8, "minInstancesPerNode": 10, "featureSubsetStrategy": "sqrt", **overrides})
+            "numTrees": 200, "maxDepth": 8, "minInstancesPerNode": 10, "featureSubsetStrategy": "sqrt",
+            "maxMemoryInMB": 1024, **overrides})
     if kind == "gradient_boosting":
         return GBTClassifier(**common, seed=seed, **{
             "maxIter": 200, "maxDepth": 4, "stepSize": 0.05, "subsamplingRate": 0.9, **overrides})

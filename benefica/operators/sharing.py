@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from benefica.scale import stage
+
 
 def other_owners(pairs: DataFrame, owner: str, value: str, strict: bool = True, wide: int = 8) -> DataFrame:
     """(owner, shared_count) for every owner that shares at least one value.
@@ -17,10 +19,11 @@ def other_owners(pairs: DataFrame, owner: str, value: str, strict: bool = True,
     own = pairs.select(F.col(owner).alias("_o"), F.col(value).alias("_v")).where(
         "_o IS NOT NULL AND _v IS NOT NULL").distinct()
     first = Window.partitionBy("_o").orderBy("_v")
-    lists = (
+    # Never more than wide + 1 values per owner travel on; the lists are written once
+    # because the check for wide owners and the counting both read them.
+    lists = stage(
         own.withColumn("_i", F.row_number().over(first)).where(F.col("_i") <= wide + 1)
-        .groupBy("_o").agg(F.array_sort(F.collect_list("_v")).alias("_vs"))
-    )
+        .groupBy("_o").agg(F.array_sort(F.collect_list("_v")).alias("_vs")), "values")
 
     masks = F.expr("explode(sequence(1, shiftleft(1, size(_vs)) - 1)) AS _mask")
     subsets = lists.where(F.size("_vs") <= wide).select("_o", "_vs", masks).select(
@@ -29,17 +32,21 @@ def other_owners(pairs: DataFrame, owner: str, value: str, strict: bool = True,
         F.when(F.bit_count("_mask") % 2 == 1, 1).otherwise(-1).alias("_sign"),
     )
     groups = subsets.groupBy("_s").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    among_narrow = subsets.join(groups, "_s").select("_o", F.expr("_sign * (_n - 1)").alias("_c"))
+    met = subsets.join(groups, "_s").select("_o", F.expr("_sign * (_n - 1)").alias("_c"))
+
+    if not lists.where(F.size("_vs") > wide).isEmpty():
+        met = met.unionByName(_met_through_wide_owners(own, lists.where(F.size("_vs") > wide).select("_o")))
+    total = met.groupBy("_o").agg(F.sum("_c").alias("_c"))
+    n = F.col("_c") - 1 if strict else F.col("_c")
+    return total.where("_c > 0").select(F.col("_o").alias(owner), n.cast("long").alias("shared_count"))
+
 
-    wide_ids = lists.where(F.size("_vs") > wide).select(F.col("_o").alias("_w"))
-    wide_rows = own.join(wide_ids, F.col("_o") == F.col("_w"), "left_semi").select(F.col("_o").alias("_w"), "_v")
+def _met_through_wide_owners(own: DataFrame, wide_ids: DataFrame) -> DataFrame:
+    """(_o, _c) rows to add: all others of a wide owner, and for a narrow owner the wide owners it met."""
+    wide_rows = own.join(wide_ids, "_o", "left_semi").select(F.col("_o").alias("_w"), "_v")
     met = (
         wide_rows.join(own, "_v").where("_w <> _o").select("_w", "_o").distinct()
-        .join(wide_ids.withColumnRenamed("_w", "_x"), F.col("_o") == F.col("_x"), "left")
+        .join(wide_ids.select(F.col("_o").alias("_x")), F.col("_o") == F.col("_x"), "left")
     )
-    # A wide owner gets its count from its own rows; a narrow one adds the wide owners it met.
-    with_wide = met.select(F.explode(F.when(F.col("_x").isNull(), F.array("_w", "_o")).otherwise(F.array("_w")))
-                           .alias("_o"), F.lit(1).cast("long").alias("_c"))
-    total = among_narrow.unionByName(with_wide).groupBy("_o").agg(F.sum("_c").alias("_c"))
-    n = F.col("_c") - 1 if strict else F.col("_c")
-    return total.where("_c > 0").select(F.col("_o").alias(owner), n.cast("long").alias("shared_count"))
+    counted = F.when(F.col("_x").isNull(), F.array("_w", "_o")).otherwise(F.array("_w"))
+    return met.select(F.explode(counted).alias("_o"), F.lit(1).cast("long").alias("_c"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from benefica.operators import eligibility, households, payments, programs, records
 from benefica.plans.projections import AFTER, after_image
 from benefica.plans.registry import query
+from benefica.scale import running
 from benefica.sources import statements
 
 AS_OF = F.lit("2002-01-01").cast("date")
@@ -281,8 +282,12 @@ def parsed(t):
         "statement_order", order[1].cast("long") * 1000000 + F.substring(order[0], 2, 20).cast("long"))
 
 
+def numbered_lines(t):
+    return running(t.statement_line, ["statement_id"], [F.col(c) for c in ORDER], position="entry_sequence")
+
+
 def judged(t):
-    return payments.reconcile(parsed(t), t.disbursement, geo_batches(t))
+    return payments.reconcile(numbered_lines(t), t.disbursement, geo_batches(t))
 
 
 @query("a08_statement_transactions", f"""

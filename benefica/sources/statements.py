@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ENTRY = r"^:61:(\d{6})(\d{4})?(R?[DC])([A-Z])?(\d+,\d*)([A-Z][A-Z0-9]{3})([^/\n]*)(?://([^\n]*))?"
+from benefica.functions.text import matched_groups
+
+# Value date, indicator, amount, customer reference, bank reference.
+ENTRY = r"^:61:(\d{6})(?:\d{4})?(R?[DC])[A-Z]?(\d+,\d*)[A-Z][A-Z0-9]{3}((?:(?!//).)*)(?://(.*))?$"
 
 
 def read_statements(spark: SparkSession, path: str) -> DataFrame:
@@ -37,14 +40,16 @@ def transactions(statements: DataFrame) -> DataFrame:
     blocks = F.split(text, r"\n(?=:61:)")
     entries = statements.select("statement_id", F.posexplode(F.slice(blocks, 2, F.greatest(
         F.size(blocks) - 1, F.lit(0)))).alias("place", "block"))
-    part = lambda i: F.regexp_extract("block", ENTRY, i)
-    narrative = F.regexp_extract("block", r"(?s)\n:86:(.*?)(?:\n:\d{2}[A-Z]?:.*|\n-.*|)$", 1)
-    return entries.select(
+    fields = matched_groups(F.substring_index("block", "\n", 1), ENTRY, 5)
+    narrative = F.get(F.split("block", "\n:86:", 2), F.lit(1))
+    part = lambda i: F.get("f", F.lit(i))
+    return entries.select("statement_id", "place", fields.alias("f"), narrative.alias("n")).select(
         "statement_id", (F.col("place") + 1).cast("long").alias("entry_sequence"),
-        F.to_date(F.concat(F.lit("20"), part(1)), "yyyyMMdd").alias("value_date"),
-        part(3).alias("indicator"), F.replace(part(5), F.lit(","), F.lit(".")).try_cast("double").alias("amount"),
-        F.trim(part(7)).alias("reconciliation_id"), part(8).alias("bank_reference"),
-        F.trim(F.regexp_replace(narrative, r"\n", " ")).alias("narrative"))
+        F.to_date(F.concat(F.lit("20"), part(0)), "yyyyMMdd").alias("value_date"),
+        part(1).alias("indicator"), F.replace(part(2), F.lit(","), F.lit(".")).try_cast("double").alias("amount"),
+        F.trim(part(3)).alias("reconciliation_id"), F.coalesce(part(4), F.lit("")).alias("bank_reference"),
+        F.trim(F.replace(F.regexp_replace("n", r"(?s)\n(?::\d{2}[A-Z]?:|-).*$", ""), F.lit("\n"), F.lit(" ")))
+        .alias("narrative"))
 
 
 def account_check(headers_: DataFrame, sponsor_accounts: DataFrame) -> DataFrame:

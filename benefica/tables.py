@@ -136,7 +136,8 @@ DERIVED: dict[str, str] = {
         FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey WHERE c_acctbal > -800""",
     "statement_line": """
         SELECT 'S' || CAST(l_suppkey AS STRING) || '-' || CAST(year(l_shipdate) * 100 + month(l_shipdate) AS STRING)
-                   AS statement_id, (year(l_shipdate) * 100 + month(l_shipdate)) * 1000000 + l_suppkey AS statement_order,
+                   AS statement_id, CAST(year(l_shipdate) * 100 + month(l_shipdate) AS BIGINT) * 1000000 + l_suppkey
+                   AS statement_order,
                CASE WHEN l_linenumber = 7 THEN 'G' || CAST(l_partkey % 40 AS STRING)
                     WHEN l_linenumber = 6 AND l_partkey % 4 = 0 THEN 'X' || CAST(l_orderkey AS STRING)
                     ELSE 'D' || CAST(l_orderkey AS STRING) END AS reconciliation_id,
