@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ast
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -19,6 +20,14 @@ class Relation:
     foreign: str
 
 
+def parse_domain(text: str) -> list:
+    """Domain given as text; only literals are read."""
+    domain = ast.literal_eval(text or "[]")
+    if not isinstance(domain, list):
+        raise ValueError("a domain is a list")
+    return domain
+
+
 def leaf_column(name: str, op: str, value) -> Column:
     """One condition.  An empty value means "not set"; negative operators keep rows that are not set."""
     c = F.col(name)

@@ -44,6 +44,20 @@ def reimbursement_manager() -> Manager:
         (F.col("supplier_rank") > 0) & ~F.col("is_group") & ~F.coalesce("is_registrant", F.lit(False)))
 
 
+# Managers a program may name in its settings; each entry builds one from the tables and its options.
+MANAGERS: dict[str, Callable[..., Manager]] = {
+    "default": lambda tables, as_of, **o: default_manager(o.get("target", "individual"), o.get("domain", ())),
+    "id_document": lambda tables, as_of, **o: id_document_manager(tables.reg_id, as_of, o.get("id_types", ())),
+    "phone": lambda tables, as_of, **o: phone_manager(tables.phone_number),
+    "reimbursement": lambda tables, as_of, **o: reimbursement_manager(),
+}
+
+
+def chosen_managers(settings: Sequence[dict], tables, as_of: Column) -> list[Manager]:
+    """Managers by name: {"kind": ..., options}; own managers can be added to MANAGERS."""
+    return [MANAGERS[s["kind"]](tables, as_of, **{k: v for k, v in s.items() if k != "kind"}) for s in settings]
+
+
 def chain(registrants: DataFrame, managers: Sequence[Manager]) -> DataFrame:
     """Every manager narrows what the one before it left."""
     for m in managers:

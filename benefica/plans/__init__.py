@@ -7,7 +7,8 @@ import importlib
 from benefica.plans.registry import REGISTRY
 
 MODULES = ["fraud", "projections", "validation", "joins", "aggregates", "ordering", "scalars",
-           "resolution", "graphs", "learning", "exchange", "streams"]
+           "resolution", "graphs", "learning", "exchange", "streams",
+           "surfaces"]
 
 
 def load() -> dict:

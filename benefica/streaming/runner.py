@@ -35,17 +35,20 @@ class KeyedTable:
 
     A batch reads the version before it and writes its own folder, so a batch
     that is run again after a failure replaces its half-written result and gives
-    the same table.  ``keep`` old versions are kept for readers.
+    the same table.  The last ``keep`` versions stay for readers and repeats.
     """
 
-    def __init__(self, spark: SparkSession, schema: str | StructType, path: str | None = None):
-        self.spark, self.schema = spark, schema
+    def __init__(self, spark: SparkSession, schema: str | StructType, path: str | None = None, keep: int = 3):
+        self.spark, self.schema, self.keep = spark, schema, keep
         self.path = path or staging_path(spark, "table")
 
+    def _fs(self):
+        sc = self.spark.sparkContext
+        return sc._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(sc._jsc.hadoopConfiguration())
+
     def _versions(self) -> list[int]:
         jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        root, fs = jvm.org.apache.hadoop.fs.Path(self.path), self._fs()
         if not fs.exists(root):
             return []
         found = [f.getPath() for f in fs.listStatus(root)]
@@ -60,6 +63,8 @@ class KeyedTable:
 
     def write(self, df: DataFrame, version: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/v{version}")
+        for old in [v for v in self._versions() if v <= version][: -self.keep]:
+            self._fs().delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{old}"), True)
 
     def latest(self) -> DataFrame:
         return self.before(1 << 62)
