@@ -187,7 +187,7 @@ def fit_isolation_forest(df: DataFrame, key: str, columns: Sequence[str], trees:
     """Trees grown in parallel, each from ``sample`` rows; returns at most trees x 2 x sample node rows.
 
     A hash keeps about 400 x sample rows of a large table, and a second one keeps
-    about four times the rows each tree needs, so no step grows with the table.
+    somewhat more rows than each tree needs, so no step grows with the table.
     """
     n = df.count()
     pool = df.select(F.col(key).alias("_k"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
@@ -199,8 +199,8 @@ def fit_isolation_forest(df: DataFrame, key: str, columns: Sequence[str], trees:
         pool = pool.where(keep(F.col("_k"), share=400 * sample / n))
         n = 400 * sample
     drawn = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    if n > 4 * sample:
-        drawn = drawn.where(keep(F.col("_k"), F.col("tree"), share=4 * sample / n))
+    if n > 1.6 * sample:
+        drawn = drawn.where(keep(F.col("_k"), F.col("tree"), share=1.6 * sample / n))
     names = list(columns)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -11,7 +11,8 @@ from benefica.plans.joins import MEMBERS
 from benefica.plans.registry import query
 from benefica.scale import chunked_lists
 
-AS_OF = F.lit("2002-01-01").cast("date")
+def as_of():
+    return F.lit("2002-01-01").cast("date")
 CODES = {"Male": "M", "Female": "F"}
 PEOPLE = "registrant WHERE is_registrant AND active"
 AGE = "date_part('year', age(DATE '2002-01-01', birthdate))"
@@ -61,7 +62,7 @@ def _(t):
         AS from_41, count(*) FILTER ({AGE} > 50) AS above_50 FROM {PEOPLE} AND NOT is_group GROUP BY 1""")
 def _(t):
     a = "age_distribution"
-    return dashboards.age_distribution(t.registrant, AS_OF).select(
+    return dashboards.age_distribution(t.registrant, as_of()).select(
         "company_id", f"{a}.below_18", F.col(f"{a}.18_to_30").alias("from_18"), F.col(f"{a}.31_to_40").alias("from_31"),
         F.col(f"{a}.41_to_50").alias("from_41"), f"{a}.above_50")
 
@@ -86,7 +87,7 @@ def _(t):
     FROM c LEFT JOIN tot USING (company_id) LEFT JOIN spec USING (company_id) LEFT JOIN ages USING (company_id)""")
 def _(t):
     companies = t.nation.select((F.col("n_nationkey") % 6).alias("company_id")).distinct()
-    d = dashboards.dashboard(t.registrant, companies, CODES, AS_OF)
+    d = dashboards.dashboard(t.registrant, companies, CODES, as_of())
     genders = F.array_join(F.transform(F.array_sort(F.map_entries("gender_spec")), lambda e: F.concat(
         e.key, F.lit("="), e.value.cast("string"))), ",")
     return d.select("company_id", "total_individuals", "total_groups", genders.alias("genders"),

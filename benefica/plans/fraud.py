@@ -12,7 +12,8 @@ from benefica.functions import scoring
 from benefica.operators import features, rules, validation
 from benefica.plans.registry import query
 
-AS_OF = F.lit("2002-01-01").cast("date")
+def as_of():
+    return F.lit("2002-01-01").cast("date")
 
 BASE = f"""base AS (
     SELECT partner_id, coalesce(CAST(date_part('year', age(DATE '2002-01-01', birthdate)) AS INT), 35) AS age,
@@ -99,7 +100,7 @@ def level_sql(score: str, a: float, b: float, c: float) -> str:
 
 
 def features_of(t):
-    return features.beneficiary_features(t, AS_OF)
+    return features.beneficiary_features(t, as_of())
 
 
 LIGHT = f"""{PROG}, {PAY}, feat AS (
@@ -113,7 +114,7 @@ LIGHT = f"""{PROG}, {PAY}, feat AS (
 
 def light_features(t):
     """Cheaper rows with the feature names, for checking expressions."""
-    both = features.program_features(t.program_membership, AS_OF).join(
+    both = features.program_features(t.program_membership, as_of()).join(
         features.payment_features(t.payment, t.entitlement), "partner_id")
     return both.selectExpr(
         "*", "cycle_count % 4 AS shared_phone_count", "nb_programs % 4 AS shared_account_count",
@@ -136,7 +137,7 @@ def _(t):
 
 @query("b02_base_filter", f"WITH {BASE} SELECT partner_id, age, gender, income, registration_age_days FROM base")
 def _(t):
-    return features.base_beneficiaries(t.registrant, AS_OF).select(
+    return features.base_beneficiaries(t.registrant, as_of()).select(
         "partner_id", "age", "gender", "income", "registration_age_days")
 
 
@@ -257,7 +258,7 @@ ROUNDED = ["total_issued", "total_paid", "payment_gap_ratio", "payment_success_r
     avg_enrollment_days, payment_count, cycle_count, shared_phone_count, shared_account_count, group_membership_count,
     pmt_score, {", ".join(f"round({c}, 4) AS {c}" for c in ROUNDED)} FROM star""")
 def _(t):
-    return features.feature_star(t, AS_OF).select(
+    return features.feature_star(t, as_of()).select(
         "partner_id", "age", "gender", "income", "nb_programs", "nb_active_programs", "avg_enrollment_days",
         "payment_count", "cycle_count", "shared_phone_count", "shared_account_count", "group_membership_count",
         "pmt_score", *[F.round(c, 4).alias(c) for c in ROUNDED])
@@ -281,7 +282,7 @@ def _(t):
 
 @query("d01_program_features", f"WITH {PROG} SELECT * FROM prog")
 def _(t):
-    return features.program_features(t.program_membership, AS_OF)
+    return features.program_features(t.program_membership, as_of())
 
 
 @query("d02_payment_features", f"""WITH {PAY} SELECT partner_id, payment_count, cycle_count,
@@ -314,7 +315,7 @@ def _(t):
 @query("h21_derived_features", f"""WITH {STAR} SELECT partner_id, income_per_person, dependency_ratio, network_risk
     FROM star""")
 def _(t):
-    return features.with_derived(features.feature_star(t, AS_OF)).select(
+    return features.with_derived(features.feature_star(t, as_of())).select(
         "partner_id", "income_per_person", "dependency_ratio", "network_risk")
 
 

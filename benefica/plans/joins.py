@@ -10,7 +10,8 @@ from benefica.plans.registry import query
 from benefica.scale import running
 from benefica.sources import statements
 
-AS_OF = F.lit("2002-01-01").cast("date")
+def as_of():
+    return F.lit("2002-01-01").cast("date")
 ORDER = [f"o{i}" for i in range(1, 9)]
 
 
@@ -204,7 +205,7 @@ RECEIVED = """rec AS (SELECT envelope_id, count(*) AS received_n, round(sum(quan
       AND cancellation_status = 'NOT_CANCELLED' AND (schedule_date IS NULL OR schedule_date = DATE '2002-01-01')
       AND funds_status IN ('PENDING_CHECK', 'FUNDS_NOT_AVAILABLE')""")
 def _(t):
-    return payments.funds_gate(t.envelope, payments.received_counters(t.disbursement), AS_OF).select(
+    return payments.funds_gate(t.envelope, payments.received_counters(t.disbursement), as_of()).select(
         "envelope_id", "funds_status")
 
 

@@ -10,7 +10,8 @@ from benefica.operators import eligibility, records
 from benefica.operators.domain import Relation, domain_filter
 from benefica.plans.registry import query
 
-AS_OF = F.lit("2002-01-01").cast("date")
+def as_of():
+    return F.lit("2002-01-01").cast("date")
 
 SURVEY_EXPRS = [
     "c_custkey AS id",
@@ -125,7 +126,7 @@ def _(t):
         WHERE d.partner_id = r.partner_id AND d.id_type = 'National ID'
           AND (d.expiry_date IS NULL OR d.expiry_date > DATE '2002-01-01'))""")
 def _(t):
-    manager = eligibility.id_document_manager(t.reg_id, AS_OF, ["National ID"])
+    manager = eligibility.id_document_manager(t.reg_id, as_of(), ["National ID"])
     return manager(t.registrant).select("partner_id", "kind")
 
 
@@ -154,7 +155,7 @@ CHAIN_SQL = """ok AS (
 
 
 def enrolled(t):
-    managers = [eligibility.default_manager("individual"), eligibility.id_document_manager(t.reg_id, AS_OF),
+    managers = [eligibility.default_manager("individual"), eligibility.id_document_manager(t.reg_id, as_of()),
                 eligibility.phone_manager(t.phone_number)]
     return eligibility.enrol(t.program_membership, t.registrant, managers)
 
@@ -231,7 +232,7 @@ def _(t):
 def _(t):
     ids = t.reg_id
     valid = ids.where((F.col("id_type") == "National ID") & (F.col("status") == "valid")
-                      & (F.col("expiry_date").isNull() | (F.col("expiry_date") > AS_OF)))
+                      & (F.col("expiry_date").isNull() | (F.col("expiry_date") > as_of())))
     excluded = ids.where("id_type = 'Household ID'").select("partner_id")
     return valid.join(excluded, "partner_id", "left_anti").select("value").distinct()
 

@@ -8,7 +8,8 @@ from benefica.operators import dedup, payments
 from benefica.plans.registry import query
 from benefica.plans.scalars import grams_sql
 
-AS_OF = F.lit("2002-01-01").cast("date")
+def as_of():
+    return F.lit("2002-01-01").cast("date")
 VALID = "d.value IS NOT NULL AND (d.expiry_date IS NULL OR d.expiry_date > DATE '2002-01-01')"
 
 
@@ -21,7 +22,7 @@ VALID = "d.value IS NOT NULL AND (d.expiry_date IS NULL OR d.expiry_date > DATE
     FROM program_membership WHERE program_id = 2 AND partner_id IN (SELECT partner_id FROM dup)""")
 def _(t):
     members = t.program_membership.where("program_id = 2")
-    return dedup.duplicates_by_document(members, t.reg_id, AS_OF, ["National ID", "Household ID"]).select(
+    return dedup.duplicates_by_document(members, t.reg_id, as_of(), ["National ID", "Household ID"]).select(
         "membership_id", "state", "new_state")
 
 
@@ -55,7 +56,7 @@ def household_pairs(t):
     groups = t.registrant.where("is_group").select("partner_id")
     ben = t.program_membership.where("program_id IN (1, 2)").join(groups, "partner_id", "left_semi")
     grp = ben.select(F.col("partner_id").alias("group_id")).distinct()
-    docs = dedup.valid_documents(t.reg_id, AS_OF, ["National ID", "Household ID"])
+    docs = dedup.valid_documents(t.reg_id, as_of(), ["National ID", "Household ID"])
     pairs = dedup.households_by_member(grp, t.group_membership).unionByName(
         dedup.households_by_attribute(grp, t.group_membership, docs, ["id_type", "value"])).distinct()
     return ben, pairs

@@ -9,7 +9,8 @@ from benefica.functions import dates, text
 from benefica.operators import programs
 from benefica.plans.registry import query
 
-AS_OF = F.lit("2002-01-01").cast("date")
+def as_of():
+    return F.lit("2002-01-01").cast("date")
 
 
 @query("h02_join_flags", """
@@ -165,7 +166,7 @@ def _(t):
     SELECT partner_id, coalesce(CAST(date_part('year', age(DATE '2002-01-01', birthdate)) AS INT), 35) AS age
     FROM registrant""")
 def _(t):
-    return t.registrant.select("partner_id", dates.age_or_default(F.col("birthdate"), AS_OF).alias("age"))
+    return t.registrant.select("partner_id", dates.age_or_default(F.col("birthdate"), as_of()).alias("age"))
 
 
 @query("h15_decimal_age", """
@@ -176,21 +177,21 @@ def _(t):
 def _(t):
     dob = F.expr("CASE WHEN partner_id % 6 = 0 THEN '31/02/1999' WHEN partner_id % 6 = 1 THEN 'unknown' "
                  "ELSE date_format(birthdate, 'dd/MM/yyyy') END")
-    return t.registrant.select("partner_id", dates.decimal_age(dates.day_first_date(dob), AS_OF).alias("age"))
+    return t.registrant.select("partner_id", dates.decimal_age(dates.day_first_date(dob), as_of()).alias("age"))
 
 
 @query("h16_days_since", """
     SELECT partner_id, coalesce(CAST(date_diff('day', disabled, DATE '2002-01-01') AS INT), 365) AS days
     FROM registrant""")
 def _(t):
-    return t.registrant.select("partner_id", dates.days_since(F.col("disabled"), AS_OF).alias("days"))
+    return t.registrant.select("partner_id", dates.days_since(F.col("disabled"), as_of()).alias("days"))
 
 
 @query("h17_birthdate_from_age", """
     SELECT partner_id, CASE WHEN zone_id > 0 THEN strftime(DATE '2002-01-01' - to_years(zone_id), '%Y-%m-%d') END AS dob
     FROM registrant""")
 def _(t):
-    return t.registrant.select("partner_id", dates.birthdate_from_age(F.col("zone_id"), AS_OF).cast("string").alias("dob"))
+    return t.registrant.select("partner_id", dates.birthdate_from_age(F.col("zone_id"), as_of()).cast("string").alias("dob"))
 
 
 RULES = {

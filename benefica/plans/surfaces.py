@@ -11,7 +11,8 @@ from benefica.plans.joins import ALLOC, LINES, ORDER, ZONES, agencies
 from benefica.plans.registry import query
 from benefica.sources import changes, export, statements
 
-AS_OF = F.lit("2002-01-01").cast("date")
+def as_of():
+    return F.lit("2002-01-01").cast("date")
 
 
 @query("m01_condition_text", f"""
@@ -59,7 +60,7 @@ def _(t):
 def _(t):
     settings = [{"kind": "default", "target": "group", "domain": [("income", ">", 1000)]},
                 {"kind": "id_document", "id_types": ["National ID"]}]
-    return eligibility.chain(t.registrant, eligibility.chosen_managers(settings, t, AS_OF)).select("partner_id")
+    return eligibility.chain(t.registrant, eligibility.chosen_managers(settings, t, as_of())).select("partner_id")
 
 
 @query("m06_mapping_callables", """

@@ -8,7 +8,8 @@ from benefica.operators import records, validation
 from benefica.plans.projections import REQUESTS, requests
 from benefica.plans.registry import query
 
-AS_OF = F.lit("2002-01-01").cast("date")
+def as_of():
+    return F.lit("2002-01-01").cast("date")
 
 
 @query("b18_payload_errors", """
