@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from benefica.fixed import ML_FEATURES, TRAINING_DEFAULTS
-from benefica.scale import HOT_ROWS, exact_quantiles, running
+from benefica.scale import HOT_ROWS, exact_quantiles, running, stage
 
 # Other names of training columns.
 ALIASES = {"payment_gap_ratio": "gap_ratio", "group_membership_count": "group_count", "network_risk": "network_risk_score",
@@ -134,7 +134,8 @@ def confusion(df: DataFrame, label: str, score: str, threshold: float, by: Seque
 
 def roc_points(df: DataFrame, label: str, score: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(score, tp, fp, tpr, fpr): one row per distinct score, from the highest down."""
-    counts = df.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) != 1).alias("_neg"))
+    counts = stage(df.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("_pos"),
+                                         F.count_if(F.col(label) != 1).alias("_neg")), "counts")
     pos, neg = counts.agg(F.sum("_pos"), F.sum("_neg")).first()
     placed = running(counts, [], [F.col(score).desc()], sums={"tp": "_pos", "fp": "_neg"}, position=None, hot_rows=hot_rows)
     return placed.select(score, "tp", "fp", (F.col("tp") / max(pos or 0, 1)).alias("tpr"),

@@ -11,6 +11,7 @@ from benefica.plans.aggregates import BALANCE, EDGES_SQL, FUNDS_CTE, funds, grap
 from benefica.plans.fraud import STAR, features_of
 from benefica.plans.projections import CLEAN_CTE, clean_survey, survey
 from benefica.plans.registry import query
+from benefica.scale import running
 
 
 @query("e01_shared_value_count", f"""
@@ -195,17 +196,18 @@ def _(t):
 
 
 @query("f02_multi_key_sort", """
-    SELECT partner_id, gender, birthdate IS NULL AS no_birthdate FROM registrant
-    ORDER BY gender DESC NULLS FIRST, birthdate ASC NULLS LAST, partner_id LIMIT 200""")
+    SELECT partner_id, row_number() OVER (ORDER BY gender DESC NULLS FIRST, birthdate ASC NULLS LAST, partner_id) AS place
+    FROM registrant""")
 def _(t):
-    return t.registrant.orderBy(*programs.sort_columns([("gender", "desc"), ("birthdate", "asc")]), "partner_id").limit(
-        200).select("partner_id", "gender", F.col("birthdate").isNull().alias("no_birthdate"))
+    order = [*programs.sort_columns([("gender", "desc"), ("birthdate", "asc")]), F.col("partner_id")]
+    return running(t.registrant, [], order, position="place").select("partner_id", "place")
 
 
 @query("f03_missing_last", """
-    SELECT partner_id FROM registrant ORDER BY disabled ASC NULLS LAST, partner_id LIMIT 300""")
+    SELECT partner_id, row_number() OVER (ORDER BY disabled ASC NULLS LAST, partner_id) AS place FROM registrant""")
 def _(t):
-    return t.registrant.orderBy(F.asc_nulls_last("disabled"), "partner_id").limit(300).select("partner_id")
+    return running(t.registrant, [], [F.asc_nulls_last("disabled"), F.col("partner_id")], position="place").select(
+        "partner_id", "place")
 
 
 @query("f06_page", "SELECT entitlement_id FROM entitlement ORDER BY initial_amount, entitlement_id LIMIT 100 OFFSET 300")

@@ -31,8 +31,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_staged: list[str] = []
+
+
 def staging_path(spark: SparkSession, label: str = "stage") -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _staged.append(path)
+    return path
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Delete what this process staged; call it when no result that reads it is needed any more."""
+    sc = spark.sparkContext
+    n = len(_staged)
+    while _staged:
+        path = sc._jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
@@ -152,7 +167,7 @@ def exact_quantiles(
     with :func:`running` and the two neighbours of every wanted rank picked out.
     """
     keys = list(keys)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    counts = stage(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")), "counts")
     placed = running(counts, keys, [F.col(value)], sums={"_upto": "_n"}, position=None, hot_rows=hot_rows)
     if keys:
         totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))

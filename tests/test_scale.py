@@ -47,6 +47,19 @@ def test_a_hot_key_is_spread_over_partitions(spark):
     assert len(parts) == 8 and max(r["count"] for r in parts) < 20000 / 4
 
 
+def test_staged_tables_can_be_dropped(spark):
+    from pathlib import Path
+
+    from benefica import scale
+
+    kept, scale._staged[:] = list(scale._staged), []
+    df = scale.stage(spark.range(5))
+    assert df.count() == 5
+    path = Path(scale._staged[0])
+    assert path.exists() and scale.drop_staged(spark) == 1 and not path.exists()
+    scale._staged[:] = kept
+
+
 @pytest.mark.parametrize("hot_rows", [0, 10**9])
 def test_chunked_lists_hold_everything_in_order(spark, hot_rows):
     df = spark.createDataFrame(skewed(), "k string, i long, v long")
