@@ -214,16 +214,16 @@ def fit_isolation_forest(df: DataFrame, key: str, columns: Sequence[str], trees:
         return out
 
     ordered = drawn.withColumn("_o", F.xxhash64(F.col("_k"), F.col("tree"), F.lit(seed + 1)))
-    return ordered.groupBy("tree").applyInPandas(grow, TREE_SCHEMA).collect()
+    # A fixed number of partitions: the rows are few but growing is work, so they are not merged into one task.
+    tasks = min(trees, df.sparkSession.sparkContext.defaultParallelism)
+    return ordered.repartition(tasks, "tree").groupBy("tree").applyInPandas(grow, TREE_SCHEMA).collect()
 
 
 def score_isolation(df: DataFrame, forest: list, columns: Sequence[str], sample: int = 256) -> DataFrame:
     """Adds anomaly_score in 0..1, rounded to six places."""
-    trees = sorted({r["tree"] for r in forest})
-    packed = []
-    for t in trees:
-        rows = sorted((r for r in forest if r["tree"] == t), key=lambda r: r["node"])
-        packed.append(tuple(np.array([r[k] for r in rows]) for k in ("feature", "cut", "left", "right", "path")))
+    columns_of_node = ["tree", "node", "feature", "cut", "left", "right", "path"]
+    table = pd.DataFrame([tuple(r) for r in forest], columns=columns_of_node).sort_values(["tree", "node"])
+    packed = [tuple(g[k].to_numpy() for k in columns_of_node[2:]) for _, g in table.groupby("tree")]
     shared = df.sparkSession.sparkContext.broadcast(packed)
     names = list(columns)
     norm = _average_path(sample)
