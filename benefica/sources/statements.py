@@ -62,12 +62,14 @@ def account_check(headers_: DataFrame, sponsor_accounts: DataFrame) -> DataFrame
 
 def compose(lines: DataFrame, order: list[str]) -> DataFrame:
     """Statement texts from lines (the reverse of parsing, for exports and tests)."""
-    entry = F.concat(
-        F.lit(":61:"), F.date_format("value_date", "yyMMdd"), F.date_format("value_date", "MMdd"), F.col("indicator"),
-        F.replace(F.col("amount").cast("decimal(18,2)").cast("string"), F.lit("."), F.lit(",")), F.lit("NTRF"),
-        F.col("reconciliation_id"), F.lit("//"), F.col("reference"), F.lit("\n:86:Transfer "), F.col("reference"))
-    sorted_lines = F.array_sort(F.collect_list(F.struct(*order, entry.alias("entry"))))
-    body = F.array_join(F.transform(sorted_lines, lambda x: x.entry), "\n")
+    def entry(x: Column) -> Column:
+        amount = F.replace(x.amount.cast("decimal(18,2)").cast("string"), F.lit("."), F.lit(","))
+        return F.concat(F.lit(":61:"), F.date_format(x.value_date, "yyMMddMMdd"), x.indicator, amount, F.lit("NTRF"),
+                        x.reconciliation_id, F.lit("//"), x.reference, F.lit("\n:86:Transfer "), x.reference)
+
+    # The texts are built after the shuffle, where the work is spread.
+    parts = ["value_date", "indicator", "amount", "reconciliation_id", "reference"]
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, *parts))), entry), "\n")
     return lines.groupBy("statement_id").agg(body.alias("body")).select("statement_id", F.concat(
         F.lit(":20:REF"), F.col("statement_id"), F.lit("\n:25:ACC"), F.split("statement_id", "-")[0],
         F.lit("\n:28C:"), F.split("statement_id", "-")[1], F.lit("/1\n:60F:C000101USD0,00\n"), F.col("body"),
