@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from benefica.llm import embedding_dedup, exact_dedup, simhash_dedup
+from pyspark.sql import functions as F
+from public_tokenizers import path as tokenizer_path
+
+from benefica.llm import embedding_dedup, exact_dedup, packing, secret_scan, simhash_dedup
+from benefica.llm.common import stage
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,7 +27,22 @@ def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.mark_duplicates(_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_simhash_near_dedup, op3_exact_dedup)}
+def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.token_pieces(_table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return packing.pack(stage(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces"))
+
+
+def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_scan.scan(_table(spark, folder, "documents"))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    of = lambda *kinds: F.filter("found", lambda s: s["kind"].isin(*kinds))
+    return found.select(
+        "doc_id", *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(listed(of("assign", "access", "hex")).cast("binary"), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_simhash_near_dedup, op3_exact_dedup, op7_best_fit_packing,
+                                  op8_secret_scan)}
 
 SQL = {
     "op1_embedding_near_dedup": r"""
