@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import path as tokenizer_path
 
-from benefica.llm import embedding_dedup, exact_dedup, packing, secret_scan, simhash_dedup
+from benefica.llm import embedding_dedup, exact_dedup, language_id, packing, piece_sampling, secret_scan, simhash_dedup, token_count
 from benefica.llm.common import stage
 
 
@@ -27,6 +27,18 @@ def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.mark_duplicates(_table(spark, folder, "documents"))
 
 
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.identify(_table(spark, folder, "documents"))
+
+
+def op6_piece_sampling(spark: SparkSession, folder: str) -> DataFrame:
+    model = tokenizer_path("piece_bpe_32k.model")
+    rows = piece_sampling.decode(piece_sampling.encode(_table(spark, folder, "documents"), model, seed=1), model)
+    return rows.select(
+        "doc_id", F.size("pieces").cast("long").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_hash"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+
+
 def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.token_pieces(_table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
     return packing.pack(stage(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces"))
@@ -41,8 +53,12 @@ def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(listed(of("assign", "access", "hex")).cast("binary"), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_simhash_near_dedup, op3_exact_dedup, op7_best_fit_packing,
-                                  op8_secret_scan)}
+def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_count.count_tokens(_table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_simhash_near_dedup, op3_exact_dedup, op5_language_id, op6_piece_sampling,
+                                  op7_best_fit_packing, op8_secret_scan, op9_token_counts)}
 
 SQL = {
     "op1_embedding_near_dedup": r"""
