@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import path as tokenizer_path
 
-from benefica.llm import embedding_dedup, exact_dedup, language_id, packing, piece_sampling, secret_scan, simhash_dedup, token_count
+from benefica.llm import embedding_dedup, exact_dedup, language_id, packing, phrase_dedup, piece_sampling, secret_scan, simhash_dedup, token_count
 from benefica.llm.common import stage
 
 
@@ -57,8 +57,12 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_count.count_tokens(_table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return phrase_dedup.remove_repeats(_table(spark, folder, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_simhash_near_dedup, op3_exact_dedup, op5_language_id, op6_piece_sampling,
-                                  op7_best_fit_packing, op8_secret_scan, op9_token_counts)}
+                                  op7_best_fit_packing, op8_secret_scan, op9_token_counts, op10_substring_dedup)}
 
 SQL = {
     "op1_embedding_near_dedup": r"""
