@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import path as tokenizer_path
 
-from benefica.llm import embedding_dedup, exact_dedup, language_id, packing, phrase_dedup, piece_sampling, secret_scan, simhash_dedup, token_count
+from benefica.llm import embedding_dedup, exact_dedup, language_id, license_scan, packing, phrase_dedup, piece_sampling, secret_scan, simhash_dedup, token_count
 from benefica.llm.common import stage
 
 
@@ -27,6 +27,11 @@ def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.mark_duplicates(_table(spark, folder, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    name = F.concat_ws("/", "source", "lang", F.concat("doc_id", F.lit(".txt")))
+    return license_scan.scan(_table(spark, folder, "documents").withColumn("path", name))
+
+
 def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.identify(_table(spark, folder, "documents"))
 
@@ -61,7 +66,7 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return phrase_dedup.remove_repeats(_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_simhash_near_dedup, op3_exact_dedup, op5_language_id, op6_piece_sampling,
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_simhash_near_dedup, op3_exact_dedup, op4_license_scan, op5_language_id, op6_piece_sampling,
                                   op7_best_fit_packing, op8_secret_scan, op9_token_counts, op10_substring_dedup)}
 
 SQL = {
