@@ -8,6 +8,7 @@ decides where the shards are cut; every fingerprint is indexed.  Inside a shard
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,7 @@ SEED = 42
 SHARD_ROWS = 16384
 SAMPLE_ROWS = 32768
 LEAF_ROWS = 256
+BINS = 512
 
 
 def bit_majority(hashes: np.ndarray) -> int:
@@ -37,28 +39,46 @@ def bit_majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0]) if n else 0
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """SimHash of the word shingles, repeats included; text without words has fingerprint zero."""
+def shingle_hashes(text: str | None, shingle: int = 3) -> np.ndarray:
+    """XXH64 of the word shingles in order, repeats included; of fewer words the whole sequence is one shingle."""
     found = [w.lower() for w in words(text)]  # bytes: lowers A-Z only
     if not found:
-        return 0
+        return np.zeros(0, np.uint64)
     size = min(shingle, len(found))
-    ends = np.cumsum([len(w) + 1 for w in found])
-    starts = (ends - [len(w) + 1 for w in found])[: len(found) - size + 1].tolist()
+    lengths = np.array([len(w) + 1 for w in found])
+    ends = np.cumsum(lengths)
+    starts = (ends - lengths)[: len(found) - size + 1].tolist()
     joined, digest = b" ".join(found), xxhash.xxh64_intdigest
-    hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, (ends[size - 1:] - 1).tolist())]
-    return bit_majority(np.array(hashes, np.uint64))
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[size - 1:] - 1).tolist())], np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """SimHash of the word shingles, repeats included; text without words has fingerprint zero."""
+    return bit_majority(shingle_hashes(text, shingle))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, fp): the fingerprint of every row as a signed 64-bit integer; a null text has fingerprint zero."""
+def sketch(hashes: np.ndarray) -> tuple[int, bytes]:
+    """(distinct shingles, for each of ``BINS`` ranges of hashes a byte of its smallest hash, 0 if it has none)."""
+    distinct = np.unique(hashes)
+    bins, first = np.unique(distinct >> np.uint64(64 - BINS.bit_length() + 1), return_index=True)
+    out = np.zeros(BINS, np.uint8)
+    out[bins.astype(np.int64)] = 1 + distinct[first] % np.uint64(255)
+    return len(distinct), out.tobytes()
 
-    def many(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, sketches: bool = False) -> DataFrame:
+    """(id, fp, n, sketch): the fingerprint of every row as a signed 64-bit integer; a null text has fingerprint zero.
+
+    Without ``sketches`` the last two are null.
+    """
+    def many(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in parts:
-            yield pd.Series(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))
+            rows = [(bit_majority(h), *(sketch(h) if sketches else (None, None))) for h in (shingle_hashes(t, shingle) for t in texts)]
+            yield pd.DataFrame({"fp": np.array([r[0] for r in rows], np.uint64).view(np.int64),
+                                "n": pd.array([r[1] for r in rows], "Int64"), "sketch": pd.Series([r[2] for r in rows], dtype=object)})
 
-    of = F.pandas_udf(many, "long")
-    return docs.select(F.col(id_col).alias("id"), of(F.col(text_col).cast("string")).alias("fp"))
+    of = F.pandas_udf(many, "fp long, n long, sketch binary")
+    return docs.select(F.col(id_col).alias("id"), of(F.col(text_col).cast("string")).alias("f")).select("id", "f.*")
 
 
 def _distances(fps: np.ndarray, pivot: np.uint64) -> np.ndarray:
@@ -139,43 +159,71 @@ def links_within(fps: np.ndarray, home: np.ndarray, radius: int) -> Iterator[tup
                 yield part[a[differ]], live[b[differ]]
 
 
+def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated Jaccard similarity of shingle sets from pairs of sketches."""
+    either = ((a > 0) | (b > 0)).sum(axis=1)
+    return ((a == b) & (a > 0)).sum(axis=1) / np.maximum(either, 1)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2,
-                    shard_rows: int = SHARD_ROWS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+                    similarity: float | None = None, shard_rows: int = SHARD_ROWS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """One row per document: id, fingerprint (16 hex digits), component_id (smallest id reachable by links).
 
-    Equal fingerprints are merged first, so a group of copies is one entry however large it is.  Shards return
+    Documents link when their fingerprints differ in at most ``radius`` bits and, with ``similarity``, when their shingle
+    sets also have about that Jaccard similarity by their sketches (one with exactly that similarity passes with 95 %).
+    The numbers of distinct shingles of two such documents differ by a bounded factor, so the trees are first cut into rings of like
+    size, and a document visits its own ring and the one below.
+
+    Equal fingerprints (and sketches) are merged first, so a group of copies is one entry however large it is.  Shards return
     spanning links, at most one per visiting fingerprint, never pairs.  Ids name documents: rows that repeat an id share
     its component.  A row with a null id keeps its fingerprint, links nothing and has a null component_id.  An empty
     table gives no rows; other columns are not read.
     """
-    prints = stage(fingerprints(docs, id_col, text_col, shingle), "prints")
-    distinct = stage(prints.where("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("first")), "distinct")
-    n = distinct.count()
-    depth = int(np.ceil(np.log2(max(1.0, n / shard_rows))))
-    part = min(1.0, sample_rows / max(1, n))
+    key = ["fp", "n", "sketch"] if similarity else ["fp"]
+    prints = stage(fingerprints(docs, id_col, text_col, shingle, bool(similarity)).withColumn(
+        "ring", F.floor(F.log(F.greatest("n", F.lit(1))) / -math.log(similarity) + 1e-9).cast("int") if similarity else F.lit(0)), "prints")
+    distinct = stage(prints.where("id IS NOT NULL").groupBy("ring", *key).agg(F.min("id").cast("long").alias("first")), "distinct")
+    sizes = distinct.groupBy("ring").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
+    depth = int(np.ceil(np.log2(max(1.0, (sizes[0] or 0) / shard_rows))))
+    part = min(1.0, sample_rows / max(1, sizes[1] or 0))
     sample = distinct.where(F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(1_000_000).cast("long")) < int(part * 1_000_000)).select("fp") if depth else None
     tree = build_tree(np.array([r[0] for r in sample.collect()], np.int64).view(np.uint64) if depth else np.zeros(0, np.uint64), depth)
+    columns = {"n": "long", "sketch": "binary"} if similarity else {}
 
     def deal(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in parts:
-            fps = rows["fp"].to_numpy(np.int64).view(np.uint64)
+            fps, ring = rows["fp"].to_numpy(np.int64).view(np.uint64), rows["ring"].to_numpy(np.int64)
             for shard, at, home in visits(tree, fps, radius):
-                yield pd.DataFrame({"shard": np.full(len(at), shard, np.int32), "fp": fps[at].view(np.int64),
-                                    "first": rows["first"].to_numpy(np.int64)[at], "home": home})
+                for below in range(2 if similarity else 1):
+                    yield pd.DataFrame({
+                        "ring": (ring[at] - below).astype(np.int32), "shard": np.full(len(at), shard, np.int32), "fp": fps[at].view(np.int64),
+                        "first": rows["first"].to_numpy(np.int64)[at], "home": home & (below == 0), **{c: rows[c].to_numpy()[at] for c in columns}})
 
     def match(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("first", kind="stable")
         fps, first = rows["fp"].to_numpy(np.int64).view(np.uint64), rows["first"].to_numpy(np.int64)
         labels = np.arange(len(fps))
+        if similarity:
+            n = rows["n"].to_numpy(np.float64)
+            sketches = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, BINS)
         for a, b in links_within(fps, rows["home"].to_numpy(bool), radius):
-            labels = merge_labels(labels, a, b)
+            for at in range(0, len(a), 8192):
+                s, t = a[at:at + 8192], b[at:at + 8192]
+                if similarity:
+                    apart = (labels[s] != labels[t]) & (np.minimum(n[s], n[t]) >= similarity * np.maximum(n[s], n[t]))
+                    s, t = s[apart], t[apart]
+                    slack = 1.64 * np.sqrt(similarity * (1 - similarity) / BINS * (1 - np.exp(-np.maximum(n[s], n[t]) / BINS)))
+                    near = likeness(sketches[s], sketches[t]) >= similarity - slack
+                    s, t = s[near], t[near]
+                labels = merge_labels(labels, s, t)
         linked = labels != np.arange(len(fps))
         return pd.DataFrame({"a": first[linked], "b": first[labels[linked]]})
 
-    dealt = distinct.select("fp", F.col("first").cast("long")).mapInPandas(deal, "shard int, fp long, first long, home boolean")
-    links = dealt.groupBy("shard").applyInPandas(match, "a long, b long")
+    form = "ring int, shard int, fp long, first long, home boolean" + "".join(f", {c} {t}" for c, t in columns.items())
+    dealt = distinct.mapInPandas(deal, form)
+    links = dealt.groupBy("ring", "shard").applyInPandas(match, "a long, b long")
     parts = connected_components(links).select(F.col("node").alias("first"), F.col("component_id").alias("part"))
-    classes = stage(distinct.join(parts, "first", "left").select("fp", F.coalesce("part", "first").alias("component_id")), "classes")
-    return prints.join(classes, "fp", "left").select(
+    classes = stage(distinct.join(parts, "first", "left").select(*key, F.coalesce("part", "first").alias("component_id")), "classes")
+    return prints.join(classes, key, "left").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
