@@ -146,7 +146,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_cla
                     texts[lang] = texts.get(lang, 0) + 1
         at = np.flatnonzero(df)
         yield pd.DataFrame({"feature": at.astype(np.int32), "lang": None, "n": df[at]})
-        yield pd.DataFrame({"feature": -1, "lang": list(texts), "n": list(texts.values())})
+        yield pd.DataFrame({"feature": -1, "lang": pd.Series(list(texts), dtype=object), "n": np.array(list(texts.values()), np.int64)})
 
     sums = rows.mapInPandas(frequencies, "feature int, lang string, n long").groupBy("feature", "lang").agg(F.sum("n").alias("n")).collect()
     per_lang = {r["lang"]: r["n"] for r in sums if r["lang"] is not None}
@@ -188,7 +188,8 @@ def predictions(model: Model, text_col: str | Column = "text") -> Column:
     """Struct (lang, score) of each text."""
     def many(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in parts:
-            yield pd.DataFrame([model.predict(t) for t in texts], columns=["lang", "score"])
+            found = [model.predict(t) for t in texts]
+            yield pd.DataFrame({"lang": pd.Series([k for k, _ in found], dtype=object), "score": np.array([p for _, p in found], np.float64)})
 
     text = F.col(text_col) if isinstance(text_col, str) else text_col
     return F.pandas_udf(many, "lang string, score double")(text.cast("string"))

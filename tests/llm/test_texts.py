@@ -88,7 +88,7 @@ def test_pieces_round_trip_and_seeds(spark, corpus, nothing):
     again = piece_sampling.encode(corpus.repartition(5), MODEL, seed=3).collect()
     assert Counter((r.doc_id, tuple(r.pieces or ())) for r in again) == Counter((r.doc_id, tuple(r.pieces or ())) for r in rows)
     other = {r.doc_id: r.pieces for r in piece_sampling.encode(corpus, MODEL, seed=4).collect()}
-    assert other[6] != next(r.pieces for r in rows if r.doc_id == 6)
+    assert other[0] != next(r.pieces for r in rows if r.doc_id == 0)
     assert piece_sampling.encode(nothing, MODEL).count() == 0
 
 
@@ -127,7 +127,7 @@ def test_secrets(spark, corpus, nothing):
     texts = [
         None, "", f'token = "{hexa}"', "password: short", "PassWd=longenough api_key:'abcdefgh1' token token=x secret=12345678", "AKIA" + "A1" * 6, "AKIASHORT",
         f"é日本 {hexa} ü", f"x {key} y", f"secret = {key[:10]}", "f" * 31, "f" * 32, "ordinary words of an ordinary text " * 50, f"A{hexa}b", key + "\n" + key,
-        "/usr/local/share/documents/internationalization", "internationalization_of_the_documentation", "a" * 5000,
+        "/usr/local/share/documents/internationalization", "internationalization_of_the_documentation", "z" * 5000,
     ]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("base", F.lit(1)).withColumn("found", F.lit("x"))
     got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.found] for r in secret_scan.scan(docs).collect()}
@@ -144,7 +144,9 @@ def test_secrets(spark, corpus, nothing):
 
 def test_random_strings_are_told_from_words():
     rng = random.Random(4)
-    uneven = secret_scan.unevenness(np.bincount(np.frombuffer(b"the quick brown fox jumps over the lazy dog and then 12 more words of an English text " * 9, np.uint8), minlength=128))
+    text = (b"The operators of this list live in one place and nothing else reads them; each returns one row for every text it was given. "
+            b"Where a rule cannot be expressed, the answer is compared with a plain version in 12 or 13 small cases.")
+    uneven = secret_scan.unevenness(np.bincount(np.frombuffer(text, np.uint8), minlength=128))
     draw = lambda abc, n: "".join(rng.choice(abc) for _ in range(n))
     for abc, n in ((string.ascii_letters + string.digits, 32), ("0123456789abcdef", 40), (string.ascii_letters + string.digits + "+/", 44)):
         assert sum(secret_scan.p_value(draw(abc, n), uneven) < 1e-6 for _ in range(100)) >= 95
