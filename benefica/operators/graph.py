@@ -68,12 +68,12 @@ def merged_edge_weights(nodes: DataFrame, weights: Mapping[str, float], id_colum
 
 
 def pagerank(nodes: DataFrame, weights: Mapping[str, float], rounds: int = 100, damping: float = 0.85,
-             tolerance: float = 1e-6, id_column: str = "id", stage_every: int = 5) -> DataFrame:
+             tolerance: float = 1e-6, id_column: str = "id") -> DataFrame:
     """(id, rank, degree): weighted rank of every node by power iteration.
 
-    Stops when the summed change falls below N x tolerance, checked whenever the
-    lineage is cut, or after ``rounds``.  Nodes without a neighbour spread their
-    rank evenly.
+    Every round is written, which cuts the lineage, and the iteration stops when
+    the summed change falls below N x tolerance, or after ``rounds``.  Nodes
+    without a neighbour spread their rank evenly.
     """
     groups = stage(incidence(nodes, weights, id_column).select(
         "id", F.xxhash64("subset").alias("subset"), "key",
@@ -88,7 +88,7 @@ def pagerank(nodes: DataFrame, weights: Mapping[str, float], rounds: int = 100,
     # Nodes without a neighbour all hold the same rank, so their part is one number.
     loose_rank = 1.0 / n if n else 0.0
     ranks = base.withColumn("rank", F.lit(loose_rank))
-    for i in range(rounds):
+    for _ in range(rounds):
         share = F.when(F.col("degree") > 0, F.col("rank") / F.col("strength")).otherwise(0.0)
         shared = ranks.withColumn("share", share)
         # Rows carry their key, so a hot group is first summed inside every task.
@@ -101,11 +101,9 @@ def pagerank(nodes: DataFrame, weights: Mapping[str, float], rounds: int = 100,
         step = shared.join(received, "id", "left").select(
             "id", "degree", "strength", "own", F.col("rank").alias("old"), (damping * inflow + everywhere).alias("rank"))
         loose_rank = everywhere
-        last = i == rounds - 1
-        if last or (i + 1) % stage_every == 0:
-            step = stage(step, "ranks")
-            if last or (step.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0) < n * tolerance:
-                break
+        step = stage(step, "ranks")
+        if (step.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0) < n * tolerance:
+            break
         ranks = step.drop("old")
     return step.select("id", "rank", "degree")
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from benefica.fixed import ML_FEATURES, TRAINING_DEFAULTS
-from benefica.scale import HOT_ROWS, exact_quantiles, running, stage
+from benefica.scale import exact_quantiles, running, stage
 
 # Other names of training columns.
 ALIASES = {"payment_gap_ratio": "gap_ratio", "group_membership_count": "group_count", "network_risk": "network_risk_score",
@@ -37,10 +37,10 @@ def prepare_features(df: DataFrame, target: str = "is_fraud") -> DataFrame:
     return df.withColumns(new) if new else df
 
 
-def fit_scaler(df: DataFrame, columns: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+def fit_scaler(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(feature, median, mean, std): exact medians, then moments after imputing with them."""
     long = df.unpivot([], [F.col(c).cast("double").alias(c) for c in columns], "feature", "value")
-    medians = exact_quantiles(long, "value", {"median": 0.5}, keys=["feature"], hot_rows=hot_rows)
+    medians = exact_quantiles(long, "value", {"median": 0.5}, keys=["feature"])
     filled = long.join(F.broadcast(medians), "feature")  # one row per feature
     value = F.coalesce("value", "median")
     return filled.groupBy("feature", "median").agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
@@ -54,11 +54,10 @@ def scale(df: DataFrame, fitted: Sequence, columns: Sequence[str]) -> DataFrame:
         for c in columns})
 
 
-def stratified_split(df: DataFrame, label: str, key: str, share: float = 0.2, seed: int = 42,
-                     hot_rows: int = HOT_ROWS) -> DataFrame:
+def stratified_split(df: DataFrame, label: str, key: str, share: float = 0.2, seed: int = 42) -> DataFrame:
     """Adds is_test: exactly the rounded share of every class, drawn by hash of the key."""
     drawn = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
-    placed = running(drawn, [label], [F.col("_h"), F.col(key)], position="_place", hot_rows=hot_rows)
+    placed = running(drawn, [label], [F.col("_h"), F.col(key)], position="_place")
     sizes = df.groupBy(label).agg(F.round(F.count(F.lit(1)) * share).alias("_size"))
     return placed.join(sizes, label).withColumn("is_test", F.col("_place") <= F.col("_size")).drop("_h", "_place", "_size")
 
@@ -132,19 +131,19 @@ def confusion(df: DataFrame, label: str, score: str, threshold: float, by: Seque
         F.col("precision") + F.col("recall"), F.lit(0.0)), F.lit(0.0)))
 
 
-def roc_points(df: DataFrame, label: str, score: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def roc_points(df: DataFrame, label: str, score: str) -> DataFrame:
     """(score, tp, fp, tpr, fpr): one row per distinct score, from the highest down."""
     counts = stage(df.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("_pos"),
                                          F.count_if(F.col(label) != 1).alias("_neg")), "counts")
     pos, neg = counts.agg(F.sum("_pos"), F.sum("_neg")).first()
-    placed = running(counts, [], [F.col(score).desc()], sums={"tp": "_pos", "fp": "_neg"}, position=None, hot_rows=hot_rows)
+    placed = running(counts, [], [F.col(score).desc()], sums={"tp": "_pos", "fp": "_neg"}, position=None)
     return placed.select(score, "tp", "fp", (F.col("tp") / max(pos or 0, 1)).alias("tpr"),
                          (F.col("fp") / max(neg or 0, 1)).alias("fpr"), "_pos", "_neg")
 
 
-def auc(df: DataFrame, label: str, score: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """Area under the curve: share of (positive, negative) pairs in the right order, ties count half."""
-    r = roc_points(df, label, score, hot_rows)
+    r = roc_points(df, label, score)
     right = F.sum(F.col("_neg") * (F.col("tp") - F.col("_pos") / 2.0))
     return r.agg((right / F.nullif(F.sum("_pos") * F.sum("_neg"), F.lit(0))).alias("auc"))
 

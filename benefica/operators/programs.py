@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from benefica.scale import HOT_ROWS, running
+from benefica.scale import running
 
 # --- funds ----------------------------------------------------------------------------------------------------
 
@@ -30,10 +30,10 @@ def fund_report(funds: DataFrame, payouts: DataFrame) -> DataFrame:
     return inflow.unionByName(outflow, allowMissingColumns=True)
 
 
-def numbered_ledger(ledger: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def numbered_ledger(ledger: DataFrame) -> DataFrame:
     """Ledger rows numbered by posting date; name, partner and amount break ties."""
     order = [F.col(c).asc_nulls_first() for c in ("date_posted", "name", "partner_id", "cycle_id", "amount")]
-    return running(ledger, [], order, position="id", hot_rows=hot_rows)
+    return running(ledger, [], order, position="id")
 
 
 # --- scores and amounts ---------------------------------------------------------------------------------------
@@ -96,8 +96,7 @@ def prepare_entitlements(beneficiaries: DataFrame, existing: DataFrame, amount:
     return fresh.withColumn("initial_amount", amount).where("initial_amount > 0").withColumn("state", F.lit("draft"))
 
 
-def approve(entitlement: DataFrame, balances: DataFrame, key: str = "program_id", order: str = "entitlement_id",
-            hot_rows: int = HOT_ROWS) -> DataFrame:
+def approve(entitlement: DataFrame, balances: DataFrame, key: str = "program_id", order: str = "entitlement_id") -> DataFrame:
     """Approve in order while the balance lasts; the first that does not fit stops its program.
 
     Amounts are not negative, so the running sum grows and "sum so far fits" is
@@ -106,7 +105,7 @@ def approve(entitlement: DataFrame, balances: DataFrame, key: str = "program_id"
     """
     open_ = F.col("state").isin("draft", "pending_validation")
     asked = entitlement.withColumn("_ask", F.when(open_, F.col("initial_amount")).otherwise(0.0))
-    summed = running(asked, [key], [F.col(order)], sums={"_sum": "_ask"}, position=None, hot_rows=hot_rows)
+    summed = running(asked, [key], [F.col(order)], sums={"_sum": "_ask"}, position=None)
     fits = F.col("_sum") <= F.coalesce("balance", F.lit(0.0)) + 1e-6
     return summed.join(balances.select(key, "balance"), key, "left").withColumn(
         "decision", F.when(~open_, "state_error").when(fits, "approved").otherwise("insufficient_funds")
@@ -121,10 +120,9 @@ def sort_columns(criteria: Sequence[tuple[str, str]]) -> list[Column]:
 
 
 def priority_list(candidates: DataFrame, keys: Sequence[str], criteria: Sequence[tuple[str, str]], limit: Column,
-                  id_column: str = "partner_id", hot_rows: int = HOT_ROWS) -> DataFrame:
+                  id_column: str = "partner_id") -> DataFrame:
     """Candidates ranked by the criteria, cut at each list's remaining places."""
-    ranked = running(candidates, list(keys), [*sort_columns(criteria), F.col(id_column)], position="rank",
-                     hot_rows=hot_rows)
+    ranked = running(candidates, list(keys), [*sort_columns(criteria), F.col(id_column)], position="rank")
     return ranked.where(F.col("rank") <= limit)
 
 
@@ -134,7 +132,7 @@ def first_tag(tags: Sequence[tuple[str, Column]]) -> Column:
 
 
 def payment_batches(entitlement: DataFrame, failed_only: DataFrame | None, tags: Sequence[tuple[str, Column, int]],
-                    accounts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+                    accounts: DataFrame) -> DataFrame:
     """Payments for approved entitlements, routed to a tag and numbered into batches of the tag's size.
 
     ``failed_only`` names entitlements with a payment that did not fail; these are not paid again.
@@ -143,7 +141,7 @@ def payment_batches(entitlement: DataFrame, failed_only: DataFrame | None, tags:
     if failed_only is not None:
         due = due.join(failed_only, "entitlement_id", "left_anti")
     routed = due.withColumn("tag", first_tag([(n, c) for n, c, _ in tags])).where("tag IS NOT NULL")
-    placed = running(routed, ["tag"], [F.col("entitlement_id")], position="_place", hot_rows=hot_rows)
+    placed = running(routed, ["tag"], [F.col("entitlement_id")], position="_place")
     size = None
     for name, _, s in tags:
         size = F.when(F.col("tag") == name, s) if size is None else size.when(F.col("tag") == name, s)

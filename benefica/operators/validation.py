@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from benefica.fixed import MAX_UPLOAD_ROWS, REQUIRED_UPLOAD_COLUMNS
-from benefica.scale import HOT_ROWS, running
+from benefica.scale import running
 
 
 def upload_error(df: DataFrame, required: Sequence[str] = tuple(REQUIRED_UPLOAD_COLUMNS),
@@ -119,8 +119,7 @@ def illegal_transitions(changes: DataFrame, allowed: Sequence[tuple[str, str]],
     return changes.where(~F.coalesce(ok, F.lit(False)))
 
 
-def overlapping_rows(df: DataFrame, keys: Sequence[str], key_id: str, start: str, end: str,
-                     hot_rows: int = HOT_ROWS) -> DataFrame:
+def overlapping_rows(df: DataFrame, keys: Sequence[str], key_id: str, start: str, end: str) -> DataFrame:
     """Rows whose closed validity range meets that of another row with the same keys; open ends allowed.
 
     Sorted by start, a row meets an earlier one exactly when the latest end so
@@ -131,8 +130,8 @@ def overlapping_rows(df: DataFrame, keys: Sequence[str], key_id: str, start: str
     placed = df.withColumns({"_lo": day(start, -1_000_000), "_hi": day(end, 10_000_000)}).withColumn(
         "_later", -F.col("_lo"))
     up = [F.col("_lo"), F.col("_hi"), F.col(key_id)]
-    placed = running(placed, keys, up, maxes={"_reach": "_hi"}, position=None, hot_rows=hot_rows)
+    placed = running(placed, keys, up, maxes={"_reach": "_hi"}, position=None)
     down = [c.desc() for c in up]
-    placed = running(placed, keys, down, maxes={"_next": "_later"}, position=None, hot_rows=hot_rows)
+    placed = running(placed, keys, down, maxes={"_next": "_later"}, position=None)
     meets = (F.col("_reach") >= F.col("_lo")) | (-F.col("_next") <= F.col("_hi"))
     return placed.where(F.coalesce(meets, F.lit(False))).select(*df.columns)

@@ -217,8 +217,7 @@ def _(t):
 @query("d14_envelope_limits", f"""
     WITH q AS (SELECT o_custkey % 500 AS request_id, CASE WHEN o_custkey % 20 = 0 THEN 'V' || CAST(o_orderkey % 3 AS
         VARCHAR) WHEN o_custkey % 9 = 0 THEN 'V0000' ELSE 'V' || CAST(19921 + 10 * (o_custkey % 7) AS VARCHAR) END
-        AS envelope_id, o_totalprice * CASE WHEN o_custkey % 2 = 0 THEN 0.00001 ELSE 0.01 END AS quantity FROM orders
-        WHERE o_orderstatus = 'P'),
+        AS envelope_id, o_totalprice * CASE WHEN o_custkey % 2 = 0 THEN 0.00001 ELSE 0.01 END AS quantity FROM orders),
       a AS (SELECT request_id, count(*) AS n, sum(quantity) AS q, min(envelope_id) AS envelope_id,
             count(DISTINCT envelope_id) > 1 AS several FROM q GROUP BY 1),
       {RECEIVED}
@@ -230,7 +229,7 @@ def _(t):
         END AS error
     FROM a LEFT JOIN envelope USING (envelope_id) LEFT JOIN rec USING (envelope_id)""")
 def _(t):
-    q = t.orders.where("o_orderstatus = 'P'").selectExpr(
+    q = t.orders.selectExpr(
         "o_custkey % 500 AS request_id",
         "CASE WHEN o_custkey % 20 = 0 THEN 'V' || o_orderkey % 3 WHEN o_custkey % 9 = 0 THEN 'V0000' "
         "ELSE 'V' || (19921 + 10 * (o_custkey % 7)) END AS envelope_id",

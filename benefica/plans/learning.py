@@ -98,7 +98,7 @@ def _(t):
 
 @query("k08_hybrid_model_scores")
 def _(t):
-    model, test = trained(t, "random_forest", numTrees=40)
+    model, test = trained(t, "random_forest")
     df = learning.score_batch(model, test)
     df = df.withColumn("rule_s", scoring.heuristic_rule_score()).withColumn("graph_s", scoring.heuristic_graph_score())
     final = scoring.service_blend(F.col("ml_score"), F.col("rule_s"), F.col("graph_s"))
@@ -167,13 +167,13 @@ def _(t):
 
 @query("k10_roc_by_ranges", ROC_SQL)
 def _(t):
-    return learning.roc_points(t.labelled_score, "label", "score", hot_rows=0).select(
+    return learning.roc_points(t.labelled_score, "label", "score").select(
         F.round("score", 6).alias("score"), "tp", "fp")
 
 
 @query("f05_top_importances")
 def _(t):
-    model, _ = trained(t, "random_forest", numTrees=40)
+    model, _ = trained(t, "random_forest")
     return learning.importances(model, t.spark, top=15)
 
 

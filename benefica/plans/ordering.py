@@ -51,7 +51,7 @@ def _(t):
     WITH {LEDGER} SELECT row_number() OVER (ORDER BY date_posted, name, partner_id NULLS FIRST, cycle_id NULLS FIRST,
         amount) AS id, name, round(amount, 2) AS amount FROM ledger""")
 def _(t):
-    return programs.numbered_ledger(ledger(t), hot_rows=0).select("id", "name", F.round("amount", 2).alias("amount"))
+    return programs.numbered_ledger(ledger(t)).select("id", "name", F.round("amount", 2).alias("amount"))
 
 
 @query("g02_fund_report", f"""WITH {LEDGER} SELECT program_id, partner_id IS NULL AS is_fund, count(*) AS n,
@@ -62,8 +62,8 @@ def _(t):
 
 
 PRIORITY = """WITH c AS (SELECT m.program_id, r.partner_id, r.gender, r.income,
-        100 * m.program_id - (SELECT count(*) FROM program_membership x WHERE x.program_id = m.program_id
-            AND x.state = 'enrolled' AND x.partner_id < 100) AS places
+        100 * m.program_id + (SELECT count(*) FROM program_membership x WHERE x.program_id = m.program_id
+            AND x.state = 'enrolled') // 2 AS places
     FROM program_membership m JOIN registrant r USING (partner_id) WHERE m.state <> 'enrolled'),
   k AS (SELECT *, row_number() OVER (PARTITION BY program_id ORDER BY gender ASC NULLS LAST, income DESC NULLS FIRST,
         partner_id) AS rank FROM c)
@@ -72,11 +72,11 @@ PRIORITY = """WITH c AS (SELECT m.program_id, r.partner_id, r.gender, r.income,
 
 def priority(t, **how):
     members = t.program_membership
-    taken = members.where("state = 'enrolled' AND partner_id < 100").groupBy("program_id").agg(
+    taken = members.where("state = 'enrolled'").groupBy("program_id").agg(
         F.count(F.lit(1)).alias("taken"))
     waiting = members.where("state <> 'enrolled'").join(
         t.registrant.select("partner_id", "gender", "income"), "partner_id").join(taken, "program_id", "left")
-    places = 100 * F.col("program_id") - F.coalesce("taken", F.lit(0))
+    places = 100 * F.col("program_id") + F.floor(F.coalesce("taken", F.lit(0)) / 2)
     return programs.priority_list(waiting, ["program_id"], [("gender", "asc"), ("income", "desc")], places, **how).select(
         "program_id", "partner_id", "rank")
 
@@ -88,7 +88,7 @@ def _(t):
 
 @query("e03_priority_by_ranges", PRIORITY)
 def _(t):
-    return priority(t, hot_rows=100)
+    return priority(t)
 
 
 @query("e04_latest_per_key", """
@@ -126,7 +126,7 @@ def _(t):
 
 @query("e05_approval_by_ranges", APPROVE)
 def _(t):
-    return approvals(t, hot_rows=100)
+    return approvals(t)
 
 
 BATCHES = """WITH good AS (SELECT DISTINCT entitlement_id FROM payment WHERE status <> 'failed'),

@@ -156,7 +156,7 @@ MAP_REQUESTS = """SELECT 'R' || lpad(CAST(o_orderkey AS STRING), 12, '0') AS ref
         AS STRING) END AS id_value,
     CASE WHEN o_orderkey % 13 = 0 OR o_orderkey % 3 = 2 THEN NULL ELSE 'fa-' || CAST(o_orderkey AS STRING) END AS fa_value,
     CASE WHEN o_orderkey % 5 = 0 THEN 'New ' || o_orderpriority END AS name
-    FROM {o} WHERE o_orderstatus = 'P'"""
+    FROM {o}"""
 JUDGED = f"""q AS ({MAP_REQUESTS.format(o='orders')}),
     first AS (SELECT id_value, min(reference_id) AS first FROM q WHERE op = 'link' AND id_value <> '' AND fa_value <> ''
         GROUP BY 1),

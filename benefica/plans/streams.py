@@ -13,7 +13,7 @@ from benefica.streaming import jobs
 from benefica.streaming.runner import KeyedTable, read_files, run_append
 
 EVENTS = """ev AS (SELECT CAST(user_id AS VARCHAR) AS key, ts, event_id, CASE event_type WHEN 'error' THEN 'fail'
-    WHEN 'purchase' THEN 'ok' ELSE 'start' END AS kind FROM events WHERE event_type <> 'signup' OR value > 20)"""
+    WHEN 'purchase' THEN 'ok' ELSE 'start' END AS kind FROM events)"""
 
 
 def landed(t, df, label: str, parts: int = 4):
@@ -50,7 +50,7 @@ def _(t):
 
 
 def stage_events(t):
-    return t.events.where("event_type <> 'signup' OR value > 20").selectExpr(
+    return t.events.selectExpr(
         "CAST(user_id AS STRING) AS key", "CAST(ts AS TIMESTAMP) AS ts", "event_id",
         "CASE event_type WHEN 'error' THEN 'fail' WHEN 'purchase' THEN 'ok' ELSE 'start' END AS kind")
 

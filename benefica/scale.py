@@ -15,10 +15,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# A key with more rows than this is ordered through range partitions.
-HOT_ROWS = 2_000_000
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a local one is made for local masters only."""
     sc = spark.sparkContext
@@ -57,12 +53,6 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    if not keys:
-        return df.count()
-    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-
-
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -70,33 +60,17 @@ def running(
     sums: Mapping[str, str] | None = None,
     maxes: Mapping[str, str] | None = None,
     position: str | None = "position",
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add the 1-based position, running sums and earlier maxima per key, in ``order``.
 
     ``sums`` maps a new column to the column it adds up, the row included;
     ``maxes`` maps a new column to the column whose largest value among the
-    earlier rows it holds.  ``order`` must be a total order.  When no key is hot
-    a plain window is used; otherwise the rows are range-partitioned on (keys,
-    order) and every partition adds what the partitions before it hold for the
-    one key that reaches across the edge.
+    earlier rows it holds.  ``order`` must be a total order.  The rows are
+    range-partitioned on (keys, order) and every partition adds what the
+    partitions before it hold for the one key that reaches across the edge, so
+    neither a hot key nor a table without keys becomes one task.
     """
-    sums, maxes = dict(sums or {}), dict(maxes or {})
-    if largest_group(df, keys) > hot_rows:
-        return _running_by_range(df, list(keys), list(order), sums, maxes, position)
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumns(_over(w, F.row_number().over(w).cast("long"), sums, maxes, position))
-
-
-def _over(w, place: Column, sums, maxes, position) -> dict[str, Column]:
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    out = {position: place} if position else {}
-    out |= {new: F.sum(old).over(upto) for new, old in sums.items()}
-    return out | {new: F.max(old).over(before) for new, old in maxes.items()}
-
-
-def _running_by_range(df, keys, order, sums, maxes, position):
+    sums, maxes, keys = dict(sums or {}), dict(maxes or {}), list(keys)
     by = [F.col(k).asc_nulls_first() for k in keys] + list(order)
     slotted = stage(
         df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_slot", F.monotonically_increasing_id()),
@@ -129,6 +103,14 @@ def _running_by_range(df, keys, order, sums, maxes, position):
     return out.withColumns(stitched).select(*df.columns, *stitched)
 
 
+def _over(w, place: Column, sums, maxes, position) -> dict[str, Column]:
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    out = {position: place} if position else {}
+    out |= {new: F.sum(old).over(upto) for new, old in sums.items()}
+    return out | {new: F.max(old).over(before) for new, old in maxes.items()}
+
+
 def chunked_lists(
     df: DataFrame,
     keys: Sequence[str],
@@ -136,11 +118,10 @@ def chunked_lists(
     order: Sequence[Column] | None = None,
     size: int = 1000,
     name: str = "members",
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Whole groups as numbered lists of at most ``size`` values: (keys, chunk, n, list)."""
     order = list(order or [F.col(value)])
-    placed = running(df, keys, order, position="_position", hot_rows=hot_rows)
+    placed = running(df, keys, order, position="_position")
     pairs = F.collect_list(F.struct("_position", value))
     if "map<" in df.schema[value].dataType.simpleString():  # maps have no order of their own
         pairs = F.array_sort(pairs, lambda a, b: (a["_position"] - b["_position"]).cast("int"))
@@ -159,7 +140,6 @@ def exact_quantiles(
     value: str,
     probs: Mapping[str, float],
     keys: Sequence[str] = (),
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per key, without gathering the values.
 
@@ -168,7 +148,7 @@ def exact_quantiles(
     """
     keys = list(keys)
     counts = stage(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")), "counts")
-    placed = running(counts, keys, [F.col(value)], sums={"_upto": "_n"}, position=None, hot_rows=hot_rows)
+    placed = running(counts, keys, [F.col(value)], sums={"_upto": "_n"}, position=None)
     if keys:
         totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
         placed = placed.join(totals, keys)

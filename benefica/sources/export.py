@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from benefica.scale import HOT_ROWS, chunked_lists
+from benefica.scale import chunked_lists
 
 
 def full_records(registrant: DataFrame, reg_id: DataFrame, membership: DataFrame, fields: Sequence[str],
-                 page_size: int = 500, hot_rows: int = HOT_ROWS) -> DataFrame:
+                 page_size: int = 500) -> DataFrame:
     """Registrants with their ids as a map, groups with their members one level down.
 
     A group longer than ``page_size`` comes as several numbered pages of the same
@@ -29,7 +29,7 @@ def full_records(registrant: DataFrame, reg_id: DataFrame, membership: DataFrame
         F.col("group_id").alias("partner_id"), F.struct("individual_id", "kind", "individual").alias("member"),
         "individual_id", "kind")
     pages = chunked_lists(members, ["partner_id"], "member", [F.col("individual_id"), F.col("kind")], page_size,
-                          "members", hot_rows).withColumnRenamed("chunk", "page").drop("n")
+                          "members").withColumnRenamed("chunk", "page").drop("n")
     return record.join(pages, "partner_id", "left").withColumn("page", F.coalesce("page", F.lit(0)))
 
 

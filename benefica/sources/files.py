@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from benefica.functions import scoring
-from benefica.scale import HOT_ROWS, running
+from benefica.scale import running
 
 
 def scan_database(spark: SparkSession, url: str, table: str, key: str, low: int, high: int, partitions: int,
@@ -41,10 +41,9 @@ def alert_rows(scored: DataFrame) -> DataFrame:
         F.lit("pending").alias("status"))
 
 
-def batch_file_rows(payments: DataFrame, payer_type: str, payer: str, mode: str, currency: str,
-                    hot_rows: int = HOT_ROWS) -> DataFrame:
+def batch_file_rows(payments: DataFrame, payer_type: str, payer: str, mode: str, currency: str) -> DataFrame:
     """Rows of the payment files, numbered from 0 inside each batch."""
-    placed = running(payments, ["batch"], [F.col("entitlement_id")], position="_place", hot_rows=hot_rows)
+    placed = running(payments, ["batch"], [F.col("entitlement_id")], position="_place")
     note = F.concat(F.lit("Program: "), F.split("batch", "/")[0], F.lit(". Cycle ID - "), F.col("cycle_id").cast("string"))
     return placed.select(
         "batch", (F.col("_place") - 1).alias("id"), F.col("entitlement_id").cast("string").alias("request_id"),

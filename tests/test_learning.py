@@ -42,7 +42,7 @@ def test_forest_and_evaluation(people):
     pos, neg = pdf[pdf.is_fraud == 1].ml_score.to_numpy(), pdf[pdf.is_fraud == 0].ml_score.to_numpy()
     brute = ((pos[:, None] > neg).sum() + 0.5 * (pos[:, None] == neg).sum()) / (len(pos) * len(neg))
     assert abs(area - brute) < 1e-9
-    assert abs(area - learning.auc(scored, "is_fraud", "ml_score", hot_rows=0).first()[0]) < 1e-12
+    assert abs(area - learning.auc(scored, "is_fraud", "ml_score").first()[0]) < 1e-12
     m = learning.confusion(scored, "is_fraud", "ml_score", 0.5).first()
     assert m.tp + m.fp + m.fn + m.tn == len(pdf) and m.accuracy > 0.9
     assert learning.confusion(scored, "is_fraud", "ml_score", 2.0).first().precision == 0

@@ -17,11 +17,10 @@ def skewed(n=3000, seed=1):
     return [("hot" if rnd.random() < 0.6 else rnd.choice("abc"), i, rnd.randint(0, 9)) for i in range(n)]
 
 
-@pytest.mark.parametrize("hot_rows", [0, 10**9])
-def test_running_matches_a_loop(spark, hot_rows):
+def test_running_matches_a_loop(spark):
     rows = skewed()
     df = spark.createDataFrame(rows, "k string, i long, v long")
-    out = running(df, ["k"], [F.col("v").desc(), F.col("i")], sums={"s": "v"}, maxes={"m": "i"}, hot_rows=hot_rows)
+    out = running(df, ["k"], [F.col("v").desc(), F.col("i")], sums={"s": "v"}, maxes={"m": "i"})
     got = {r["i"]: (r["position"], r["s"], r["m"]) for r in out.collect()}
     want, place, total, top = {}, {}, {}, {}
     for k, i, v in sorted(rows, key=lambda r: (r[0], -r[2], r[1])):
@@ -33,9 +32,9 @@ def test_running_matches_a_loop(spark, hot_rows):
 
 def test_running_without_keys_and_with_null_keys(spark):
     df = spark.createDataFrame([(None if i % 3 else "x", i) for i in range(200)], "k string, i long")
-    whole = running(df, [], [F.col("i")], hot_rows=0).collect()
+    whole = running(df, [], [F.col("i")]).collect()
     assert all(r["position"] == r["i"] + 1 for r in whole)
-    a = sorted(map(tuple, running(df, ["k"], [F.col("i")], hot_rows=0).collect()), key=repr)
+    a = sorted(map(tuple, running(df, ["k"], [F.col("i")]).collect()), key=repr)
     b = sorted(map(tuple, running(df, ["k"], [F.col("i")]).collect()), key=repr)
     assert a == b
 
@@ -60,22 +59,20 @@ def test_staged_tables_can_be_dropped(spark):
     scale._staged[:] = kept
 
 
-@pytest.mark.parametrize("hot_rows", [0, 10**9])
-def test_chunked_lists_hold_everything_in_order(spark, hot_rows):
+def test_chunked_lists_hold_everything_in_order(spark):
     df = spark.createDataFrame(skewed(), "k string, i long, v long")
-    out = chunked_lists(df, ["k"], "i", size=100, hot_rows=hot_rows).collect()
+    out = chunked_lists(df, ["k"], "i", size=100).collect()
     assert max(len(r["members"]) for r in out) == 100
     for k in ("hot", "a"):
         pages = sorted((r["chunk"], r["members"]) for r in out if r["k"] == k)
         assert [x for _, m in pages for x in m] == sorted(i for kk, i, _ in skewed() if kk == k)
 
 
-@pytest.mark.parametrize("hot_rows", [0, 10**9])
-def test_exact_quantiles(spark, hot_rows):
+def test_exact_quantiles(spark):
     rnd = random.Random(3)
     values = [round(rnd.gauss(0, 10), 1) for _ in range(2001)] + [5.0] * 1500
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
-    r = exact_quantiles(df, "v", {"a": 0.15, "b": 0.5, "c": 0.95}, hot_rows=hot_rows).first()
+    r = exact_quantiles(df, "v", {"a": 0.15, "b": 0.5, "c": 0.95}).first()
     assert np.allclose([r["a"], r["b"], r["c"]], np.quantile(values, [0.15, 0.5, 0.95]))
 
 
@@ -157,8 +154,7 @@ def test_pagerank_matches_dense_iteration(spark):
     assert abs(sum(got.values()) - 1) < 1e-9
 
 
-@pytest.mark.parametrize("hot_rows", [0, 10**9])
-def test_overlaps_match_all_pairs(spark, hot_rows):
+def test_overlaps_match_all_pairs(spark):
     rnd = random.Random(11)
     rows = []
     for i in range(300):
@@ -171,5 +167,5 @@ def test_overlaps_match_all_pairs(spark, hot_rows):
     lo = lambda r: -10**9 if r[2] is None else r[2]
     hi = lambda r: 10**9 if r[3] is None else r[3]
     want = {a[0] for a in rows for b in rows if a[0] != b[0] and a[1] == b[1] and lo(a) <= hi(b) and lo(b) <= hi(a)}
-    got = {r["id"] for r in validation.overlapping_rows(df, ["k"], "id", "s", "e", hot_rows=hot_rows).collect()}
+    got = {r["id"] for r in validation.overlapping_rows(df, ["k"], "id", "s", "e").collect()}
     assert got == want
