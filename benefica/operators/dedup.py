@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from benefica.functions.text import similarity, trigrams
-from benefica.scale import stage
+from benefica.scale import join_groups, stage
 
 
 def valid_documents(reg_id: DataFrame, as_of: Column, id_types: Sequence[str]) -> DataFrame:
@@ -23,7 +23,7 @@ def repeated(rows: DataFrame, keys: Sequence[str], owner: str = "partner_id") ->
     Rows are counted, not owners: two equal rows of one owner count as a duplicate.
     """
     twice = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*keys)
-    return rows.join(twice, list(keys), "left_semi").select(owner).distinct()
+    return join_groups(rows, twice, keys, "left_semi").select(owner).distinct()
 
 
 def mark_members(membership: DataFrame, duplicated: DataFrame) -> DataFrame:
@@ -49,7 +49,7 @@ def households_by_member(groups: DataFrame, group_membership: DataFrame) -> Data
     """(individual_id, group_id) for individuals who sit in several of the given groups."""
     inside = group_membership.join(groups.select("group_id"), "group_id", "left_semi").select("individual_id", "group_id")
     several = inside.groupBy("individual_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("individual_id")
-    return inside.join(several, "individual_id", "left_semi")
+    return join_groups(inside, several, ["individual_id"], "left_semi")
 
 
 def households_by_attribute(groups: DataFrame, group_membership: DataFrame, attribute: DataFrame,
@@ -74,7 +74,7 @@ def survivors(beneficiaries: DataFrame, duplicate_pairs: DataFrame) -> DataFrame
     enrolled = pairs.groupBy("individual_id").agg(F.count_if(F.col("state") == "enrolled").alias("_enrolled"))
     spared = (F.col("_enrolled") == 1) & (F.col("state") == "enrolled")
     marks = ~spared & ~F.col("state").isin("exited", "not_eligible", "duplicated")
-    return pairs.join(enrolled, "individual_id").groupBy("membership_id", "state").agg(
+    return join_groups(pairs, enrolled, ["individual_id"]).groupBy("membership_id", "state").agg(
         F.bool_or(marks).alias("_mark")).select("membership_id", "state", F.when(
             F.col("_mark"), "duplicated").otherwise(F.col("state")).alias("new_state"))
 

@@ -20,7 +20,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from benefica.scale import stage
+from benefica.scale import join_groups, stage
 
 
 def incidence(nodes: DataFrame, weights: Mapping[str, float], id_column: str = "id") -> DataFrame:
@@ -40,7 +40,7 @@ def incidence(nodes: DataFrame, weights: Mapping[str, float], id_column: str = "
     exploded = nodes.select(F.col(id_column).alias("id"), F.inline(F.filter(
         F.array(*entries), lambda x: x.isNotNull())))
     sizes = exploded.groupBy("subset", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return exploded.join(sizes, ["subset", "key"])
+    return join_groups(exploded, sizes, ["subset", "key"])
 
 
 def degrees(groups: DataFrame) -> DataFrame:
@@ -94,7 +94,7 @@ def pagerank(nodes: DataFrame, weights: Mapping[str, float], rounds: int = 100,
         # Rows carry their key, so a hot group is first summed inside every task.
         placed = groups.join(shared.select("id", "share"), "id")
         sums = placed.groupBy("subset", "key").agg(F.sum("share").alias("total"))
-        received = groups.join(sums, ["subset", "key"]).groupBy("id").agg(
+        received = join_groups(groups, sums, ["subset", "key"]).groupBy("id").agg(
             F.sum(F.col("coef") * F.col("total")).alias("received"))
         inflow = F.coalesce("received", F.lit(0.0)) - F.col("own") * F.col("share")
         everywhere = ((1 - damping) + damping * loose_nodes * loose_rank) / max(n, 1)
@@ -130,7 +130,7 @@ def first_neighbours(nodes: DataFrame, weights: Mapping[str, float], k: int = 5,
     place = F.row_number().over(Window.partitionBy("attribute", "value").orderBy("id"))
     smallest = member.withColumn("_p", place).where(F.col("_p") <= k + 1).groupBy("attribute", "value").agg(
         F.array_sort(F.collect_list("id")).alias("_few"))
-    met = member.join(smallest, ["attribute", "value"]).select(
+    met = join_groups(member, smallest, ["attribute", "value"]).select(
         "id", F.explode(F.slice(F.array_except("_few", F.array("id")), 1, k)).alias("neighbour"))
     # At most k candidates per attribute are left, so each node's list is short.
     lists = met.groupBy("id").agg(F.slice(F.array_sort(F.collect_set("neighbour")), 1, k).alias("_n"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from benefica.functions.text import account_parts, blank_to_null
-from benefica.scale import chunked_lists
+from benefica.scale import chunked_lists, join_groups
 
 # --- id to account mapping ------------------------------------------------------------------------------------
 
@@ -187,11 +187,14 @@ def reconcile(lines: DataFrame, disbursement: DataFrame, geo_batches: DataFrame,
     lines = lines.where(F.col("indicator").isin("D", "RD"))
     place = F.struct("statement_order", "entry_sequence")
     first = lines.where("indicator = 'D'").groupBy("reconciliation_id").agg(F.min(place).alias("_first"))
-    out = lines.join(known, "reconciliation_id", "left").join(first, "reconciliation_id", "left")
+    # All that is known of an id is one row, so its lines are joined once.
+    facts = known.unionByName(first, allowMissingColumns=True)
     has = F.lit(False)
     if stored is not None:
-        out = out.join(stored.select("reconciliation_id", F.lit(True).alias("_stored")), "reconciliation_id", "left")
+        facts = facts.unionByName(stored.select("reconciliation_id", F.lit(True).alias("_stored")), allowMissingColumns=True)
         has = F.coalesce("_stored", F.lit(False))
+    facts = facts.groupBy("reconciliation_id").agg(*[F.min(c).alias(c) for c in facts.columns if c != "reconciliation_id"])
+    out = join_groups(lines, facts, ["reconciliation_id"], "left")
     debit = F.col("indicator") == "D"
     earlier = F.coalesce(F.col("_first.statement_order") <= F.col("statement_order"), F.lit(False))
     outcome = (

@@ -5,48 +5,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from benefica.scale import stage
+from benefica.scale import join_groups, stage
 
 
 def other_owners(pairs: DataFrame, owner: str, value: str, strict: bool = True, wide: int = 8) -> DataFrame:
     """(owner, shared_count) for every owner that shares at least one value.
 
-    An owner with m shared values meets others in the groups of all non-empty
-    subsets of those values; inclusion and exclusion over the group sizes counts
-    each other owner once.  Work is linear in the rows, whatever the group
-    sizes.  Owners with more than ``wide`` values are few and are joined directly.  ``strict`` takes one off the count, as the scoring features expect.
+    Values with one owner are dropped, and owners with the same values are one
+    class with a weight.  A class with m values meets others in the groups of all
+    non-empty subsets of those values; inclusion and exclusion over the group
+    sizes counts each other owner once, whatever the group sizes.  Owners with
+    more than ``wide`` shared values would have too many subsets; they meet
+    classes, never single owners, directly.  ``strict`` takes one off the count,
+    as the scoring features expect.
     """
-    own = pairs.select(F.col(owner).alias("_o"), F.col(value).alias("_v")).where(
-        "_o IS NOT NULL AND _v IS NOT NULL").distinct()
+    own = stage(pairs.select(F.col(owner).alias("_o"), F.col(value).alias("_v")).where(
+        "_o IS NOT NULL AND _v IS NOT NULL").distinct(), "own")
+    several = own.groupBy("_v").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_v")
     first = Window.partitionBy("_o").orderBy("_v")
-    # Never more than wide + 1 values per owner travel on; the lists are written once
-    # because the check for wide owners and the counting both read them.
+    # Never more than wide + 1 values per owner travel on.
     lists = stage(
-        own.withColumn("_i", F.row_number().over(first)).where(F.col("_i") <= wide + 1)
+        join_groups(own, several, ["_v"], "left_semi").withColumn("_i", F.row_number().over(first)).where(F.col("_i") <= wide + 1)
         .groupBy("_o").agg(F.array_sort(F.collect_list("_v")).alias("_vs")), "values")
+    narrow = lists.where(F.size("_vs") <= wide)
+    classes = stage(narrow.groupBy("_vs").agg(F.count(F.lit(1)).alias("_w")), "classes")
 
     masks = F.expr("explode(sequence(1, shiftleft(1, size(_vs)) - 1)) AS _mask")
-    subsets = lists.where(F.size("_vs") <= wide).select("_o", "_vs", masks).select(
-        "_o",
+    subsets = classes.select("_vs", "_w", masks).select(
+        "_vs", "_w",
         F.expr("filter(_vs, (v, i) -> (shiftright(_mask, i) & 1) = 1)").alias("_s"),
         F.when(F.bit_count("_mask") % 2 == 1, 1).otherwise(-1).alias("_sign"),
     )
-    groups = subsets.groupBy("_s").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    met = subsets.join(groups, "_s").select("_o", F.expr("_sign * (_n - 1)").alias("_c"))
-
-    if not lists.where(F.size("_vs") > wide).isEmpty():
-        met = met.unionByName(_met_through_wide_owners(own, lists.where(F.size("_vs") > wide).select("_o")))
-    total = met.groupBy("_o").agg(F.sum("_c").alias("_c"))
+    groups = subsets.groupBy("_s").agg(F.sum("_w").alias("_n")).where("_n > 1")
+    met = join_groups(subsets, groups, ["_s"]).select("_vs", F.expr("_sign * (_n - 1)").alias("_c"))
+
+    wide_own = join_groups(own, lists.where(F.size("_vs") > wide).select("_o"), ["_o"], "left_semi").select(
+        F.col("_o").alias("_x"), "_v")
+    touched = stage(wide_own.join(classes.select("_vs", "_w", F.explode("_vs").alias("_v")), "_v").select(
+        "_x", "_vs", "_w").distinct(), "touched")
+    others = wide_own.join(wide_own.withColumnRenamed("_x", "_y"), "_v").where("_x <> _y").select("_x", "_y").distinct()
+    of_wide = touched.select("_x", F.col("_w").alias("_c")).unionByName(others.select("_x", F.lit(1).cast("long").alias("_c")))
+    per_class = met.unionByName(touched.select("_vs", F.lit(1).cast("long").alias("_c"))).groupBy("_vs").agg(F.sum("_c").alias("_c"))
+    total = join_groups(narrow, per_class, ["_vs"]).select("_o", "_c").unionByName(
+        of_wide.groupBy(F.col("_x").alias("_o")).agg(F.sum("_c").alias("_c")))
     n = F.col("_c") - 1 if strict else F.col("_c")
     return total.where("_c > 0").select(F.col("_o").alias(owner), n.cast("long").alias("shared_count"))
-
-
-def _met_through_wide_owners(own: DataFrame, wide_ids: DataFrame) -> DataFrame:
-    """(_o, _c) rows to add: all others of a wide owner, and for a narrow owner the wide owners it met."""
-    wide_rows = own.join(wide_ids, "_o", "left_semi").select(F.col("_o").alias("_w"), "_v")
-    met = (
-        wide_rows.join(own, "_v").where("_w <> _o").select("_w", "_o").distinct()
-        .join(wide_ids.select(F.col("_o").alias("_x")), F.col("_o") == F.col("_x"), "left")
-    )
-    counted = F.when(F.col("_x").isNull(), F.array("_w", "_o")).otherwise(F.array("_w"))
-    return met.select(F.explode(counted).alias("_o"), F.lit(1).cast("long").alias("_c"))

@@ -9,7 +9,7 @@ from benefica.operators import dashboards, households, programs
 from benefica.operators.graph import merged_edge_weights
 from benefica.plans.joins import MEMBERS
 from benefica.plans.registry import query
-from benefica.scale import chunked_lists
+from benefica.scale import chunked_lists, join_groups
 
 def as_of():
     return F.lit("2002-01-01").cast("date")
@@ -24,7 +24,7 @@ AGE = "date_part('year', age(DATE '2002-01-01', birthdate))"
     FROM g JOIN reg_id USING (id_type, value) GROUP BY ALL""")
 def _(t):
     twice = t.reg_id.groupBy("id_type", "value").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    rows = t.reg_id.join(twice, ["id_type", "value"], "left_semi")
+    rows = join_groups(t.reg_id, twice, ["id_type", "value"], "left_semi")
     return chunked_lists(rows, ["id_type", "value"], "partner_id").withColumn(
         "members", F.array_join(F.col("members").cast("array<string>"), ","))
 
@@ -35,7 +35,7 @@ def _(t):
 def _(t):
     # The kept row is the smallest id of its key: an aggregate instead of an ordered window.
     first = t.reg_id.groupBy("id_type", "value").agg(F.min("partner_id").alias("_keep"))
-    return t.reg_id.join(first, ["id_type", "value"]).where("partner_id <> _keep").select(
+    return join_groups(t.reg_id, first, ["id_type", "value"]).where("partner_id <> _keep").select(
         "partner_id", "id_type", "value")
 
 

@@ -11,7 +11,7 @@ from benefica.plans.aggregates import BALANCE, EDGES_SQL, FUNDS_CTE, funds, grap
 from benefica.plans.fraud import STAR, features_of
 from benefica.plans.projections import CLEAN_CTE, clean_survey, survey
 from benefica.plans.registry import query
-from benefica.scale import running
+from benefica.scale import join_groups, running
 
 
 @query("e01_shared_value_count", f"""
@@ -22,7 +22,7 @@ def _(t):
     df = clean_survey(survey(t)).select("id", "phone_number")
     counts = df.groupBy("phone_number").agg(F.count("phone_number").alias("_n"))
     shared = F.coalesce("_n", F.lit(1))
-    return df.join(counts.where("phone_number IS NOT NULL"), "phone_number", "left").select(
+    return join_groups(df, counts, ["phone_number"], "left").select(
         "id", shared.alias("shared"), (shared >= 3).cast("int").alias("flag"))
 
 

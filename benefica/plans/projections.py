@@ -9,6 +9,7 @@ from benefica.functions import text
 from benefica.operators import eligibility, records
 from benefica.operators.domain import Relation, domain_filter
 from benefica.plans.registry import query
+from benefica.scale import join_groups
 
 def as_of():
     return F.lit("2002-01-01").cast("date")
@@ -200,7 +201,7 @@ def _(t):
     suspicious = (
         (F.coalesce("shared_phone_count", F.lit(1)) >= 3) | (dependency >= 3) | (per_person < 100)
         | F.coalesce((F.col("income") < 500) & (F.col("vehicles_owned") >= 3), F.lit(False)))
-    return df.join(counts, "phone_number", "left").select("id", suspicious.cast("int").alias("is_suspicious"))
+    return join_groups(df, counts, ["phone_number"], "left").select("id", suspicious.cast("int").alias("is_suspicious"))
 
 
 @query("b25_search_by_name", """

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from benefica.operators import dedup, payments
 from benefica.plans.registry import query
+from benefica.scale import join_groups
 from benefica.plans.scalars import grams_sql
 
 def as_of():
@@ -142,7 +143,7 @@ def _(t):
 def _(t):
     keys = ["id_type", "value"]
     twice = t.reg_id.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys)
-    found = t.reg_id.join(twice, keys, "left_semi").select(
+    found = join_groups(t.reg_id, twice, keys, "left_semi").select(
         F.lit("id").alias("manager"), F.col("id_type").alias("reason"), F.col("value").alias("set_id"),
         F.col("partner_id").alias("member"))
     stored = found.selectExpr("manager", "reason", "member",

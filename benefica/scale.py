@@ -53,6 +53,20 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join rows to an aggregate of their own keys, one row per key, so that a hot key can be split.
+
+    Spark splits a skewed key only if both sides of a join are plain shuffles; an
+    aggregate is not, so it is written first.  Rows with a NULL key have no group
+    and take no part in the join.  ``how`` is inner, left or left_semi.
+    """
+    filled = F.lit(True)
+    for k in keys:
+        filled = filled & F.col(k).isNotNull()
+    out = rows.where(filled).join(stage(groups.where(filled), "groups"), list(keys), how)
+    return out.unionByName(rows.where(~filled), allowMissingColumns=True) if how == "left" else out
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
