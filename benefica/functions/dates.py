@@ -60,37 +60,48 @@ def nth_weekday(month_start: Column, n: int, weekday: str) -> Column:
     return F.date_add(on_or_after_weekday(month_start, weekday), 7 * (n - 1))
 
 
-def occurrence_on_or_after(start: Column, rule: dict) -> Column:
-    """First occurrence of the rule at or after ``start``.
+# A grid of months meets every day that it ever meets within so many steps.
+MONTH_STEPS, YEAR_STEPS = 24, 12
 
-    Rules: {"type": daily | weekly | monthly | yearly, "interval": n, "weekday": "Mon", "day": 10, "nth": 1}.
-    """
-    kind = rule["type"]
-    if kind == "weekly" and rule.get("weekday"):
-        return on_or_after_weekday(start, rule["weekday"])
-    if kind == "monthly" and rule.get("nth"):
-        this = nth_weekday(F.trunc(start, "month"), rule["nth"], rule["weekday"])
-        following = nth_weekday(F.add_months(F.trunc(start, "month"), rule["interval"]), rule["nth"], rule["weekday"])
-        return F.when(this >= start, this).otherwise(following)
-    if kind == "monthly" and rule.get("day"):
-        this = F.date_add(F.trunc(start, "month"), rule["day"] - 1)
-        return F.when(this >= start, this).otherwise(
-            F.date_add(F.add_months(F.trunc(start, "month"), rule["interval"]), rule["day"] - 1))
-    return start
 
+def _on_grid(start: Column, months: int, steps: int, pick) -> Column:
+    """``pick(first of month)`` every ``months`` months from the month of ``start``; dates outside their month do not exist."""
+    def at(k: Column) -> Column:
+        first = F.add_months(F.trunc(start, "month"), k * months)
+        day = pick(first)
+        return F.when(F.trunc(day, "month") == first, day)
 
-def next_occurrence(current: Column, rule: dict) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(steps)), at)
+
+
+def occurrences(start: Column, rule: dict) -> Column:
+    """The first occurrences of a rule whose grid begins at ``start``, in order, none before it.
+
+    Rules: {"type": daily | weekly | monthly | yearly, "interval": n, "weekday": "Mon", "day": 10, "nth": 1}.  Months without
+    the day or without an nth weekday are skipped, and so are years without the 29th of February.
+    """
     kind, step = rule["type"], rule["interval"]
     if kind == "daily":
-        return F.date_add(current, step)
+        return F.array(start, F.date_add(start, step))
     if kind == "weekly":
-        return F.date_add(current, 7 * step)
-    if kind == "monthly" and rule.get("nth"):
-        return nth_weekday(F.add_months(F.trunc(current, "month"), step), rule["nth"], rule["weekday"])
-    return F.add_months(current, step * (12 if kind == "yearly" else 1))
+        day = F.date_add(F.trunc(start, "week"), WEEKDAYS.index(rule["weekday"])) if rule.get("weekday") else start
+        found = F.array(*[F.date_add(day, 7 * step * k) for k in range(3)])
+    elif kind == "monthly" and rule.get("nth"):
+        found = _on_grid(start, step, MONTH_STEPS, lambda first: nth_weekday(first, rule["nth"], rule["weekday"]))
+    elif kind == "monthly":
+        day = F.lit(rule["day"]) if rule.get("day") else F.dayofmonth(start)
+        found = _on_grid(start, step, MONTH_STEPS, lambda first: F.date_add(first, day - 1))
+    else:
+        found = _on_grid(start, 12 * step, YEAR_STEPS, lambda first: F.date_add(first, F.dayofmonth(start) - 1))
+    return F.filter(found, lambda d: d >= start)
+
+
+def next_occurrence(current: Column, rule: dict) -> Column:
+    """The occurrence after ``current``, which is one itself."""
+    return F.get(occurrences(current, rule), F.lit(1))
 
 
 def cycle_range(new_start: Column, rule: dict) -> tuple[Column, Column]:
     """Start and end of the cycle that begins at or after ``new_start``."""
-    start = occurrence_on_or_after(new_start, rule)
-    return start, F.date_sub(next_occurrence(start, rule), 1)
+    found = occurrences(new_start, rule)
+    return F.get(found, F.lit(0)), F.date_sub(F.get(found, F.lit(1)), 1)

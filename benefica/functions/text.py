@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -91,19 +92,28 @@ def is_similar(a: Column, b: Column, threshold: float = TRIGRAM_THRESHOLD) -> Co
 
 # One piece of markup: raw script or style, comment, tag, or text up to the next "<".
 MARKUP = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[!/?a-z][^>]*>|[^<]+|<"
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"),
-            ("&copy;", "\u00a9"), ("&eacute;", "\u00e9"), ("&mdash;", "\u2014"), ("&hellip;", "\u2026"), ("&middot;", "\u00b7"),
-            ("&amp;", "&"), ("&amp", "&")]
+# The names of characters, with and (for the old ones) without their semicolon.
+NAMED = "\x01".join(f"&{name}\x02{char}" for name, char in html5.items())
+_OLD = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True))
+REFERENCE = rf"&#[0-9]{{1,7}};?|&#[xX][0-9a-fA-F]{{1,6}};?|&[A-Za-z][A-Za-z0-9]*;|&(?:{_OLD})|[^&]+|&"
 BLANKS = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 
 def text_from_html(html: Column, max_words: int | None = None, max_chars: int | None = None,
                    ellipsis: str = "\u2026") -> Column:
     """All text nodes joined, blanks squeezed, cut to words and characters; missing markup gives ''."""
+    names = F.str_to_map(F.lit(NAMED), F.lit("\x01"), F.lit("\x02"))  # folded into one literal
+
+    def character(r: Column) -> Column:
+        code = F.when(r.rlike("^&#[0-9]"), F.regexp_extract(r, "[0-9]+", 0).cast("int")).when(
+            r.rlike("^&#[xX]"), F.conv(F.regexp_extract(r, "[0-9a-fA-F]+", 0), 16, 10).cast("int"))
+        valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        return (F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+                .when(r.startswith("&") & (F.length(r) > 1), F.coalesce(F.element_at(names, r), r)).otherwise(r))
+
     def piece(p: Column) -> Column:
-        text = p
-        for entity, char in ENTITIES:
-            text = F.replace(text, F.lit(entity), F.lit(char))
+        decoded = F.array_join(F.transform(F.regexp_extract_all(p, F.lit(REFERENCE), F.lit(0)), character), "")
+        text = F.when(p.contains("&"), decoded).otherwise(p)
         raw = F.regexp_replace(p, r"(?is)^<[^>]*>|</(?:script|style)\s*>$", "")
         return (F.when(F.regexp(p, F.lit(r"(?is)^<(?:script|style)\b.*</(?:script|style)\s*>$")), raw)
                 .when(p.startswith("<") & (p != "<"), F.lit("")).otherwise(text))
@@ -130,7 +140,7 @@ def e164(phone: Column, country_code: str, trunk: str = "0") -> Column:
     national = F.regexp_replace(bare, f"^{trunk}+", "")
     return (
         F.when(bare.startswith("+"), F.concat(F.lit("+"), F.regexp_replace(bare, r"[^0-9]", "")))
-        .when(bare.startswith("00") & (F.length(bare) > 2), F.concat(F.lit("+"), F.substring(bare, 3, 30)))
+        .when(bare.startswith("00") & (F.length(bare) > 2), F.concat(F.lit("+"), F.substr(bare, F.lit(3))))
         .when(F.length(national) > 0, F.concat(F.lit(f"+{country_code}"), national))
     )
 
@@ -209,7 +219,7 @@ def iban(country: Column, bank_code: Column, account: Column) -> Column:
 def dated_application_id(day: Column, key: Column) -> Column:
     """ddMMyy and five digits drawn from the key, 1 to 100000."""
     return F.concat(F.date_format(day, "ddMMyy"),
-                    F.lpad((F.pmod(F.xxhash64(key), F.lit(100000)) + 1).cast("string"), 5, "0"))
+                    F.format_string("%05d", F.pmod(F.xxhash64(key), F.lit(100000)) + 1))
 
 
 def entitlement_number(key: Column) -> Column:

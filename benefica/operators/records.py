@@ -44,7 +44,7 @@ def map_records(
         out.update(fn(df))
     for target in only_create:
         if not for_create:
-            out[target] = F.lit(None).cast("string")
+            out[target] = F.lit(None).cast(df.select(out[target]).schema[0].dataType)
     if changed_fields:
         for target, watched in (changed_by or {}).items():
             hit = F.arrays_overlap(F.col(changed_fields), F.array(*[F.lit(w) for w in watched]))

@@ -22,11 +22,11 @@ def default_rules() -> list[dict]:
 def scan_rules(spark: SparkSession, path: str) -> list[dict]:
     """Rule file in shared storage; rules that are switched off are left out."""
     rules = (
-        spark.read.json(path, multiLine=True).select(F.explode("rules").alias("r")).select("r.*")
+        spark.read.json(path, multiLine=True).select(F.posexplode("rules").alias("_place", "r")).select("_place", "r.*")
     )
     if "enabled" in rules.columns:
         rules = rules.where(F.coalesce("enabled", F.lit(True)))
-    return [row.asDict() for row in rules.orderBy("id").collect()]
+    return [row.asDict() for row in rules.orderBy("_place").drop("_place").collect()]
 
 
 _BINARY = {
@@ -34,7 +34,7 @@ _BINARY = {
     ast.Sub: lambda a, b: a - b,
     ast.Mult: lambda a, b: a * b,
     ast.Div: lambda a, b: F.when(b == 0, F.lit(0.0)).otherwise(a / F.nullif(b, F.lit(0))),
-    ast.Mod: lambda a, b: F.when(b == 0, F.lit(0.0)).otherwise(F.pmod(a, F.nullif(b, F.lit(0)))),
+    ast.Mod: lambda a, b: F.when(b == 0, F.lit(0.0)).otherwise(a - b * F.floor(a / F.nullif(b, F.lit(0)))),
     ast.Pow: F.pow,
 }
 _COMPARE = {

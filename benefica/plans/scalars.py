@@ -209,7 +209,8 @@ RULES = {
       y AS (SELECT *, m + CAST((8 - isodow(m)) % 7 AS INT) AS n0, m1 + CAST((8 - isodow(m1)) % 7 AS INT) AS n1, m2 + CAST((8 - isodow(m2)) % 7 AS INT) AS n2,
             d + CAST((8 - isodow(d)) % 7 AS INT) AS w FROM x),
       r AS (SELECT partner_id, 'daily' AS rule, d AS s, d + 19 AS e FROM y
-        UNION ALL SELECT partner_id, 'yearly', d, CAST(d + INTERVAL 1 YEAR AS DATE) - 1 FROM y
+        UNION ALL SELECT partner_id, 'yearly', d, CASE WHEN month(d) = 2 AND day(d) = 29 THEN
+            make_date(year(d) + 4, 2, 29) ELSE CAST(d + INTERVAL 1 YEAR AS DATE) END - 1 FROM y
         UNION ALL SELECT partner_id, 'monthly_day', CASE WHEN day(d) <= 10 THEN m + 9 ELSE m1 + 9 END,
             CASE WHEN day(d) <= 10 THEN m1 + 8 ELSE m2 + 8 END FROM y
         UNION ALL SELECT partner_id, 'monthly_nth', CASE WHEN n0 >= d THEN n0 ELSE n1 END,
@@ -232,6 +233,17 @@ def _(t):
         text.entitlement_number(F.col("membership_id")).alias("number"))
 
 
+@query("h19_id_formats", """
+    SELECT strftime(enrollment_date, '%d%m%y') AS day, count(*) AS n, count(*) AS well_formed, true AS at_least_five
+    FROM program_membership GROUP BY 1""")
+def _(t):
+    made = text.dated_application_id(F.col("enrollment_date"), F.col("membership_id"))
+    day = F.date_format("enrollment_date", "ddMMyy")
+    return t.program_membership.groupBy(day.alias("day")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(made.startswith(day) & made.rlike("^[0-9]{11,12}$")).alias("well_formed"),
+        (F.min(F.length(made)) >= 11).alias("at_least_five"))
+
+
 @query("h26_entitlement_amount", """
     WITH m AS (SELECT group_id AS partner_id, count(*) AS n FROM group_membership GROUP BY 1)
     SELECT partner_id, 500 + CASE WHEN is_group THEN 40.0 * least(coalesce(n, 0), 4) ELSE 0 END AS amount,

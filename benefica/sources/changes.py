@@ -32,5 +32,5 @@ def published(df: DataFrame, condition: str | Column | None, key: str, topic: st
 
 
 def since(df: DataFrame, column: str, cursor: Column) -> DataFrame:
-    """Rows at or after the cursor; rows without a time are kept for the next run to judge."""
+    """Rows at or after the cursor; a row without a time is newer than nothing and is left out."""
     return df.where(F.col(column) >= cursor)

@@ -310,3 +310,36 @@ def test_fuzzy_duplicates_match_all_pairs(spark):
                 if s >= 0.7 - 1e-12:
                     want[(a[0], b[0])] = round(s, 6)
     assert got == want
+
+
+@pytest.mark.parametrize("rule,start,want", [
+    ({"type": "monthly", "interval": 1, "day": 31}, "2023-02-05", ("2023-03-31", "2023-05-30")),
+    ({"type": "monthly", "interval": 1, "day": 29}, "2023-02-05", ("2023-03-29", "2023-04-28")),
+    ({"type": "monthly", "interval": 2, "day": 30}, "2023-12-31", ("2024-04-30", "2024-06-29")),
+    ({"type": "monthly", "interval": 1, "nth": 5, "weekday": "Fri"}, "2023-07-01", ("2023-09-29", "2023-12-28")),
+    ({"type": "monthly", "interval": 1, "nth": -1, "weekday": "Fri"}, "2023-02-05", ("2023-02-24", "2023-03-30")),
+    ({"type": "monthly", "interval": 1}, "2023-01-31", ("2023-01-31", "2023-03-30")),
+    ({"type": "yearly", "interval": 1}, "2024-02-29", ("2024-02-29", "2028-02-28")),
+    ({"type": "weekly", "interval": 2, "weekday": "Mon"}, "2022-12-15", ("2022-12-26", "2023-01-08")),
+])
+def test_cycles_skip_days_that_do_not_exist(spark, rule, start, want):
+    a, b = dates.cycle_range(F.lit(start).cast("date"), rule)
+    r = one(spark, a=a.cast("string"), b=b.cast("string"))
+    assert (r.a, r.b) == want
+
+
+@pytest.mark.parametrize("html,want", [
+    ("&#8217;&Agrave;&euro;&#x1F600;", "’À€\U0001f600"), ("&amp;lt; &ampx &nothing; & &#0; &copy2", "&lt; &x &nothing; & &#0; ©2")])
+def test_html_references(spark, html, want):
+    assert one(spark, t=text.text_from_html(F.lit(html))).t == want
+
+
+def test_small_repairs(spark):
+    df = spark.createDataFrame([(5, -3), (-5, 3), (6, 0)], "a long, b long")
+    right = rules.condition_column("a % b == -1 or a % b == 1 or b == 0 and a % b == 0", df.columns)
+    assert [r[0] for r in df.select(right).collect()] == [True, True, True]
+    assert one(spark, p=text.e164(F.lit("00" + "1" * 40), "94")).p == "+" + "1" * 40
+    ids = spark.range(200000).select(text.dated_application_id(F.lit("2024-01-02").cast("date"), F.col("id")).alias("x"))
+    assert ids.where(~F.col("x").rlike("^020124([0-9]{5}|100000)$")).count() == 0
+    mapped = records.map_records(df, direct=[(F.lit("2024-01-02").cast("date"), "day")], only_create=["day"])
+    assert mapped.schema["day"].dataType.simpleString() == "date"
