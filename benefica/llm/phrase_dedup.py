@@ -42,20 +42,19 @@ class WordHashes:
     """64-bit hashes of words, remembered for a bounded number of words."""
 
     def __init__(self):
-        self.known, self.hashes = {}, []
+        self.known, self.hashes = {}, np.zeros(1024, np.uint64)
 
     def __call__(self, lists: list[list[bytes]]) -> np.ndarray:
         if len(self.known) > KNOWN_WORDS:
-            self.known, self.hashes = {}, []
-        known, hashes = self.known, self.hashes
-        for ws in lists:
-            for w in ws:
-                if w not in known:
-                    known[w] = len(hashes)
-                    hashes.append(xxhash.xxh64_intdigest(w, 7))
-        n = sum(map(len, lists))
-        at = np.fromiter((known[w] for ws in lists for w in ws), np.int64, n)
-        return np.array(hashes, np.uint64)[at]
+            self.known = {}
+        known = self.known
+        new = {w for ws in lists for w in ws if w not in known}
+        while len(known) + len(new) > len(self.hashes):
+            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
+        for at, w in enumerate(new, len(known)):
+            known[w] = at
+            self.hashes[at] = xxhash.xxh64_intdigest(w, 7)
+        return self.hashes[np.fromiter((known[w] for ws in lists for w in ws), np.int64, sum(map(len, lists)))]
 
 
 class Ranges:
@@ -161,30 +160,36 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def windows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
         for some in parts:
-            for t, row, segs in zip(some["text"], some["row"], some["segs"]):
-                ranges = Ranges(known([words(t)]))
-                many = np.array([s["many"] for s in segs])
-                first = np.repeat([s["first"] for s in segs], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            for lo in range(0, len(some), TEXTS):
+                part = some.iloc[lo:lo + TEXTS]
+                lists = [words(t) for t in part["text"]]
+                sizes = np.array([len(x) for x in lists])
+                doc = np.repeat(np.arange(len(lists)), [len(x) for x in part["first"]])
+                h, seg, first, many, whole = (np.concatenate(part[c].tolist()) for c in ("h", "seg", "first", "many", "whole"))
+                each = np.repeat(np.arange(len(doc)), many)
+                start = first[each] + np.arange(len(each)) - (np.cumsum(many) - many)[each]
+                at = start + (np.cumsum(sizes) - sizes)[doc[each]]
                 yield pd.DataFrame({
-                    "row": row, "h": np.repeat([s["h"] for s in segs], many), "seg": np.repeat([s["seg"] for s in segs], many),
-                    "whole": np.repeat([s["whole"] for s in segs], many), "first": first.astype(np.int32),
-                    "win": ranges(first, first + window).view(np.int64)})
+                    "row": part["row"].to_numpy()[doc[each]], "h": h[each], "seg": seg[each], "whole": whole[each].astype(bool),
+                    "first": start.astype(np.int32), "win": Ranges(known(lists))(at, at + window).view(np.int64)})
 
-    asked = marked.where("ask").groupBy("row").agg(F.collect_set(F.struct("h", "seg", "first", "many", "whole")).alias("segs"))
-    opened = stage(rows.select("row", "text").join(stage(asked, "asked"), "row").mapInPandas(
+    asked = marked.where("ask").groupBy("row").agg(F.collect_set(F.struct("h", "seg", "first", "many", "whole")).alias("s"))
+    asked = stage(asked.select("row", *[F.col(f"s.{c}").alias(c) for c in ("h", "seg", "first", "many", "whole")]), "asked")
+    opened = stage(rows.select("row", "text").join(asked, "row").mapInPandas(
         windows, "row long, h long, seg long, whole boolean, first int, win long"), "opened")
     again = stage(opened.groupBy("h", "win", "seg").agg(F.lit(1).alias("x")).groupBy("h", "win").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "win"), "again")
     edges = opened.where("NOT whole").join(again, ["h", "win"]).select("row", "first", F.lit(1).alias("many"))
     runs = stage(marked.where("whole").select("row", "first", "many").unionByName(edges)
-                 .groupBy("row").agg(F.collect_set(F.struct("first", "many")).alias("runs")), "runs")
-    drop_stage(opened), drop_stage(again), drop_stage(marked)
+                 .groupBy("row").agg(F.collect_set(F.struct("first", "many")).alias("r"))
+                 .select("row", F.col("r.first").alias("first"), F.col("r.many").alias("many")), "runs")
+    drop_stage(opened), drop_stage(again), drop_stage(marked), drop_stage(asked)
 
     def locate(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for some in parts:
             for lo in range(0, len(some), TEXTS):
                 part = some.iloc[lo:lo + TEXTS]
                 lists, kept = [words(t) for t in part["text"]], []
-                for ws, gone in zip(lists, occurrences(lists, [r if r is None else [(s["first"], s["many"]) for s in r] for r in part["runs"]], window)):
+                for ws, gone in zip(lists, occurrences(lists, list(zip(part["first"], part["many"])), window)):
                     kept.append([w for w, g in zip(ws, gone.tolist()) if not g])
                 yield pd.DataFrame({"id": part["id"], "n_words": [len(x) for x in lists], "n_removed": [len(x) - len(k) for x, k in zip(lists, kept)],
                                     "sha": [_digest(k) for k in kept], **({"kept": [b" ".join(k).decode() for k in kept]} if texts else {})})
@@ -193,7 +198,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     changed = rows.join(runs, "row").mapInPandas(locate, f"id {kind}, n_words long, n_removed long, sha string" + ", kept string" * texts)
     if texts:
         plain = rows.join(runs.select("row"), "row", "left_anti").mapInPandas(
-            lambda parts: locate(p.assign(runs=None) for p in parts), f"id {kind}, n_words long, n_removed long, sha string, kept string")
+            lambda parts: locate(p.assign(first=None, many=None) for p in parts), f"id {kind}, n_words long, n_removed long, sha string, kept string")
     else:
         plain = found.join(runs.select("row"), "row", "left_anti").withColumn("n_removed", F.lit(0).cast("long"))
     return changed.select(*names).unionByName(plain.select(*names)).withColumnsRenamed({"id": id_col, "sha": "kept_sha256", "kept": "kept_text"})
@@ -202,20 +207,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def occurrences(lists: list[list[bytes]], runs: list, window: int) -> list[np.ndarray]:
     """For each document of a shard which words lie in an occurrence of a confirmed passage of the shard.
 
-    ``runs`` has for each document its recurring windows as (first, many); windows in a row make one passage.
+    ``runs`` has for each document the first places and the lengths of runs of recurring windows, or None twice; windows in
+    a row make one passage.
     """
     import ahocorasick
 
     number: dict[bytes, int] = {}
     ids = [tuple([number.setdefault(w, len(number)) for w in ws]) for ws in lists]
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for doc, found in zip(ids, runs):
-        if found is None:
+    for doc, (first, many) in zip(ids, runs):
+        if first is None:
             continue
         inside = np.zeros(len(doc) + 1, np.int64)  # starts of recurring windows
-        for first, many in found:
-            inside[first] += 1
-            inside[first + many] -= 1
+        np.add.at(inside, first, 1)
+        np.subtract.at(inside, first + many, 1)
         is_start = np.cumsum(inside) > 0
         edge = np.flatnonzero(np.diff(np.concatenate([[False], is_start, [False]]).astype(np.int8)))
         for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
