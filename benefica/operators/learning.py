@@ -186,21 +186,15 @@ def fit_isolation_forest(df: DataFrame, key: str, columns: Sequence[str], trees:
                          seed: int = 42) -> list:
     """Trees grown in parallel, each from ``sample`` rows; returns at most trees x 2 x sample node rows.
 
-    A hash keeps about 400 x sample rows of a large table, and a second one keeps
-    somewhat more rows than each tree needs, so no step grows with the table.
+    For every tree a hash draws somewhat more rows than it needs from the whole
+    table, of which the tree takes the ``sample`` with the smallest hash.
     """
     n = df.count()
     pool = df.select(F.col(key).alias("_k"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
-
-    def keep(*parts: Column, share: float) -> Column:
-        return F.pmod(F.xxhash64(*parts, F.lit(seed)), F.lit(1_000_000_007)) < share * 1_000_000_007
-
-    if n > 400 * sample:
-        pool = pool.where(keep(F.col("_k"), share=400 * sample / n))
-        n = 400 * sample
-    drawn = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    if n > 1.6 * sample:
-        drawn = drawn.where(keep(F.col("_k"), F.col("tree"), share=1.6 * sample / n))
+    share = min(1.0, 1.6 * sample / max(n, 1))
+    # Each row names the trees that draw it before it is copied, so a large table is not multiplied by the trees.
+    drawn = pool.withColumn("tree", F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda k: F.pmod(
+        F.xxhash64(F.col("_k"), k, F.lit(seed)), F.lit(1_000_000_007)) < share * 1_000_000_007)))
     names = list(columns)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from benefica.functions import scoring
-from benefica.operators import population, records, rules
+from benefica.operators import records, rules
 from benefica.plans.fraud import LIGHT, level_sql, light_features
 from benefica.plans.ordering import BATCHES, batches
 from benefica.plans.projections import AFTER, after_image
@@ -176,17 +176,6 @@ def _(t):
     return t.spark.read.parquet(path)
 
 
-@query("a16_normalised_load")
-def _(t):
-    ids = t.customer.select(F.col("c_custkey").alias("idx"))
-    tables = population.normalised_tables(population.population(ids, ids.count()))
-    out = None
-    for name, df in tables.items():
-        one = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table"), "n_rows")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 @query("a17_case_update", """
     WITH u AS (SELECT entitlement_id, CASE WHEN program_id = 1 THEN 'closed' END AS state, CASE WHEN program_id = 2 THEN
         'X' END AS code FROM entitlement WHERE initial_amount < 50000)

@@ -115,11 +115,9 @@ def _(t):
 
 
 @query("l08_audit_stream", """
-    WITH h AS (SELECT user_id, max_by(event_type, (ts, event_id)) AS a FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY 1),
-      k AS (SELECT user_id, max_by(event_type, (ts, event_id)) AS b FROM events WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY 1)
-    SELECT user_id, 'create' AS change, 'event_type' AS field, NULL AS old_value, a AS new_value FROM h
-    UNION ALL SELECT user_id, CASE WHEN h.user_id IS NULL THEN 'create' ELSE 'write' END, 'event_type', a, b
-    FROM k LEFT JOIN h USING (user_id) WHERE a IS DISTINCT FROM b""")
+    SELECT user_id, CASE WHEN old IS NULL THEN 'create' ELSE 'write' END AS change, 'event_type' AS field, old AS old_value,
+        event_type AS new_value FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS old
+        FROM events) WHERE old IS DISTINCT FROM event_type""")
 def _(t):
     df = t.events.select("event_id", "user_id", "event_type", "ts")
     inbox, checkpoint, log = folder(t, "images"), folder(t, "checkpoint"), folder(t, "log")
@@ -167,3 +165,46 @@ def _(t):
         lambda s: s.select("partner_id", F.round(scoring.heuristic_rule_score(), 6).alias("rule_score")).where(
             "rule_score >= 0.3"), out)
     return t.spark.read.parquet(out)
+
+
+def counted(t, window, keys):
+    """Window counts of all events, an event that comes after its window was closed, and one that closes the last window."""
+    df = t.events.select(F.col("ts").cast("timestamp").alias("ts"), "event_type", F.col("user_id").cast("long").alias("user_id"))
+    edges = df.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    late = edges.select(F.col("lo").alias("ts"), F.lit("late").alias("event_type"), F.lit(-1).cast("long").alias("user_id"))
+    close = edges.select((F.col("hi") + F.expr("INTERVAL 30 DAYS")).alias("ts"), F.lit("close").alias("event_type"),
+                         F.lit(-1).cast("long").alias("user_id"))
+    inbox, checkpoint, out = (folder(t, x) for x in ("timed", "checkpoint", "windows"))
+    for part in (df, late.union(close)):
+        part.write.mode("append").parquet(inbox)
+        jobs.windowed_counts(read_files(t.spark, inbox, df.schema), checkpoint, window, keys, out)
+    form = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return t.spark.read.parquet(out).select(form("start"), form("end"), *keys, "n")
+
+
+STAMP = "%Y-%m-%d %H:%M:%S"
+
+
+@query("l12_tumbling_counts", f"""
+    SELECT strftime(date_trunc('day', ts), '{STAMP}') AS start, strftime(date_trunc('day', ts) + INTERVAL 1 DAY, '{STAMP}') AS "end",
+        event_type, count(*) AS n FROM events GROUP BY ALL""")
+def _(t):
+    return counted(t, F.window("ts", "1 day"), ["event_type"])
+
+
+@query("l12_sliding_counts", f"""
+    WITH e AS (SELECT event_type, date_trunc('day', ts) - to_days(CAST(unnest([0, 1]) AS INT)) AS s FROM events)
+    SELECT strftime(s, '{STAMP}') AS start, strftime(s + INTERVAL 2 DAY, '{STAMP}') AS "end", event_type, count(*) AS n
+    FROM e GROUP BY ALL""")
+def _(t):
+    return counted(t, F.window("ts", "2 days", "1 day"), ["event_type"])
+
+
+@query("l12_session_counts", f"""
+    WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh
+        FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+      s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+    SELECT strftime(min(ts), '{STAMP}') AS start, strftime(max(ts) + INTERVAL 6 HOUR, '{STAMP}') AS "end", user_id, count(*) AS n
+    FROM s GROUP BY user_id, k""")
+def _(t):
+    return counted(t, F.session_window("ts", "6 hours"), ["user_id"])

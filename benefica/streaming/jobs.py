@@ -111,17 +111,34 @@ def reconcile_stream(stream: DataFrame, checkpoint: str, disbursement: DataFrame
 # --- audit, indicators, totals, publishing, scoring -----------------------------------------------------------
 
 def audit_stream(stream: DataFrame, checkpoint: str, key: str, fields: Sequence[str], images: KeyedTable, log_path: str) -> None:
-    """Field-level log between the kept image of a record and its newest image in the batch."""
+    """Field-level log of every change: each image of a record against the one before it, kept or in the same batch.
+
+    Images of a record are taken in the order of ``ts`` and ``event_id``, so wherever the borders of batches fall the log is
+    the same.
+    """
     def handle(batch: DataFrame, version: int) -> None:
         before = images.before(version)
         after = batch.groupBy(key).agg(F.max_by(F.struct(*fields), F.struct("ts", "event_id")).alias("_v")).select(key, "_v.*")
-        known = before.join(after.select(key), key, "left_semi")
-        records.field_log(known, after, key, fields).write.mode("overwrite").parquet(f"{log_path}/batch={version}")
+        kept = before.join(after.select(key), key, "left_semi").withColumn("_new", F.lit(False))
+        rows = batch.select(key, *fields, "ts", "event_id", F.lit(True).alias("_new")).unionByName(kept, allowMissingColumns=True)
+        last = F.lag(F.struct(*fields)).over(Window.partitionBy(key).orderBy("_new", "ts", "event_id"))
+        entries = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_last.{f}").cast("string").alias("old_value"),
+                                     F.col(f).cast("string").alias("new_value")) for f in fields])
+        change = F.when(F.col("_last").isNull(), "create").otherwise("write")
+        rows.withColumn("_last", last).where("_new").select(key, change.alias("change"), F.inline(F.filter(
+            entries, lambda e: ~e.old_value.eqNullSafe(e.new_value)))).write.mode("overwrite").parquet(f"{log_path}/batch={version}")
         images.write(before.join(after.select(key), key, "left_anti").unionByName(after), version)
 
     run_batches(stream, checkpoint, handle)
 
 
+def windowed_counts(stream: DataFrame, checkpoint: str, window: Column, keys: Sequence[str], path: str,
+                    delay: str = "1 hour") -> None:
+    """Counts per event-time window and key, appended once the watermark has passed a window; rows that come later are dropped."""
+    counts = stream.withWatermark("ts", delay).groupBy(window.alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"))
+    run_append(counts.select("w.start", "w.end", *keys, "n"), checkpoint, path)
+
+
 def indicator_stream(stream: DataFrame, checkpoint: str, registrant: DataFrame, membership: Callable[[], DataFrame],
                      table: KeyedTable) -> None:
     """Member counts of the groups touched by a batch of membership changes, recomputed for those only."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from benefica.operators import graph, validation
 from benefica.operators.sharing import other_owners
-from benefica.scale import chunked_lists, exact_quantiles, running
+from benefica.scale import chunked_lists, exact_quantiles, join_groups, running, stage
 
 
 def skewed(n=3000, seed=1):
@@ -169,3 +169,24 @@ def test_overlaps_match_all_pairs(spark):
     want = {a[0] for a in rows for b in rows if a[0] != b[0] and a[1] == b[1] and lo(a) <= hi(b) and lo(b) <= hi(a)}
     got = {r["id"] for r in validation.overlapping_rows(df, ["k"], "id", "s", "e").collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_a_hot_key_is_split_in_a_join_to_its_own_group(spark, how):
+    rows = spark.range(60000).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 100 == 1, None).otherwise(
+        F.concat(F.lit("k"), (F.col("id") % 5000).cast("string"))).alias("k"))
+    groups = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 12")
+    want = rows.alias("r").join(groups.where("k IS NOT NULL").alias("g"), "k", how)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        got = join_groups(stage(rows, "rows"), groups, ["k"], how)
+        found = got.collect()
+        assert sorted(map(tuple, found), key=repr) == sorted(map(tuple, want.select(got.columns).collect()), key=repr)
+        assert "skew=true" in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -74,3 +74,20 @@ def test_reconciliation_stream_over_three_statements(spark):
     assert got == {"D1": ("s1", "s3"), "D2": ("s2", None)}
     bad = sorted((r.statement_id, r.outcome) for r in spark.read.parquet(errors).collect())
     assert bad == [("s1", "INVALID_REVERSAL"), ("s2", "DUPLICATE_DISBURSEMENT")]
+
+
+@pytest.mark.parametrize("batches", [1, 2, 7])
+def test_every_change_is_logged_whatever_the_batches(spark, batches):
+    rows = [(k, at(m), 10 * m + len(k), v) for k, m, v in [
+        ("a", 0, "x"), ("b", 1, "x"), ("a", 2, "y"), ("a", 3, "y"), ("a", 4, "z"), ("b", 5, None), ("a", 6, "x")]]
+    schema = "k string, ts timestamp, event_id long, v string"
+    inbox, checkpoint, log = (staging_path(spark, x) for x in ("inbox", "checkpoint", "log"))
+    images = KeyedTable(spark, "k string, v string")
+    step = -(-len(rows) // batches)
+    for i in range(0, len(rows), step):
+        df = spark.createDataFrame(rows[i:i + step], schema)
+        df.coalesce(1).write.mode("append").parquet(inbox)
+        jobs.audit_stream(read_files(spark, inbox, df.schema), checkpoint, "k", ["v"], images, log)
+    got = sorted((tuple(r[:5]) for r in spark.read.parquet(log).select("k", "change", "field", "old_value", "new_value").collect()), key=repr)
+    assert got == sorted([("a", "create", "v", None, "x"), ("b", "create", "v", None, "x"), ("a", "write", "v", "x", "y"),
+                          ("a", "write", "v", "y", "z"), ("b", "write", "v", "x", None), ("a", "write", "v", "z", "x")], key=repr)
