@@ -117,27 +117,37 @@ def fuzzy_duplicates(df: DataFrame, key: str, text_field: str, text_weight: floa
     shows as its number of records), so repeated values never multiply.  Texts
     are compared once per distinct text; a pair whose equal fields are E needs a
     similarity of (threshold - weight of E) / text_weight, so tuples are joined
-    on (near text, E) for every E that can qualify: no pair is left out.
+    on (near text, E) for every E that can qualify.  Where E alone reaches the
+    threshold, tuples are joined on E, whatever their texts: no pair is left out.
     """
     subsets = [c for size in range(len(exact) + 1) for c in combinations(exact, size)]
     least = {c: (threshold - sum(exact[f] for f in c)) / text_weight for c in subsets}
-    least = {c: max(s, 1e-9) for c, s in least.items() if s <= 1 + 1e-12}
+    least = {c: s for c, s in least.items() if s <= 1 + 1e-12}
     if not least:
         raise ValueError("the weights cannot reach the threshold")
+    if () in least and least[()] <= 0:
+        raise ValueError("every pair reaches the threshold")
     tuples = df.groupBy(text_field, *exact).agg(F.min(key).alias("rep"), F.count(F.lit(1)).alias("records"))
+    by_text = [s for s in least.values() if s > 1e-12]
     texts = stage(similar_texts(tuples.select(text_field).where(F.col(text_field).isNotNull()).distinct(), text_field,
-                                min(least.values())), "texts")
+                                min(by_text)), "texts") if by_text else None
     side = lambda p: tuples.select(*[F.col(c).alias(f"{p}_{c}") for c in ("rep", "records", text_field, *exact)])
     found = None
     for chosen, s in least.items():
-        on = (F.col("text_b") == F.col(f"b_{text_field}")) & (F.col("a_rep") < F.col("b_rep"))
+        on = F.col("a_rep") < F.col("b_rep")
         for c in chosen:
             on = on & (F.col(f"a_{c}") == F.col(f"b_{c}"))
         score = text_weight * F.col("similarity")
         for c, w in exact.items():
             score = score + F.when(F.col(f"a_{c}") == F.col(f"b_{c}"), w).otherwise(0.0)
-        near = texts.where(F.col("similarity") >= s - 1e-12)
-        pairs = side("a").join(near, F.col(f"a_{text_field}") == F.col("text_a")).join(side("b"), on).select(
+        if s > 1e-12:
+            near = texts.where(F.col("similarity") >= s - 1e-12)
+            met = side("a").join(near, F.col(f"a_{text_field}") == F.col("text_a")).join(
+                side("b"), on & (F.col("text_b") == F.col(f"b_{text_field}")))
+        else:
+            grams = [trigrams(F.col(f"{p}_{text_field}")) for p in "ab"]
+            met = side("a").join(side("b"), on).withColumn("similarity", F.coalesce(similarity(*grams), F.lit(0.0)))
+        pairs = met.select(
             F.col("a_rep").alias("rep_a"), F.col("b_rep").alias("rep_b"), score.alias("score"),
             (F.col("a_records") + F.col("b_records")).alias("records"))
         # A pair is reported once, by the largest field set it agrees on.

@@ -343,3 +343,22 @@ def test_small_repairs(spark):
     assert ids.where(~F.col("x").rlike("^020124([0-9]{5}|100000)$")).count() == 0
     mapped = records.map_records(df, direct=[(F.lit("2024-01-02").cast("date"), "day")], only_create=["day"])
     assert mapped.schema["day"].dataType.simpleString() == "date"
+
+
+def test_fuzzy_pairs_that_exact_fields_alone_decide(spark):
+    rows = [(1, "anna", "d1", "s1"), (2, "zzz", "d1", "s1"), (3, None, "d1", "s1"), (4, "anna", "d2", "s1"), (5, "anna", "d1", None),
+            (6, "anne", "d3", "s2"), (7, "!!", "d3", "s2")]
+    df = spark.createDataFrame(rows, "id long, name string, dob string, sex string")
+
+    def grams(s):
+        return {f"  {w} "[i:i + 3] for w in "".join(c if c.isalnum() else " " for c in (s or "").lower()).split() for i in range(len(w) + 1)}
+
+    want = {}
+    for i, a in enumerate(rows):
+        for b in rows[i + 1:]:
+            x, y = grams(a[1]), grams(b[1])
+            score = 0.2 * (len(x & y) / len(x | y) if x | y else 0) + sum(0.4 for p, q in zip(a[2:], b[2:]) if p is not None and p == q)
+            if score >= 0.75:
+                want[a[0], b[0]] = round(score, 6)
+    got = {(r.rep_a, r.rep_b): round(r.score, 6) for r in dedup.fuzzy_duplicates(df, "id", "name", 0.2, {"dob": 0.4, "sex": 0.4}, 0.75).collect()}
+    assert got == want and len(got) == 4
