@@ -6,10 +6,11 @@ array functions, so every statement is parsed where it lies.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from benefica.functions.text import matched_groups
+from benefica.scale import join_groups, running
 
 # Value date, indicator, amount, customer reference, bank reference.
 ENTRY = r"^:61:(\d{6})(?:\d{4})?(R?[DC])[A-Z]?(\d+,\d*)[A-Z][A-Z0-9]{3}((?:(?!//).)*)(?://(.*))?$"
@@ -35,11 +36,19 @@ def headers(statements: DataFrame) -> DataFrame:
 
 
 def transactions(statements: DataFrame) -> DataFrame:
-    """One row per entry with its 1-based place in the statement."""
+    """One row per entry with its 1-based place in the statement, which goes on over the pages of a statement.
+
+    A page is a text of its own; its number is the sequence number of tag 28C, 1 where there is none.
+    """
     text = F.replace(F.col("text"), F.lit("\r"), F.lit(""))
     blocks = F.split(text, r"\n(?=:61:)")
-    entries = statements.select("statement_id", F.posexplode(F.slice(blocks, 2, F.greatest(
-        F.size(blocks) - 1, F.lit(0)))).alias("place", "block"))
+    pages = statements.select("statement_id", F.coalesce(tag(text, "28C?", r"\d+/(\d+)").try_cast("int"), F.lit(1)).alias("page"),
+                              F.slice(blocks, 2, F.greatest(F.size(blocks) - 1, F.lit(0))).alias("blocks"))
+    earlier = Window.partitionBy("statement_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    starts = pages.groupBy("statement_id", "page").agg(F.sum(F.size("blocks")).alias("n")).withColumn(
+        "start", F.coalesce(F.sum("n").over(earlier), F.lit(0).cast("long"))).drop("n")
+    entries = join_groups(pages.select("statement_id", "page", F.posexplode("blocks").alias("pos", "block")), starts,
+                          ["statement_id", "page"]).withColumn("place", F.col("pos") + F.col("start"))
     fields = matched_groups(F.substring_index("block", "\n", 1), ENTRY, 5)
     narrative = F.get(F.split("block", "\n:86:", 2), F.lit(1))
     part = lambda i: F.get("f", F.lit(i))
@@ -60,8 +69,11 @@ def account_check(headers_: DataFrame, sponsor_accounts: DataFrame) -> DataFrame
         "error", F.when(F.col("_known").isNull(), "INVALID_ACCOUNT_NUMBER")).drop("_known")
 
 
-def compose(lines: DataFrame, order: list[str]) -> DataFrame:
-    """Statement texts from lines (the reverse of parsing, for exports and tests)."""
+def compose(lines: DataFrame, order: list[str], page_size: int = 1000) -> DataFrame:
+    """Statement texts from lines (the reverse of parsing, for exports and tests): (statement_id, page, text).
+
+    A long statement becomes numbered pages of ``page_size`` lines, so no text and no list grows with it.
+    """
     def entry(x: Column) -> Column:
         amount = F.replace(x.amount.cast("decimal(18,2)").cast("string"), F.lit("."), F.lit(","))
         return F.concat(F.lit(":61:"), F.date_format(x.value_date, "yyMMddMMdd"), x.indicator, amount, F.lit("NTRF"),
@@ -69,8 +81,10 @@ def compose(lines: DataFrame, order: list[str]) -> DataFrame:
 
     # The texts are built after the shuffle, where the work is spread.
     parts = ["value_date", "indicator", "amount", "reconciliation_id", "reference"]
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, *parts))), entry), "\n")
-    return lines.groupBy("statement_id").agg(body.alias("body")).select("statement_id", F.concat(
+    placed = running(lines.select("statement_id", *order, *parts), ["statement_id"], [F.col(c) for c in order], position="_place")
+    page = (F.floor((F.col("_place") - 1) / page_size) + 1).cast("int").alias("page")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_place", *parts))), entry), "\n")
+    return placed.groupBy("statement_id", page).agg(body.alias("body")).select("statement_id", "page", F.concat(
         F.lit(":20:REF"), F.col("statement_id"), F.lit("\n:25:ACC"), F.split("statement_id", "-")[0],
-        F.lit("\n:28C:"), F.split("statement_id", "-")[1], F.lit("/1\n:60F:C000101USD0,00\n"), F.col("body"),
-        F.lit("\n:62F:C000131USD0,00\n-")).alias("text"))
+        F.lit("\n:28C:"), F.split("statement_id", "-")[1], F.lit("/"), F.col("page").cast("string"), F.lit("\n:60F:C000101USD0,00\n"),
+        F.col("body"), F.lit("\n:62F:C000131USD0,00\n-")).alias("text"))

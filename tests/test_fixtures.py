@@ -362,3 +362,15 @@ def test_fuzzy_pairs_that_exact_fields_alone_decide(spark):
                 want[a[0], b[0]] = round(score, 6)
     got = {(r.rep_a, r.rep_b): round(r.score, 6) for r in dedup.fuzzy_duplicates(df, "id", "name", 0.2, {"dob": 0.4, "sex": 0.4}, 0.75).collect()}
     assert got == want and len(got) == 4
+
+
+def test_statement_pages_read_back_as_one_statement(spark):
+    lines = spark.range(25).selectExpr(
+        "CASE WHEN id < 22 THEN 'S1-202401' ELSE 'S2-202402' END AS statement_id", "id AS o", "DATE'2024-01-05' AS value_date", "'D' AS indicator",
+        "id + 0.5D AS amount", "concat('D', id) AS reconciliation_id", "concat('B', id) AS reference")
+    pages = statements.compose(lines, ["o"], page_size=5)
+    assert pages.groupBy("statement_id").count().orderBy("statement_id").collect() == [("S1-202401", 5), ("S2-202402", 1)]
+    assert {(r.statement_id, r.sequence_number) for r in statements.headers(pages).collect()} == {
+        ("S1-202401", str(i)) for i in range(1, 6)} | {("S2-202402", "1")}
+    got = [(r.statement_id, r.entry_sequence, r.reconciliation_id) for r in statements.transactions(pages).orderBy("statement_id", "entry_sequence").collect()]
+    assert got == [("S1-202401", i + 1, f"D{i}") for i in range(22)] + [("S2-202402", i - 21, f"D{i}") for i in range(22, 25)]
