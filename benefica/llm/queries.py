@@ -37,11 +37,8 @@ def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_piece_sampling(spark: SparkSession, folder: str) -> DataFrame:
-    model = tokenizer_path("piece_bpe_32k.model")
-    rows = piece_sampling.decode(piece_sampling.encode(_table(spark, folder, "documents"), model, seed=1), model)
-    return rows.select(
-        "doc_id", F.size("pieces").cast("long").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_hash"),
-        F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+    rows = piece_sampling.encode(_table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model"), seed=1, check=True)
+    return rows.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_hash"), "lossless")
 
 
 def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
@@ -69,7 +66,39 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_simhash_near_dedup, op3_exact_dedup, op4_license_scan, op5_language_id, op6_piece_sampling,
                                   op7_best_fit_packing, op8_secret_scan, op9_token_counts, op10_substring_dedup)}
 
+_NOTICES = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(license_scan.TEMPLATES.items()))
+_LICENCES = f"""
+WITH t AS (SELECT doc_id, concat_ws('/', source, lang, doc_id || '.txt') AS path, text FROM documents),
+  tpl(k, name, body) AS (VALUES {_NOTICES}),
+  tw AS (SELECT k, unnest(list_filter(regexp_split_to_array(lower(body), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM tpl),
+  vocab AS (SELECT DISTINCT w FROM tw), total AS (SELECT count(*) AS n FROM t),
+  df AS (SELECT w, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS w FROM t)
+    JOIN vocab USING (w) GROUP BY w),
+  idf AS (SELECT w, ln((1 + total.n) / (1 + coalesce(df.n, 0))) + 1 AS x FROM vocab LEFT JOIN df USING (w), total),
+  tv AS (SELECT k, w, count(*) * x AS v FROM tw JOIN idf USING (w) GROUP BY k, w, x),
+  tn AS (SELECT k, sqrt(sum(v * v)) AS n FROM tv GROUP BY k),
+  lines AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS line, unnest(string_split(text, chr(10))) AS said FROM t),
+  lw AS (SELECT doc_id, line, w, count(*) AS c FROM (SELECT doc_id, line, unnest(regexp_split_to_array(lower(said), '[^a-z0-9]+')) AS w
+    FROM lines) WHERE w <> '' GROUP BY ALL),
+  lv AS (SELECT doc_id, line, w, c * coalesce(x, (SELECT ln(1 + n) + 1 FROM total)) AS v FROM lw LEFT JOIN idf USING (w)),
+  lnorm AS (SELECT doc_id, line, sqrt(sum(v * v)) AS n FROM lv GROUP BY ALL),
+  dot AS (SELECT doc_id, line, k, sum(lv.v * tv.v) AS d FROM lv JOIN tv USING (w) GROUP BY ALL),
+  cosine AS (SELECT doc_id, k, d / (lnorm.n * tn.n) AS c FROM dot JOIN lnorm USING (doc_id, line) JOIN tn USING (k)),
+  own AS (SELECT doc_id, name AS own_license, round(c, 6) AS own_cosine FROM (SELECT *, row_number() OVER (PARTITION BY doc_id
+    ORDER BY c DESC, k) AS z FROM cosine WHERE c >= {license_scan.THRESHOLD}) JOIN tpl USING (k) WHERE z = 1),
+  known AS (SELECT doc_id, path, regexp_replace(path, '/[^/]*$', '') AS dir, own_license, own_cosine,
+    len(regexp_split_to_array(trim(coalesce(text, '')), '\\s+')) AS n_words FROM t LEFT JOIN own USING (doc_id)),
+  speaks AS (SELECT dir, max_by(own_license, (own_cosine, own_license)) AS license FROM known
+    WHERE own_license IS NOT NULL AND n_words <= {license_scan.FILE_WORDS} GROUP BY dir),
+  above AS (SELECT k.dir AS of, max_by((s.license, s.dir), len(s.dir)) AS f FROM (SELECT DISTINCT dir FROM known) k
+    JOIN speaks s ON k.dir = s.dir OR starts_with(k.dir, s.dir || '/') GROUP BY 1)
+SELECT doc_id, path, own_license, own_cosine, coalesce(own_license, f[1]) AS license,
+  CASE WHEN own_license IS NOT NULL THEN 'own' WHEN f IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+  CASE WHEN own_license IS NULL THEN f[2] END AS from_dir FROM known LEFT JOIN above ON above.of = known.dir
+"""
+
 SQL = {
+    "op4_license_scan": _LICENCES,
     "op1_embedding_near_dedup": r"""
 WITH RECURSIVE v AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS norm
