@@ -90,6 +90,17 @@ def test_pipeline(spark):
         assert whole[i] == struct.pack(f"<{len(ids)}I", *ids)
 
 
+def test_ids_of_words_are_the_ids_of_whole_texts():
+    ids = packing.WordIds(TOKENIZER)
+    odd = ["", " \t\n", "Don't stop, it's 12.5%!", "É́ éa, \u212aK İstanbul ŒUVRE ß. ﬁ", "a<|endoftext|>b <|STARTOFTEXT|> c", "日本語\u3000x\xa0y z\x1cw",
+           "don't. U.S.A., naïve,, x!?;: ¡hola! ÿ \x85q", "Ünïcödé, ÀÉ.", "word, Word. WORD! word", "x" * 5000]
+    for texts in (odd, odd[::-1], ["word?", ""]):
+        want = [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in ids.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert ids(texts) == want
+    ids.known.clear()
+    assert ids(odd) == [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in ids.tokenizer.encode_batch(odd, add_special_tokens=False)]
+
+
 def test_query_digests(spark):
     rows = queries.op7_best_fit_packing(spark, "/root/testdata/sf0.001").collect()
     assert all(r.ids_crc32 >= 0 for r in rows) and zlib.crc32(b"") == 0

@@ -83,19 +83,23 @@ def test_temperature_lowers_overconfidence():
 
 def test_pieces_round_trip_and_seeds(spark, corpus, nothing):
     rows = piece_sampling.decode(piece_sampling.encode(corpus, MODEL, seed=3), MODEL).collect()
-    assert all(r.decoded == r.text for r in rows) and len(rows) == corpus.count()
+    assert all(r.decoded == r.text and r.lossless is None for r in rows) and len(rows) == corpus.count()
     assert all((r.pieces is None) == (r.text is None) for r in rows)
     again = piece_sampling.encode(corpus.repartition(5), MODEL, seed=3).collect()
     assert Counter((r.doc_id, tuple(r.pieces or ())) for r in again) == Counter((r.doc_id, tuple(r.pieces or ())) for r in rows)
     other = {r.doc_id: r.pieces for r in piece_sampling.encode(corpus, MODEL, seed=4).collect()}
     assert other[0] != next(r.pieces for r in rows if r.doc_id == 0)
+    assert all(r.lossless for r in piece_sampling.encode(corpus, MODEL, check=True).collect())
     assert piece_sampling.encode(nothing, MODEL).count() == 0
 
 
-def test_pieces_are_drawn_by_weight():
+@pytest.mark.parametrize("alone", [False, True])
+def test_pieces_are_drawn_by_weight(alone, monkeypatch):
+    monkeypatch.setattr(piece_sampling, "LONG", 0 if alone else 48)  # one chunk at a time, and many together
     lat = piece_sampling.Lattices(MODEL)
+    lat.ends([[" some", " other", "chunks,", " 日本☃", "\n"]])
     n = 60000
-    ids, lengths = lat.draw(np.full(n, lat.end_state(" hello")), piece_sampling.mix(np.arange(n, dtype=np.uint64)))
+    ids, lengths = lat.draw(np.full(n, lat.ends([[" hello"]])[0][0]), piece_sampling.mix(np.arange(n, dtype=np.uint64)))
     ends = np.concatenate([[0], np.cumsum(lengths)])
     seen = Counter(tuple(ids[a:b].tolist()) for a, b in zip(ends, ends[1:]))
 
