@@ -25,7 +25,7 @@ HEADLINE = [
 
 
 def model_quality(spark, folder: str) -> dict:
-    """Held-out quality of the forest on generated beneficiaries, one per customer of the given table."""
+    """Held-out quality of the forest on the beneficiaries of the given tables."""
     from benefica.operators import learning
     from benefica.plans.learning import held_out
     from benefica.scale import stage
