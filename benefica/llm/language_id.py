@@ -169,10 +169,10 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_cla
             yield pd.DataFrame(found, columns=["at", "counts", "lang"])
 
     kept = rows.where(h < share).dropDuplicates(["text", "lang"])
-    sample = kept.mapInPandas(features, "at array<int>, counts array<long>, lang string").toPandas()
-    sample = sample.iloc[np.argsort([hash((len(a), int(a[:50].sum()), int(c.sum()))) for a, c in zip(sample["at"], sample["counts"])], kind="stable")]
     place = {k: i for i, k in enumerate(languages)}
-    data = [(np.asarray(a), np.asarray(c), place[k]) for a, c, k in zip(sample["at"], sample["counts"], sample["lang"])]
+    data = [(np.array(r["at"], np.int32), np.array(r["counts"], np.int64), place[r["lang"]])
+            for r in kept.mapInPandas(features, "at array<int>, counts array<long>, lang string").toLocalIterator()]
+    data.sort(key=lambda d: (len(d[0]), int(d[1].sum()), int(d[0].sum()), d[2]))  # the same order whatever the partitions
     learn = [(a, weights(c, idf[a]), y) for k, (a, c, y) in enumerate(data) if k % 5]
     w = follow_the_leader(learn, len(languages))
     used = np.flatnonzero(w[:DIM].any(axis=1))
