@@ -10,44 +10,97 @@ their place in it by their rank among pieces of their length, which needs no ord
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from benefica.llm.common import stage, words
+from benefica.llm.common import stage
 
 SEQ_LEN = 4096
 END = 1
-KNOWN_WORDS = 200_000  # words a worker remembers the ids of
+KNOWN_WORDS = 400_000  # words a worker process remembers the ids of, about 90 MB
+
+
+# A word of Latin-1 letters with punctuation behind it: the letters are one unit before the merges, the marks are another.
+PLAIN = re.compile("([a-zà-öø-ÿ]+)([,.;:!?]*)")
 
 
 class WordIds:
-    """Ids of whole texts by a tokenizer whose tokens never cross white space; ids of a word are looked up once."""
+    """Ids of whole texts by a tokenizer that lower-cases and whose tokens cross neither white space nor the end of letters.
+
+    Words of plain letters are remembered, one entry for all their spellings, and new ones are encoded together as one text;
+    its ids are cut behind every token that ends a word.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def __call__(self, texts: list) -> list[np.ndarray]:
-        split = [words(t) for t in texts]
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
-        known = self.known
-        new = list({w for ws in split for w in ws if w not in known})
-        for w, found in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)):
-            known[w] = found.ids
-        out = []
-        for ws in split:
-            ids: list[int] = []
-            for w in ws:
-                ids += known[w]
-            out.append(np.array(ids, "<u4"))
-        return out
+        self.tokenizer, self.letters = Tokenizer.from_file(path), {}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_letters(self, units: list[str]) -> list[bytes]:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(units)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+        if len(cuts) != len(units):
+            return self._encode(units)
+        whole, cuts = ids.tobytes(), [0, *cuts.tolist()]
+        return [whole[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _ids(self, vocabulary: list[bytes]) -> list[bytes]:
+        """The ids of distinct words."""
+        if len(self.letters) > KNOWN_WORDS:
+            self.letters.clear()
+        letters, parts, other = self.letters, [], []
+        for w in vocabulary:
+            w = w.decode()
+            m = PLAIN.fullmatch(w) or PLAIN.fullmatch(w.lower())
+            if m:
+                parts.append(m.groups())
+            else:
+                parts.append((w, None))
+                other.append(w)
+        units = list({u for u, m in parts if m is not None and u not in letters})
+        if units:
+            letters.update(zip(units, self._encode_letters(units)))
+        marks = list({m for _, m in parts if m and m not in letters})
+        letters.update(zip(marks, self._encode(marks)))
+        rest = dict(zip(other, self._encode(other)))
+        return [rest[u] if m is None else letters[u] + letters[m] if m else letters[u] for u, m in parts]
+
+    def __call__(self, texts: list) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers; every distinct word of ``texts`` is looked up once."""
+        split = pc.ascii_split_whitespace(pa.array([t or "" for t in texts], pa.string()))
+        coded = split.flatten().dictionary_encode()
+        found = self._ids(coded.dictionary.cast(pa.binary()).to_pylist())
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        which = coded.indices.to_numpy()
+        n = sizes[which]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        at = np.repeat((np.cumsum(sizes) - sizes)[which] - ends[:-1], n) + np.arange(ends[-1])
+        ids = np.frombuffer(b"".join(found), "<u4")[at]
+        borders = ends[split.offsets.to_numpy()].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(borders, borders[1:])]
+
+
+_word_ids: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """One table of known words per worker process, kept from task to task."""
+    if path not in _word_ids:
+        _word_ids[path] = WordIds(path)
+    return _word_ids[path]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", seq_len: int = SEQ_LEN) -> DataFrame:
@@ -58,17 +111,18 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     it is used twice.
     """
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids_of, seen = WordIds(tokenizer), np.zeros(seq_len + 1, np.int64)
+        ids_of, seen = word_ids(tokenizer), np.zeros(seq_len + 1, np.int64)
         for rows in parts:
             keys, texts = rows["id"].tolist(), rows["text"].tolist()
-            for at in range(0, len(keys), 256):  # so few texts at a time hold their ids
+            for at in range(0, len(keys), 2048):  # so few texts at a time hold their ids
                 out = []
-                for key, ids in zip(keys[at:at + 256], ids_of(texts[at:at + 256])):
-                    ids = np.append(ids, np.array([END], "<u4"))
-                    for k, start in enumerate(range(0, len(ids), seq_len)):
-                        some = ids[start:start + seq_len]
-                        out.append((key, k, start, len(some), some.tobytes(), seen[len(some)]))
-                        seen[len(some)] += 1
+                for key, ids in zip(keys[at:at + 2048], ids_of(texts[at:at + 2048])):
+                    ids += END.to_bytes(4, "little")
+                    for k, start in enumerate(range(0, len(ids) // 4, seq_len)):
+                        some = ids[4 * start:4 * (start + seq_len)]
+                        n = len(some) // 4
+                        out.append((key, k, start, n, some, seen[n]))
+                        seen[n] += 1
                 yield pd.DataFrame(out, columns=["id", "piece", "start", "length", "ids", "nth"])
 
     kind = docs.schema[id_col].dataType.simpleString()

@@ -97,7 +97,7 @@ def test_ids_of_words_are_the_ids_of_whole_texts():
     for texts in (odd, odd[::-1], ["word?", ""]):
         want = [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in ids.tokenizer.encode_batch(texts, add_special_tokens=False)]
         assert ids(texts) == want
-    ids.known.clear()
+    ids.letters.clear()
     assert ids(odd) == [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in ids.tokenizer.encode_batch(odd, add_special_tokens=False)]
 
 
