@@ -24,7 +24,7 @@ from benefica.llm.common import stage
 
 SEQ_LEN = 4096
 END = 1
-KNOWN_WORDS = 400_000  # words a worker process remembers the ids of, about 90 MB
+KNOWN_WORDS = 300_000  # words a worker process remembers the ids of, about 70 MB
 
 
 # A word of Latin-1 letters with punctuation behind it: the letters are one unit before the merges, the marks are another.
@@ -114,9 +114,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         ids_of, seen = word_ids(tokenizer), np.zeros(seq_len + 1, np.int64)
         for rows in parts:
             keys, texts = rows["id"].tolist(), rows["text"].tolist()
-            for at in range(0, len(keys), 2048):  # so few texts at a time hold their ids
+            for at in range(0, len(keys), 512):  # so few texts at a time hold their ids
                 out = []
-                for key, ids in zip(keys[at:at + 2048], ids_of(texts[at:at + 2048])):
+                for key, ids in zip(keys[at:at + 512], ids_of(texts[at:at + 512])):
                     ids += END.to_bytes(4, "little")
                     for k, start in enumerate(range(0, len(ids) // 4, seq_len)):
                         some = ids[4 * start:4 * (start + seq_len)]
