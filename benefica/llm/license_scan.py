@@ -1,9 +1,9 @@
 """Licences of files: sparse TF-IDF cosine of notices to templates, inherited from the nearest directory above.
 
-Every line of a text is compared with every template, and every short text as a whole, in DataFrame functions only.
-The weights of the templates' words come from their document frequencies over the whole corpus; words that no template
-has weigh as much as the rarest.  A line can only reach the threshold for a template if it holds one of the few words
-that carry the template's weight (its prefix by falling weight), so other lines are dropped before any word is cut.
+Every line of a text is compared with every template, in DataFrame functions only.  The weights of the templates' words
+come from their document frequencies over the whole corpus; words that no template has weigh as much as the rarest.  A
+line can only reach the threshold for a template if the words it shares carry enough of the template's weight, so all
+other lines are dropped where they stand, before anything is shuffled.
 """
 
 from __future__ import annotations
@@ -54,7 +54,7 @@ def scan(files: DataFrame, path_col: str = "path", id_col: str = "doc_id", text_
 
     The licence of a file is the one of its best line or, failing that, of the nearest directory at or above it that holds
     a licence file: a file of at most ``FILE_WORDS`` words with a licence of its own.  Of equal cosines the licence first
-    in the alphabet counts.  Null texts have no licence of their own; a null path inherits none; an empty table gives no rows;
+    in the list counts, and for a directory the last one in the alphabet.  Null texts have no licence of their own; a null path inherits none; an empty table gives no rows;
     other columns are not read.
     """
     base = files.select(F.col(id_col).alias("id"), F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("text")).withColumn("row", F.xxhash64("id", "path", "text"))
@@ -68,17 +68,13 @@ def scan(files: DataFrame, path_col: str = "path", id_col: str = "doc_id", text_
         v = {t: ts.count(t) * idf[t] for t in ts}
         norm = math.sqrt(sum(x * x for x in v.values()))
         vectors[name] = {t: x / norm for t, x in v.items()}
-    keys: set[str] = set()
-    for v in vectors.values():
-        rest = 1.0
-        for t, x in sorted(v.items(), key=lambda i: (-i[1], i[0])):
-            if rest < threshold * threshold - 1e-9:
-                break
-            keys.add(t)
-            rest -= x * x
-    found = "(?i)" + "|".join(re.escape(k) for k in sorted(keys))
-    lines = base.where(F.col("text").rlike(found)).select("row", F.posexplode(F.split("text", "\n")).alias("line", "said")).where(F.col("said").rlike(found))
-    weighted = stage(lines.select("row", "line", _tokens(F.col("said")).alias("words")), "lines")
+    # A line's cosine to a template is at most the length of the template's part that the line shares, so only lines that
+    # share enough are taken apart.
+    share = [sum((F.when(F.array_contains("held", t), x * x).otherwise(0.0) for t, x in v.items()), F.lit(0.0)) for v in vectors.values()]
+    weighted = stage(
+        base.select("row", F.posexplode(F.split("text", "\n")).alias("line", "said")).select("row", "line", _tokens(F.col("said")).alias("words"))
+        .withColumn("held", F.array_intersect("words", F.array(*[F.lit(w) for w in vocabulary])))
+        .where(F.greatest(*share) >= threshold * threshold - 1e-9).select("row", "line", "words"), "lines")
     weight = F.create_map(*[F.lit(x) for w in vocabulary for x in (w, idf[w])])
     counted = (
         weighted.distinct().select("row", "line", F.explode("words").alias("w")).groupBy("row", "line", "w").agg(F.count(F.lit(1)).alias("n"))
