@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-KNOWN_EDGES = 7_000_000  # about 100 MB
+KNOWN_EDGES = 3_000_000  # about 60 MB with the chunks
 TEXTS = 256  # texts sampled at a time
 LONG = 48  # longer chunks are filtered one by one
 STEP = 0xD1342543DE82EF95
