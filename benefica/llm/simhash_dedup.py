@@ -4,12 +4,14 @@ A vantage-point tree splits fingerprints at the median Hamming distance to a piv
 as a query it also visits each leaf that the triangle bound cannot rule out, so every pair within the radius meets
 where one of the two lives.  The upper tree is built on the driver from a bounded sample (``sample_rows``) and only
 decides where the shards are cut; every fingerprint is indexed.  Inside a shard the tree goes on in numpy.
+
+With a similarity the fingerprints and sketches only propose pairs; the whole sets of shingles decide.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,6 +26,8 @@ SHARD_ROWS = 16384
 SAMPLE_ROWS = 32768
 LEAF_ROWS = 256
 BINS = 512
+SIGMAS = 5  # standard errors that the sketches of a pair may fall short
+ASKED = 4  # pairs that a fingerprint proposes in a group in the first round; eight times as many in each further round
 
 
 def bit_majority(hashes: np.ndarray) -> int:
@@ -66,18 +70,25 @@ def sketch(hashes: np.ndarray) -> tuple[int, bytes]:
     return len(distinct), out.tobytes()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, sketches: bool = False) -> DataFrame:
-    """(id, fp, n, sketch): the fingerprint of every row as a signed 64-bit integer; a null text has fingerprint zero.
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, sets: bool = False) -> DataFrame:
+    """(id, fp): the fingerprint of every row as a signed 64-bit integer; a null text has fingerprint zero.
 
-    Without ``sketches`` the last two are null.
+    With ``sets`` also the number of distinct shingles, their sketch, a 128-bit hash of them all, and their hashes.
     """
     def many(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in parts:
-            rows = [(bit_majority(h), *(sketch(h) if sketches else (None, None))) for h in (shingle_hashes(t, shingle) for t in texts)]
-            yield pd.DataFrame({"fp": np.array([r[0] for r in rows], np.uint64).view(np.int64),
-                                "n": pd.array([r[1] for r in rows], "Int64"), "sketch": pd.Series([r[2] for r in rows], dtype=object)})
-
-    of = F.pandas_udf(many, "fp long, n long, sketch binary")
+            rows = []
+            for hashes in (shingle_hashes(t, shingle) for t in texts):
+                distinct = np.unique(hashes) if sets else None
+                rows.append((bit_majority(hashes), *((*sketch(distinct), xxhash.xxh3_128_digest(distinct.tobytes()), distinct.view(np.int64)) if sets else ())))
+            out = pd.DataFrame({"fp": np.array([r[0] for r in rows], np.uint64).view(np.int64)})
+            if sets:
+                out["n"] = np.array([r[1] for r in rows], np.int64)
+                for k, c in enumerate(("sketch", "whole", "hashes"), 2):
+                    out[c] = pd.Series([r[k] for r in rows], dtype=object)
+            yield out
+
+    of = F.pandas_udf(many, "fp long" + (", n long, sketch binary, whole binary, hashes array<long>" if sets else ""))
     return docs.select(F.col(id_col).alias("id"), of(F.col(text_col).cast("string")).alias("f")).select("id", "f.*")
 
 
@@ -132,9 +143,9 @@ def visits(tree: list, fps: np.ndarray, radius: int) -> Iterator[tuple[int, np.n
             todo.append((child, rows[near], home[near] & mine[near]))
 
 
-def links_within(fps: np.ndarray, home: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Position pairs (query, fingerprint that lives here) at most ``radius`` bits apart, found by a local tree."""
-    todo = [(np.arange(len(fps)), np.flatnonzero(home))]
+def links_within(fps: np.ndarray, home: np.ndarray, radius: int, asking: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Position pairs (query, fingerprint that lives here) at most ``radius`` bits apart, found by a local tree; by query inside a batch."""
+    todo = [(np.arange(len(fps)) if asking is None else np.flatnonzero(asking), np.flatnonzero(home))]
     while todo:
         ask, live = todo.pop()
         if not len(ask) or not len(live):
@@ -159,10 +170,62 @@ def links_within(fps: np.ndarray, home: np.ndarray, radius: int) -> Iterator[tup
                 yield part[a[differ]], live[b[differ]]
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated Jaccard similarity of shingle sets from pairs of sketches."""
-    either = ((a > 0) | (b > 0)).sum(axis=1)
-    return ((a == b) & (a > 0)).sum(axis=1) / np.maximum(either, 1)
+def likely(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether pairs of sketches of ``n_a`` and ``n_b`` shingles leave it possible that the sets are that similar.
+
+    The used bins are a sample without replacement of the shingles of both: where no two shingles share a bin, all of them.
+    A set that reaches the similarity falls ``SIGMAS`` standard errors (and two bins, for short texts) short almost never.
+    """
+    used = np.maximum(((a > 0) | (b > 0)).sum(axis=1), 1)
+    whole = np.maximum((n_a + n_b) / (1 + similarity), used)
+    slack = SIGMAS * np.sqrt(similarity * (1 - similarity) / used * (1 - used / whole)) + 2 / used
+    return ((a == b) & (a > 0)).sum(axis=1) / used >= similarity - slack
+
+
+def proposals(rows: pd.DataFrame, radius: int, similarity: float, most: int) -> pd.DataFrame:
+    """Pairs (a, b) of ``first`` to be decided by their sets, and (a, null) where a document has pairs that were not looked at.
+
+    A document stops once ``most`` of its pairs are proposed.  Pairs of one label are linked already.
+    """
+    rows = rows.sort_values("first", kind="stable")
+    fps, first, label = rows["fp"].to_numpy(np.int64).view(np.uint64), rows["first"].to_numpy(np.int64), rows["label"].to_numpy(np.int64)
+    n, sketches = rows["n"].to_numpy(np.float64), np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, BINS)
+    turn = (first.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64)
+    proposed, more, found = np.zeros(len(fps), np.int64), np.zeros(len(fps), bool), []
+    for a, b in links_within(fps, rows["home"].to_numpy(bool), radius, rows["ask"].to_numpy(bool)):
+        apart = (label[a] != label[b]) & (np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-6)
+        a, b = a[apart], b[apart]
+        if not len(a):
+            continue
+        count = np.bincount(a, minlength=len(fps))
+        # Each document begins elsewhere in its list, so that those of a large group do not all name the same few.
+        rank = (np.arange(len(a)) - (np.cumsum(count) - count)[a] + turn[a]) % count[a]
+        low, high = 0, 2 * most
+        while low <= rank.max():
+            full = proposed[a] >= most
+            more[a[full & (rank >= low)]] = True
+            now = np.flatnonzero((rank >= low) & (rank < high) & ~full)
+            for at in range(0, len(now), 8192):
+                s, t = a[now[at:at + 8192]], b[now[at:at + 8192]]
+                near = likely(sketches[s], sketches[t], n[s], n[t], similarity)
+                np.add.at(proposed, s[near], 1)
+                found.append((first[s[near]], first[t[near]]))
+            low, high = high, 8 * high
+    left = first[more]
+    a = np.concatenate([x for x, _ in found] + [left])
+    b = np.concatenate([x for _, x in found] + [np.zeros(len(left), np.int64)])
+    return pd.DataFrame({"a": a, "b": pd.Series(b, dtype="Int64").mask(np.arange(len(b)) >= len(b) - len(left))})
+
+
+def alike(pairs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of ids whose sets of shingles have at least that Jaccard similarity."""
+    pairs = stage(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "pairs")
+    named = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = stage(prints.where("id IS NOT NULL").select(F.col("id").cast("long").alias("id"), "whole", "hashes").join(named, "id", "left_semi").groupBy("id", "whole").agg(
+        F.first("hashes").alias("hashes")).drop("whole"), "sets")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return stage(both.where(common / (F.size("x") + F.size("y") - common) >= similarity).select("a", "b").distinct(), "alike")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2,
@@ -170,25 +233,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: id, fingerprint (16 hex digits), component_id (smallest id reachable by links).
 
     Documents link when their fingerprints differ in at most ``radius`` bits and, with ``similarity``, when their shingle
-    sets also have about that Jaccard similarity by their sketches (one with exactly that similarity passes with 95 %).
-    The numbers of distinct shingles of two such documents differ by a bounded factor, so the trees are first cut into rings of like
-    size, and a document visits its own ring and the one below.
+    sets also have at least that Jaccard similarity.  The numbers of distinct shingles of two such documents differ by a bounded factor,
+    so the trees are first cut into rings of like size, and a document visits its own ring and the one below.
 
-    Equal fingerprints (and sketches) are merged first, so a group of copies is one entry however large it is.  Shards return
-    spanning links, at most one per visiting fingerprint, never pairs.  Ids name documents: rows that repeat an id share
+    Equal fingerprints (and sets) are merged first, so a group of copies is one entry however large it is.  Without
+    ``similarity`` shards return spanning links, at most one per visiting fingerprint, never pairs.  With it they propose a
+    few pairs per visiting document, the sets decide, and documents with pairs left go on with larger rounds; pairs that are
+    linked by then need no decision.  It ends when no pair is left.  Ids name documents: rows that repeat an id share
     its component.  A row with a null id keeps its fingerprint, links nothing and has a null component_id.  An empty
     table gives no rows; other columns are not read.
     """
-    key = ["fp", "n", "sketch"] if similarity else ["fp"]
+    key = ["fp", "n", "whole"] if similarity else ["fp"]
     prints = stage(fingerprints(docs, id_col, text_col, shingle, bool(similarity)).withColumn(
         "ring", F.floor(F.log(F.greatest("n", F.lit(1))) / -math.log(similarity) + 1e-9).cast("int") if similarity else F.lit(0)), "prints")
-    distinct = stage(prints.where("id IS NOT NULL").groupBy("ring", *key).agg(F.min("id").cast("long").alias("first")), "distinct")
+    distinct = stage(prints.where("id IS NOT NULL").groupBy("ring", *key).agg(
+        F.min("id").cast("long").alias("first"), *([F.first("sketch").alias("sketch")] if similarity else [])), "distinct")
     sizes = distinct.groupBy("ring").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
     depth = int(np.ceil(np.log2(max(1.0, (sizes[0] or 0) / shard_rows))))
     part = min(1.0, sample_rows / max(1, sizes[1] or 0))
     sample = distinct.where(F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(1_000_000).cast("long")) < int(part * 1_000_000)).select("fp") if depth else None
     tree = build_tree(np.array([r[0] for r in sample.collect()], np.int64).view(np.uint64) if depth else np.zeros(0, np.uint64), depth)
-    columns = {"n": "long", "sketch": "binary"} if similarity else {}
+    columns = {"n": "long", "sketch": "binary", "label": "long", "ask": "boolean"} if similarity else {}
 
     def deal(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in parts:
@@ -203,26 +268,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rows = rows.sort_values("first", kind="stable")
         fps, first = rows["fp"].to_numpy(np.int64).view(np.uint64), rows["first"].to_numpy(np.int64)
         labels = np.arange(len(fps))
-        if similarity:
-            n = rows["n"].to_numpy(np.float64)
-            sketches = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, BINS)
         for a, b in links_within(fps, rows["home"].to_numpy(bool), radius):
             for at in range(0, len(a), 8192):
-                s, t = a[at:at + 8192], b[at:at + 8192]
-                if similarity:
-                    apart = (labels[s] != labels[t]) & (np.minimum(n[s], n[t]) >= similarity * np.maximum(n[s], n[t]))
-                    s, t = s[apart], t[apart]
-                    slack = 1.64 * np.sqrt(similarity * (1 - similarity) / BINS * (1 - np.exp(-np.maximum(n[s], n[t]) / BINS)))
-                    near = likeness(sketches[s], sketches[t]) >= similarity - slack
-                    s, t = s[near], t[near]
-                labels = merge_labels(labels, s, t)
+                labels = merge_labels(labels, a[at:at + 8192], b[at:at + 8192])
         linked = labels != np.arange(len(fps))
         return pd.DataFrame({"a": first[linked], "b": first[labels[linked]]})
 
+    def proposer(most: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        return lambda rows: proposals(rows, radius, similarity, most)
+
     form = "ring int, shard int, fp long, first long, home boolean" + "".join(f", {c} {t}" for c, t in columns.items())
-    dealt = distinct.mapInPandas(deal, form)
-    links = dealt.groupBy("ring", "shard").applyInPandas(match, "a long, b long")
-    parts = connected_components(links).select(F.col("node").alias("first"), F.col("component_id").alias("part"))
+    if similarity:
+        asking, most, links = distinct.withColumns({"label": F.col("first"), "ask": F.lit(True)}), ASKED, None
+        while True:
+            groups = asking.mapInPandas(deal, form).where("ask OR home").groupBy("ring", "shard")
+            said = stage(groups.applyInPandas(proposer(most), "a long, b long"), "proposals")
+            new = alike(said.where("b IS NOT NULL"), prints, similarity)
+            links = new if links is None else links.unionByName(new)
+            parts = stage(connected_components(links).select(F.col("node").alias("first"), F.col("component_id").alias("part")), "parts")
+            left = stage(said.where("b IS NULL").select(F.col("a").alias("first")).distinct().withColumn("more", F.lit(True)), "left")
+            rings = {x for r in distinct.join(left, "first", "left_semi").select("ring").distinct().collect() for x in (r["ring"], r["ring"] - 1)}
+            if not rings:
+                break
+            most *= 8
+            asking = distinct.where(F.col("ring").isin(*rings)).join(parts, "first", "left").join(left, "first", "left").select(
+                *distinct.columns, F.coalesce("part", "first").alias("label"), F.coalesce("more", F.lit(False)).alias("ask"))
+    else:
+        links = distinct.mapInPandas(deal, form).groupBy("ring", "shard").applyInPandas(match, "a long, b long")
+        parts = connected_components(links).select(F.col("node").alias("first"), F.col("component_id").alias("part"))
     classes = stage(distinct.join(parts, "first", "left").select(*key, F.coalesce("part", "first").alias("component_id")), "classes")
     return prints.join(classes, key, "left").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),

@@ -118,6 +118,38 @@ def test_simhash_with_similarity(spark):
     assert found == {i: i // 10 * 10 if i % 10 < 3 else i for i, _ in rows}
 
 
+def shingle_set(text):
+    return set(simhash_dedup.shingle_hashes(text, 5).tolist())
+
+
+def test_similarity_is_decided_by_the_whole_sets(spark):
+    rng, rows = random.Random(8), []
+    fresh = lambda n: [f"n{rng.randrange(10**9)}" for _ in range(n)]
+    for n in (40, 90, 225, 900):
+        for k in range(24):  # from the end of each text, so that it is the last shingles that differ
+            ws = fresh(n + 4)
+            apart = round(n / 9) if k % 2 else round(n / 7.7)  # 0.8 or just over, and 0.77
+            rows += [ws, ws[:-apart] + fresh(apart)]
+    docs = spark.createDataFrame([(i, " ".join(ws)) for i, ws in enumerate(rows)], "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in simhash_dedup.near_duplicates(docs, shingle=5, radius=40, similarity=0.8).collect()}
+    sets = [shingle_set(" ".join(ws)) for ws in rows]
+    linked = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    assert 20 < len(linked) < 80
+    assert found == components(range(len(rows)), linked)
+
+
+def test_similarity_in_large_groups_needs_more_rounds(spark, monkeypatch):
+    monkeypatch.setattr(simhash_dedup, "ASKED", 1)
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(120)]
+    rows = [" ".join([*base[:100 + rng.randrange(20)], *(f"e{rng.randrange(10**6)}" for _ in range(rng.randrange(20)))]) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in simhash_dedup.near_duplicates(docs, shingle=5, radius=64, similarity=0.8).collect()}
+    sets = [shingle_set(t) for t in rows]
+    linked = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    assert found == components(range(len(rows)), linked)
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(5)
     rows, base = [], rng.normal(size=(12, 16))
