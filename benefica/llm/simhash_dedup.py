@@ -73,14 +73,15 @@ def sketch(hashes: np.ndarray) -> tuple[int, bytes]:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, sets: bool = False) -> DataFrame:
     """(id, fp): the fingerprint of every row as a signed 64-bit integer; a null text has fingerprint zero.
 
-    With ``sets`` also the number of distinct shingles, their sketch, a 128-bit hash of them all, and their hashes.
+    With ``sets`` each distinct shingle counts once in the fingerprint too, and there are also the number of distinct
+    shingles, their sketch, a 128-bit hash of them all, and their hashes.
     """
     def many(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in parts:
             rows = []
             for hashes in (shingle_hashes(t, shingle) for t in texts):
                 distinct = np.unique(hashes) if sets else None
-                rows.append((bit_majority(hashes), *((*sketch(distinct), xxhash.xxh3_128_digest(distinct.tobytes()), distinct.view(np.int64)) if sets else ())))
+                rows.append((bit_majority(distinct if sets else hashes), *((*sketch(distinct), xxhash.xxh3_128_digest(distinct.tobytes()), distinct.view(np.int64)) if sets else ())))
             out = pd.DataFrame({"fp": np.array([r[0] for r in rows], np.uint64).view(np.int64)})
             if sets:
                 out["n"] = np.array([r[1] for r in rows], np.int64)

@@ -150,6 +150,16 @@ def test_similarity_in_large_groups_needs_more_rounds(spark, monkeypatch):
     assert found == components(range(len(rows)), linked)
 
 
+def test_repeated_lines_do_not_hide_a_similar_text(spark):
+    rng, rows = random.Random(10), []
+    for _ in range(8):
+        line, rest = (" ".join(f"r{rng.randrange(10**9)}" for _ in range(n)) for n in (20, 200))
+        rows += [f"{line} {line} {rest}", f"{' '.join([line] * 30)} {rest}"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in simhash_dedup.near_duplicates(docs, shingle=5, radius=16, similarity=0.8).collect()}
+    assert found == {i: i // 2 * 2 for i in range(len(rows))}
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(5)
     rows, base = [], rng.normal(size=(12, 16))
