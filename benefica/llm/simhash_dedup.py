@@ -3,7 +3,8 @@
 A vantage-point tree splits fingerprints at the median Hamming distance to a pivot.  A fingerprint lives in one leaf;
 as a query it also visits each leaf that the triangle bound cannot rule out, so every pair within the radius meets
 where one of the two lives.  The upper tree is built on the driver from a bounded sample (``sample_rows``) and only
-decides where the shards are cut; every fingerprint is indexed.  Inside a shard the tree goes on in numpy.
+decides where the shards are cut; every fingerprint is indexed.  Those that live in a shard and those that visit it are
+cut into blocks of bounded size, and two blocks meet in a group of their own, where the tree goes on in numpy.
 
 With a similarity the fingerprints and sketches only propose pairs; the whole sets of shingles decide.
 """
@@ -144,6 +145,20 @@ def visits(tree: list, fps: np.ndarray, radius: int) -> Iterator[tuple[int, np.n
             todo.append((child, rows[near], home[near] & mine[near]))
 
 
+def cells(home: np.ndarray, ask: np.ndarray, salt: np.ndarray, homes: int, asks: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(cell, positions, home, ask) of a shard cut into ``homes`` blocks of residents and ``asks`` blocks of visitors.
+
+    Each visitor meets each resident in one cell; who is both in one cell is there once.
+    """
+    lives, visits_in = salt % np.uint64(homes), salt % np.uint64(asks)
+    for i in range(homes):
+        for j in range(asks):
+            here, there = home & (lives == i), ask & (visits_in == j)
+            at = np.flatnonzero(here | there)
+            if len(at):
+                yield i * asks + j, at, here[at], there[at]
+
+
 def links_within(fps: np.ndarray, home: np.ndarray, radius: int, asking: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Position pairs (query, fingerprint that lives here) at most ``radius`` bits apart, found by a local tree; by query inside a batch."""
     todo = [(np.arange(len(fps)) if asking is None else np.flatnonzero(asking), np.flatnonzero(home))]
@@ -251,25 +266,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.min("id").cast("long").alias("first"), *([F.first("sketch").alias("sketch")] if similarity else [])), "distinct")
     sizes = distinct.groupBy("ring").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
     depth = int(np.ceil(np.log2(max(1.0, (sizes[0] or 0) / shard_rows))))
-    part = min(1.0, sample_rows / max(1, sizes[1] or 0))
-    sample = distinct.where(F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(1_000_000).cast("long")) < int(part * 1_000_000)).select("fp") if depth else None
-    tree = build_tree(np.array([r[0] for r in sample.collect()], np.int64).view(np.uint64) if depth else np.zeros(0, np.uint64), depth)
-    columns = {"n": "long", "sketch": "binary", "label": "long", "ask": "boolean"} if similarity else {}
+    part = min(1.0, max(sample_rows, 64 << depth) / max(1, sizes[1] or 0))
+    sample = distinct.where(F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(1_000_000).cast("long")) < math.ceil(part * 1_000_000)).select("fp") if depth else None
+    tree = build_tree(sample.toArrow()["fp"].to_numpy().astype(np.int64).view(np.uint64) if depth else np.zeros(0, np.uint64), depth)
+    columns = {"n": "long", "sketch": "binary", "label": "long"} if similarity else {}
+
+    def places(rows: pd.DataFrame) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(ring, shard, positions, whether each one lives there)"""
+        ring = rows["ring"].to_numpy(np.int64)
+        for shard, at, home in visits(tree, rows["fp"].to_numpy(np.int64).view(np.uint64), radius):
+            for below in range(2 if similarity else 1):
+                for r in np.unique(ring[at]).tolist():
+                    of = ring[at] == r
+                    yield r - below, shard, at[of], home[of] & (below == 0)
+
+    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in parts:
+            yield pd.DataFrame([(r, shard, int(home.sum()), len(at)) for r, shard, at, home in places(rows)], columns=["ring", "shard", "homes", "asks"])
+
+    many = distinct.select("ring", "fp").mapInPandas(count, "ring int, shard int, homes long, asks long").groupBy("ring", "shard").agg(
+        F.sum("homes").alias("homes"), F.sum("asks").alias("asks")).where(F.greatest("homes", "asks") > shard_rows).collect()
+    cut = {(r["ring"], r["shard"]): (max(1, -(-r["homes"] // shard_rows)), max(1, -(-r["asks"] // shard_rows))) for r in many}
 
     def deal(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in parts:
-            fps, ring = rows["fp"].to_numpy(np.int64).view(np.uint64), rows["ring"].to_numpy(np.int64)
-            for shard, at, home in visits(tree, fps, radius):
-                for below in range(2 if similarity else 1):
+            fps, first, ask = rows["fp"].to_numpy(np.int64), rows["first"].to_numpy(np.int64), rows["ask"].to_numpy(bool)
+            salt = (fps ^ first).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
+            for r, shard, at, home in places(rows):
+                for cell, some, here, there in cells(home, ask[at], salt[at], *cut.get((r, shard), (1, 1))):
+                    to = at[some]
                     yield pd.DataFrame({
-                        "ring": (ring[at] - below).astype(np.int32), "shard": np.full(len(at), shard, np.int32), "fp": fps[at].view(np.int64),
-                        "first": rows["first"].to_numpy(np.int64)[at], "home": home & (below == 0), **{c: rows[c].to_numpy()[at] for c in columns}})
+                        "ring": np.full(len(to), r, np.int32), "shard": np.full(len(to), shard, np.int32), "cell": np.full(len(to), cell, np.int32), "fp": fps[to],
+                        "first": first[to], "home": here, "ask": there, **{c: rows[c].to_numpy()[to] for c in columns}})
 
     def match(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("first", kind="stable")
         fps, first = rows["fp"].to_numpy(np.int64).view(np.uint64), rows["first"].to_numpy(np.int64)
         labels = np.arange(len(fps))
-        for a, b in links_within(fps, rows["home"].to_numpy(bool), radius):
+        for a, b in links_within(fps, rows["home"].to_numpy(bool), radius, rows["ask"].to_numpy(bool)):
             for at in range(0, len(a), 8192):
                 labels = merge_labels(labels, a[at:at + 8192], b[at:at + 8192])
         linked = labels != np.arange(len(fps))
@@ -278,11 +312,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def proposer(most: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
         return lambda rows: proposals(rows, radius, similarity, most)
 
-    form = "ring int, shard int, fp long, first long, home boolean" + "".join(f", {c} {t}" for c, t in columns.items())
+    form = "ring int, shard int, cell int, fp long, first long, home boolean, ask boolean" + "".join(f", {c} {t}" for c, t in columns.items())
     if similarity:
         asking, most, links = distinct.withColumns({"label": F.col("first"), "ask": F.lit(True)}), ASKED, None
         while True:
-            groups = asking.mapInPandas(deal, form).where("ask OR home").groupBy("ring", "shard")
+            groups = asking.mapInPandas(deal, form).groupBy("ring", "shard", "cell")
             said = stage(groups.applyInPandas(proposer(most), "a long, b long"), "proposals")
             new = alike(said.where("b IS NOT NULL"), prints, similarity)
             links = new if links is None else links.unionByName(new)
@@ -295,7 +329,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             asking = distinct.where(F.col("ring").isin(*rings)).join(parts, "first", "left").join(left, "first", "left").select(
                 *distinct.columns, F.coalesce("part", "first").alias("label"), F.coalesce("more", F.lit(False)).alias("ask"))
     else:
-        links = distinct.mapInPandas(deal, form).groupBy("ring", "shard").applyInPandas(match, "a long, b long")
+        links = distinct.withColumn("ask", F.lit(True)).mapInPandas(deal, form).groupBy("ring", "shard", "cell").applyInPandas(match, "a long, b long")
         parts = connected_components(links).select(F.col("node").alias("first"), F.col("component_id").alias("part"))
     classes = stage(distinct.join(parts, "first", "left").select(*key, F.coalesce("part", "first").alias("component_id")), "classes")
     return prints.join(classes, key, "left").select(

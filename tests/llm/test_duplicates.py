@@ -160,6 +160,27 @@ def test_repeated_lines_do_not_hide_a_similar_text(spark):
     assert found == {i: i // 2 * 2 for i in range(len(rows))}
 
 
+def test_blocks_of_a_shard_are_bounded_and_meet_once():
+    rng = np.random.default_rng(12)
+    home, ask, salt = rng.random(3000) < 0.5, rng.random(3000) < 0.9, rng.integers(0, 1 << 40, 3000, dtype=np.uint64)
+    met = np.zeros((3000, 3000), np.int8)
+    for _, at, here, there in simhash_dedup.cells(home, ask, salt, 8, 14):
+        assert len(at) < 2 * (1500 / 8 + 2700 / 14)
+        met[np.ix_(at[there], at[here])] += 1
+    assert (met == (ask[:, None] & home[None, :])).all()
+
+
+def test_blocks_change_no_result(spark):
+    rng, rows = random.Random(13), []
+    for _ in range(40):
+        ws = [f"v{rng.randrange(10**6)}" for _ in range(60)]
+        rows += [" ".join(ws), " ".join([*ws, "more"]), " ".join(ws[:50])]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    for options in ({}, {"shingle": 5, "radius": 16, "similarity": 0.8}):
+        one, many = ({tuple(r) for r in simhash_dedup.near_duplicates(docs, shard_rows=n, **options).collect()} for n in (16384, 25))
+        assert one == many and len({r[2] for r in one}) < len(rows)
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(5)
     rows, base = [], rng.normal(size=(12, 16))
