@@ -1,6 +1,6 @@
 """Secrets in texts: three known patterns, and strings that pass a battery of randomness tests.
 
-Candidates are runs of token characters of some length.  For each the alphabet is inferred, and three tests are made on
+Candidates are runs of token characters of some length; of NAME=VALUE each side is one of its own.  For each the alphabet is inferred, and three tests are made on
 the positions of its characters in it: chi-squared against equal frequencies, runs above and below the middle, and
 serial correlation.  The null hypothesis is "ordinary text": character frequencies counted over all texts give the
 non-central chi-squared law that ordinary text of this length would follow, and the p-value is the chance to look as
@@ -27,7 +27,8 @@ KEYWORDS = ("password", "passwd", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 LEAST = 20
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
+# An equals sign ends a candidate, unless it is padding behind the last character.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{%d,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?" % LEAST)
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # Inferred encodings, from the narrowest to the widest.
 ALPHABETS = (DIGITS, DIGITS + "abcdef", DIGITS + "ABCDEF", LOWER, UPPER, UPPER + "234567", DIGITS + LOWER, DIGITS + UPPER,

@@ -146,6 +146,19 @@ def test_secrets(spark, corpus, nothing):
     assert secret_scan.scan(corpus).count() == corpus.count()
 
 
+def test_secrets_behind_an_equals_sign(spark):
+    rng = random.Random(12)
+    draw = lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
+    values = ["wJalrXUtnFEMIK7MDENGbPxRfiCYzzTESTKEY12", draw(32), draw(40), base64.b64encode(rng.randbytes(31)).decode()]
+    texts = [f"AWS_SECRET_ACCESS_KEY={values[0]}", f"see https://example.org/a?sig={values[1]} there", f"SETTING={values[2]}=other", f"VALUE={values[3]}",
+             "ordinary words of an ordinary text " * 50, "a_long_name_of_a_setting=internationalization_of_documents"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, t[s.start:s.end]) for s in r.found] for r in secret_scan.scan(docs).collect() for t in [texts[r.doc_id]]}
+    assert got == {**{i: [("random", v)] for i, v in enumerate(values)}, 4: [], 5: []}
+    clean = {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}
+    assert clean[0] == "AWS_SECRET_ACCESS_KEY=[SECRET]" and clean[1] == "see https://example.org/a?sig=[SECRET] there"
+
+
 def test_random_strings_are_told_from_words():
     rng = random.Random(4)
     text = (b"The operators of this list live in one place and nothing else reads them; each returns one row for every text it was given. "
