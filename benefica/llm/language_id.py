@@ -1,8 +1,8 @@
 """Language of texts: sparse multinomial logistic regression on TF-IDF of hashed character n-grams.
 
 Document frequencies cover every text that may be learned from.  The classifier is fitted by follow-the-regularised-
-leader (proximal form, elastic net) on a bounded sample of at most about ``per_class`` texts per language, a fifth of
-which sets the temperature of the scores instead.
+leader (proximal form, elastic net) on a bounded sample of ``per_class`` different texts per language (all, if it has
+fewer), a fifth of which sets the temperature of the scores instead.
 """
 
 from __future__ import annotations
@@ -128,47 +128,62 @@ def temperature(logits: list, classes: list) -> float:
     return math.exp((lo + hi) / 2)
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_class: int = PER_CLASS) -> Model:
-    """A model of all non-null values of ``lang_col``; rows with a null text, a text without letters or a null language teach nothing.
+def drawn(rows: DataFrame, per_class: int) -> tuple[DataFrame, dict[str, int], list]:
+    """Of rows (text, lang) the ``per_class`` different texts of each language with the smallest hashes, all rows per language, and rows (feature, texts with it).
 
-    Only sums, one row per language and the bounded sample reach the driver.
+    Texts without letters do not count.  Copies count in the last two only.  Sums and hashes of about twice as many texts per language reach the driver.
     """
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-
     def frequencies(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df, texts = np.zeros(DIM, np.int64), {}
+        df = np.zeros(DIM, np.int64)
         for some in parts:
-            for text, lang in zip(some["text"], some["lang"]):
+            texts = {}
+            for text, lang, h in zip(some["text"], some["lang"], some["h"]):
                 grams = gram_counts(text)
                 if grams is not None:
                     df[grams[0]] += 1
-                    texts[lang] = texts.get(lang, 0) + 1
+                    texts[lang, h] = texts.get((lang, h), 0) + 1
+            yield pd.DataFrame({"feature": -1, "lang": pd.Series([k for k, _ in texts], dtype=object), "h": np.array([h for _, h in texts], np.int64),
+                                "n": np.array(list(texts.values()), np.int64)})
         at = np.flatnonzero(df)
-        yield pd.DataFrame({"feature": at.astype(np.int32), "lang": None, "n": df[at]})
-        yield pd.DataFrame({"feature": -1, "lang": pd.Series(list(texts), dtype=object), "n": np.array(list(texts.values()), np.int64)})
+        yield pd.DataFrame({"feature": at.astype(np.int32), "lang": None, "h": 0, "n": df[at]})
+
+    h = F.shiftrightunsigned(F.xxhash64("text"), 1)  # 63 bits
+    counted = stage(rows.select("text", "lang", h.alias("h")).mapInPandas(frequencies, "feature int, lang string, h long, n long"), "counted")
+    sums = counted.where("feature >= 0").groupBy("feature").agg(F.sum("n").alias("n")).collect()
+    texts = stage(counted.where("feature < 0").groupBy("lang", "h").agg(F.sum("n").alias("n")), "texts")
+    sizes = {r["lang"]: (r["texts"], r["n"]) for r in texts.groupBy("lang").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n")).collect()}
+    if not sizes:
+        return rows.where("false"), {}, sums
+    by_lang = lambda of: F.element_at(F.create_map(*[F.lit(x) for k in sizes for x in (k, of(k))]), F.col("lang"))
+    low = texts.where(F.col("h") <= by_lang(lambda k: int(min(1.0, (2 * per_class + 100) / sizes[k][0]) * ((1 << 63) - 1025)) if sizes[k][0] > 2 * per_class + 100 else (1 << 63) - 1))
+    hashes: dict[str, list[int]] = {}
+    for lang, x in low.select("lang", "h").collect():
+        hashes.setdefault(lang, []).append(x)
+    limit = {k: sorted(hashes[k])[:per_class][-1] for k in sizes}
+    return rows.where(h <= by_lang(limit.get)).dropDuplicates(["text", "lang"]), {k: n for k, (_, n) in sizes.items()}, sums
 
-    sums = rows.mapInPandas(frequencies, "feature int, lang string, n long").groupBy("feature", "lang").agg(F.sum("n").alias("n")).collect()
-    per_lang = {r["lang"]: r["n"] for r in sums if r["lang"] is not None}
+
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_class: int = PER_CLASS) -> Model:
+    """A model of all non-null values of ``lang_col``; rows with a null text, a text without letters or a null language teach nothing.
+
+    Only sums, one row per language and the bounded sample reach the driver.
+    """
+    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
+        F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    kept, per_lang, sums = drawn(rows, per_class)
     languages, total = sorted(per_lang), sum(per_lang.values())
     df = np.zeros(DIM)
-    for feature, lang, n in sums:
-        if lang is None:
-            df[feature] = n
+    for feature, n in sums:
+        df[feature] = n
     idf = np.log((1 + total) / (1 + df)) + 1
     if not languages:
         return Model([], idf, np.full(DIM, -1, np.int32), np.zeros((1, 0)))
 
-    # The share that is kept of each language brings about per_class texts; it depends on the text alone.
-    h = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, per_class / per_lang[k]))]), F.col("lang")), F.lit(0.0))
-
     def features(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for some in parts:
             found = [(g[0], g[1], lang) for t, lang in zip(some["text"], some["lang"]) if (g := gram_counts(t)) is not None]
             yield pd.DataFrame(found, columns=["at", "counts", "lang"])
 
-    kept = rows.where(h < share).dropDuplicates(["text", "lang"])
     place = {k: i for i, k in enumerate(languages)}
     data = [(np.array(r["at"], np.int32), np.array(r["counts"], np.int64), place[r["lang"]])
             for r in kept.mapInPandas(features, "at array<int>, counts array<long>, lang string").toLocalIterator()]

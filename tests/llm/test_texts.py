@@ -73,6 +73,18 @@ def test_language_held_out_accuracy(spark, corpus, nothing):
     assert {(r.lang_pred, r.score) for r in blank} == {("und", 0.0)}
 
 
+def test_copies_take_no_place_of_other_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("lang IN ('en', 'de')").select("text", "lang").distinct()
+    first = docs.where("lang = 'de'").orderBy("text").limit(1).crossJoin(spark.range(4000)).drop("id")
+    found = language_id.fit(docs.unionByName(first), per_class=20)
+    assert found.languages == ["de", "en"]
+    held = docs.collect()
+    assert sum(found.predict(r.text)[0] == r.lang for r in held) >= 0.9 * len(held)
+    few = spark.createDataFrame([(f"ein kurzer satz über das haus nummer {'abcde'[i % 5] * 3}", "de") for i in range(3000)], "text string, lang string")
+    kept = {(t, k) for t, k in language_id.drawn(few.unionByName(docs.where("lang = 'en'")), 20)[0].collect()}
+    assert sum(k == "de" for _, k in kept) == 5 and sum(k == "en" for _, k in kept) == 20
+
+
 def test_temperature_lowers_overconfidence():
     rng = np.random.default_rng(1)
     y = rng.integers(0, 3, 400)
