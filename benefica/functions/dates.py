@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import calendar
+import math
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,10 +64,28 @@ def nth_weekday(month_start: Column, n: int, weekday: str) -> Column:
     return F.date_add(on_or_after_weekday(month_start, weekday), 7 * (n - 1))
 
 
-# A grid of months meets every day that it ever meets within so many steps.
+# A grid of months meets every day that it ever meets within so many steps, fifth weekdays aside.
 MONTH_STEPS, YEAR_STEPS = 24, 12
 
 
+@cache
+def _fifth_steps(months: int, weekday: str) -> int:
+    """Steps within which a grid of months meets two fifth weekdays wherever it begins, if it ever does; the calendar repeats after 400 years."""
+    hits = []
+    for k in range(4800):
+        first, days = calendar.monthrange(2000 + k // 12, k % 12 + 1)
+        hits.append((WEEKDAYS.index(weekday) - first) % 7 + 29 <= days)
+    most, around = MONTH_STEPS, 4800 // math.gcd(4800, months)
+    for start in range(4800):
+        met = 0
+        for k in range(2 * around + 1):
+            met += hits[(start + k * months) % 4800]
+            if met == 2:
+                most = max(most, k)
+                break
+    return most
+
+
 def _on_grid(start: Column, months: int, steps: int, pick) -> Column:
     """``pick(first of month)`` every ``months`` months from the month of ``start``; dates outside their month do not exist."""
     def at(k: Column) -> Column:
@@ -87,7 +109,8 @@ def occurrences(start: Column, rule: dict) -> Column:
         day = F.date_add(F.trunc(start, "week"), WEEKDAYS.index(rule["weekday"])) if rule.get("weekday") else start
         found = F.array(*[F.date_add(day, 7 * step * k) for k in range(3)])
     elif kind == "monthly" and rule.get("nth"):
-        found = _on_grid(start, step, MONTH_STEPS, lambda first: nth_weekday(first, rule["nth"], rule["weekday"]))
+        steps = _fifth_steps(step, rule["weekday"]) if rule["nth"] == 5 else MONTH_STEPS
+        found = _on_grid(start, step, steps, lambda first: nth_weekday(first, rule["nth"], rule["weekday"]))
     elif kind == "monthly":
         day = F.lit(rule["day"]) if rule.get("day") else F.dayofmonth(start)
         found = _on_grid(start, step, MONTH_STEPS, lambda first: F.date_add(first, day - 1))
