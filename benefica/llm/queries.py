@@ -7,7 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import path as tokenizer_path
 
-from benefica.llm import embedding_dedup, exact_dedup, language_id, license_scan, packing, phrase_dedup, piece_sampling, secret_scan, simhash_dedup, token_count
+from benefica.llm import (
+    collocations, embedding_dedup, exact_dedup, language_id, license_scan, packing, phrase_dedup, piece_sampling, secret_scan, simhash_dedup, token_count, whitening,
+    window_packing,
+)
 from benefica.llm.common import stage
 
 
@@ -63,8 +66,22 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return phrase_dedup.remove_repeats(_table(spark, folder, "documents"))
 
 
+def op11_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(_table(spark, folder, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(_table(spark, folder, "embeddings"))
+
+
+def op13_window_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = window_packing.pack_in_order(_table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_simhash_near_dedup, op3_exact_dedup, op4_license_scan, op5_language_id, op6_piece_sampling,
-                                  op7_best_fit_packing, op8_secret_scan, op9_token_counts, op10_substring_dedup)}
+                                  op7_best_fit_packing, op8_secret_scan, op9_token_counts, op10_substring_dedup, op11_phrase_collocations,
+                                  op12_embedding_whitening, op13_window_packing)}
 
 _NOTICES = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(license_scan.TEMPLATES.items()))
 _LICENCES = f"""
@@ -97,7 +114,31 @@ SELECT doc_id, path, own_license, own_cosine, coalesce(own_license, f[1]) AS lic
   CASE WHEN own_license IS NULL THEN f[2] END AS from_dir FROM known LEFT JOIN above ON above.of = known.dir
 """
 
+_COLLOCATIONS = rf"""
+WITH t AS (SELECT row_number() OVER () AS row, coalesce(lang, 'und') AS lang, coalesce(text, '') AS text FROM documents),
+  pieces AS (SELECT row, lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
+  w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+  f1 AS (SELECT lang, x, count(*) AS a FROM (SELECT lang, unnest(w) AS x FROM w) GROUP BY ALL),
+  n AS (SELECT lang, sum(a)::BIGINT AS n FROM f1 GROUP BY lang),
+  spots AS (SELECT lang, w, unnest(range(1, len(w))) AS i FROM w),
+  f2 AS (SELECT lang, w[i] AS x, w[i + 1] AS y, count(*) AS a FROM spots GROUP BY ALL HAVING count(*) >= {collocations.LEAST}),
+  f3 AS (SELECT lang, w[i] AS x, w[i + 1] AS y, w[i + 2] AS z, count(*) AS a FROM spots WHERE i + 2 <= len(w) GROUP BY ALL HAVING count(*) >= {collocations.LEAST}),
+  held AS (SELECT lang, x, y, max(a) AS a FROM (SELECT lang, x, y, a FROM f3 UNION ALL SELECT lang, y, z, a FROM f3) GROUP BY ALL),
+  cuts AS (
+    SELECT f2.lang, f2.x || ' ' || f2.y AS phrase, 1 AS k, f2.a, p.a AS l, q.a AS r FROM f2 JOIN f1 p ON p.lang = f2.lang AND p.x = f2.x
+      JOIN f1 q ON q.lang = f2.lang AND q.x = f2.y LEFT JOIN held h ON h.lang = f2.lang AND h.x = f2.x AND h.y = f2.y WHERE h.a IS NULL OR 100 * h.a < 50 * f2.a
+    UNION ALL SELECT f3.lang, f3.x || ' ' || f3.y || ' ' || f3.z, 1, f3.a, p.a, q.a FROM f3 JOIN f1 p ON p.lang = f3.lang AND p.x = f3.x
+      JOIN f2 q ON q.lang = f3.lang AND q.x = f3.y AND q.y = f3.z
+    UNION ALL SELECT f3.lang, f3.x || ' ' || f3.y || ' ' || f3.z, 2, f3.a, p.a, q.a FROM f3 JOIN f2 p ON p.lang = f3.lang AND p.x = f3.x AND p.y = f3.y
+      JOIN f1 q ON q.lang = f3.lang AND q.x = f3.z),
+  scored AS (SELECT *, (1000000::HUGEINT * a::HUGEINT * a::HUGEINT // (l::HUGEINT * r::HUGEINT))::BIGINT AS score FROM cuts),
+  best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
 SQL = {
+    "op11_phrase_collocations": _COLLOCATIONS,
     "op4_license_scan": _LICENCES,
     "op1_embedding_near_dedup": r"""
 WITH RECURSIVE v AS (
