@@ -171,8 +171,7 @@ def envelope_limit_errors(requests: DataFrame, envelope: DataFrame, received: Da
 
 # --- reconciliation -------------------------------------------------------------------------------------------
 
-def reconcile(lines: DataFrame, disbursement: DataFrame, geo_batches: DataFrame,
-              stored: DataFrame | None = None) -> DataFrame:
+def reconcile(lines: DataFrame, disbursement: DataFrame, geo_batches: DataFrame) -> DataFrame:
     """Outcome of every debit and reversal line.
 
     Statements count in ``statement_order``, and inside one all debits come
@@ -181,27 +180,31 @@ def reconcile(lines: DataFrame, disbursement: DataFrame, geo_batches: DataFrame,
     then.  One aggregate per id and one join: no ordering of an id's lines.
     The outcome codes are fixed values.
     """
-    known = disbursement.select(F.col("disbursement_id").alias("reconciliation_id"),
-                                F.lit("disbursement").alias("target")).unionByName(
+    place = F.struct("statement_order", "entry_sequence")
+    debits = lines.where("indicator = 'D'").groupBy("reconciliation_id").agg(F.min(place).alias("_first"))
+    return judge(lines, targets(disbursement, geo_batches), debits)
+
+
+def targets(disbursement: DataFrame, geo_batches: DataFrame) -> DataFrame:
+    """(reconciliation_id, target) of everything a line may refer to."""
+    return disbursement.select(F.col("disbursement_id").alias("reconciliation_id"), F.lit("disbursement").alias("target")).unionByName(
         geo_batches.select(F.col("geo_batch_id").alias("reconciliation_id"), F.lit("geo_batch").alias("target")))
+
+
+def judge(lines: DataFrame, known: DataFrame, first: DataFrame) -> DataFrame:
+    """Outcome of debit and reversal lines, given what ids refer to and the place of each id's first debit (``_first``)."""
     lines = lines.where(F.col("indicator").isin("D", "RD"))
     place = F.struct("statement_order", "entry_sequence")
-    first = lines.where("indicator = 'D'").groupBy("reconciliation_id").agg(F.min(place).alias("_first"))
     # All that is known of an id is one row, so its lines are joined once.
-    facts = known.unionByName(first, allowMissingColumns=True)
-    has = F.lit(False)
-    if stored is not None:
-        facts = facts.unionByName(stored.select("reconciliation_id", F.lit(True).alias("_stored")), allowMissingColumns=True)
-        has = F.coalesce("_stored", F.lit(False))
-    facts = facts.groupBy("reconciliation_id").agg(*[F.min(c).alias(c) for c in facts.columns if c != "reconciliation_id"])
+    facts = known.unionByName(first, allowMissingColumns=True).groupBy("reconciliation_id").agg(F.min("target").alias("target"), F.min("_first").alias("_first"))
     out = join_groups(lines, facts, ["reconciliation_id"], "left")
     debit = F.col("indicator") == "D"
     earlier = F.coalesce(F.col("_first.statement_order") <= F.col("statement_order"), F.lit(False))
     outcome = (
         F.when(F.col("target").isNull(), "INVALID_RECONCILIATION_ID")
-        .when(debit & (has | (place != F.col("_first"))), "DUPLICATE_DISBURSEMENT")
+        .when(debit & (place != F.col("_first")), "DUPLICATE_DISBURSEMENT")
         .when(debit, "RECONCILED")
-        .when(has | earlier, "REVERSED")
+        .when(earlier, "REVERSED")
         .otherwise("INVALID_REVERSAL")
     )
     return out.withColumn("outcome", outcome).select(*lines.columns, "target", "outcome")

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from benefica.functions import scoring
-from benefica.plans.fraud import LIGHT, light_features
+from benefica.operators import learning
+from benefica.plans.fraud import LIGHT, SERVICE, light_features
 from benefica.plans.joins import RECON, geo_batches, parsed
 from benefica.plans.registry import query
-from benefica.scale import staging_path
+from benefica.scale import stage, staging_path
 from benefica.streaming import jobs
-from benefica.streaming.runner import KeyedTable, read_files, run_append
+from benefica.streaming.runner import logged, newest, read_files, run_append
 
 EVENTS = """ev AS (SELECT CAST(user_id AS VARCHAR) AS key, ts, event_id, CASE event_type WHEN 'error' THEN 'fail'
     WHEN 'purchase' THEN 'ok' ELSE 'start' END AS kind FROM events)"""
@@ -73,14 +74,36 @@ def _(t):
     return jobs.stage_status(jobs.stage_summary(stage_events(t))).select("key", "status", "attempts")
 
 
+def in_turn(t, parts, schema, step):
+    """Land the parts one after the other; ``step`` runs the stream over what is there after each."""
+    inbox, checkpoint, out = (folder(t, x) for x in ("inbox", "checkpoint", "log"))
+    for part in parts:
+        part.write.mode("append").parquet(inbox)
+        step(read_files(t.spark, inbox, schema), checkpoint, out)
+    return out
+
+
+def halves(df, column="ts"):
+    early = F.col(column) < F.expr("TIMESTAMP '2024-01-16 00:00:00'")
+    return [df.where(early), df.where(~early)]
+
+
 @query("l03_stage_machine_stream", f"WITH {STATUS}")
 def _(t):
-    table = KeyedTable(t.spark, jobs.STAGE_SCHEMA)
-    path = folder(t, "stages")
     df = stage_events(t)
-    df.repartition(4).write.parquet(path)
-    jobs.stage_machine(read_files(t.spark, path, df.schema, per_trigger=2), folder(t, "checkpoint"), table)
-    return jobs.stage_status(table.latest()).select("key", "status", "attempts")
+    log = in_turn(t, halves(df), df.schema, lambda s, c, out: jobs.stage_machine(s, c, out, stale=None))
+    return newest(t.spark, log, ["key"]).select("key", "status", "attempts")
+
+
+@query("l05_stale_reset_stream", f"""
+    WITH st AS (WITH {STATUS}), l AS (SELECT CAST(user_id AS VARCHAR) AS key, max(ts) AS since FROM events GROUP BY 1)
+    SELECT key, CASE WHEN status = 'PROCESSING' AND since < TIMESTAMP '2024-02-10 00:00:00' - INTERVAL 12 DAY THEN 'PENDING' ELSE status END AS status,
+        attempts FROM st JOIN l USING (key)""")
+def _(t):
+    df = stage_events(t)
+    tick = t.spark.sql("SELECT CAST(NULL AS STRING) AS key, TIMESTAMP '2024-02-10 00:00:00' AS ts, -1L AS event_id, 'tick' AS kind")
+    log = in_turn(t, [*halves(df), tick], df.schema, lambda s, c, out: jobs.stage_machine(s, c, out, stale=12 * 24 * 60, lateness="0 seconds"))
+    return newest(t.spark, log, ["key"]).select("key", "status", "attempts")
 
 
 @query("l05_stale_reset", """
@@ -104,14 +127,21 @@ def _(t):
     FROM judged LEFT JOIN (SELECT * FROM back WHERE z = 1) USING (reconciliation_id) WHERE outcome = 'RECONCILED'""")
 def _(t):
     lines = parsed(t).select("statement_id", "statement_order", "entry_sequence", "indicator", "reconciliation_id", "amount")
-    inbox, checkpoint = folder(t, "statements"), folder(t, "checkpoint")
-    table, errors = KeyedTable(t.spark, jobs.RECON_SCHEMA), folder(t, "errors")
-    disbursement, geo = t.disbursement, geo_batches(t)
     first_half = F.col("statement_order") < 199900 * 1000000
-    for part in (lines.where(first_half), lines.where(~first_half)):
-        part.write.mode("append").parquet(inbox)
-        jobs.reconcile_stream(read_files(t.spark, inbox, lines.schema), checkpoint, disbursement, geo, table, errors)
-    return table.latest().drop("amount")
+    # The later statements arrive first.
+    facts = in_turn(t, [lines.where(~first_half), lines.where(first_half)], lines.schema,
+                    lambda s, c, out: jobs.reconcile_stream(s, c, f"{out}/facts", f"{out}/lines"))
+    return jobs.reconciliations(t.spark, f"{facts}/facts", t.disbursement, geo_batches(t)).drop("amount")
+
+
+@query("l04_late_statements", f"""
+    WITH {RECON} SELECT statement_id, entry_sequence, reconciliation_id, outcome FROM judged""")
+def _(t):
+    lines = parsed(t).select("statement_id", "statement_order", "entry_sequence", "indicator", "reconciliation_id", "amount")
+    out = in_turn(t, [lines.where(F.col("statement_order") % 1000000 >= 5), lines.where(F.col("statement_order") % 1000000 < 5)], lines.schema,
+                  lambda s, c, out: jobs.reconcile_stream(s, c, f"{out}/facts", f"{out}/lines"))
+    return jobs.reconciled_lines(t.spark, f"{out}/lines", f"{out}/facts", t.disbursement, geo_batches(t)).select(
+        "statement_id", "entry_sequence", "reconciliation_id", "outcome")
 
 
 @query("l08_audit_stream", """
@@ -119,14 +149,9 @@ def _(t):
         event_type AS new_value FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS old
         FROM events) WHERE old IS DISTINCT FROM event_type""")
 def _(t):
-    df = t.events.select("event_id", "user_id", "event_type", "ts")
-    inbox, checkpoint, log = folder(t, "images"), folder(t, "checkpoint"), folder(t, "log")
-    images = KeyedTable(t.spark, "user_id long, event_type string")
-    early = F.col("ts") < F.expr("TIMESTAMP_NTZ '2024-01-16 00:00:00'")
-    for part in (df.where(early), df.where(~early)):
-        part.write.mode("append").parquet(inbox)
-        jobs.audit_stream(read_files(t.spark, inbox, df.schema), checkpoint, "user_id", ["event_type"], images, log)
-    return t.spark.read.parquet(log).select("user_id", "change", "field", "old_value", "new_value")
+    df = t.events.select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    log = in_turn(t, halves(df), df.schema, lambda s, c, out: jobs.audit_stream(s, c, "user_id", ["event_type"], out))
+    return jobs.audit_log(t.spark, log)
 
 
 @query("l10_group_recompute", """
@@ -136,20 +161,47 @@ def _(t):
         AND p.disabled IS NULL AND m.ended_date IS NULL GROUP BY 1)
     SELECT group_id, coalesce(n, 0) AS members FROM touched LEFT JOIN c USING (group_id)""")
 def _(t):
-    changed = t.group_membership.where("start_date >= DATE '1999-01-01'").select("group_id", "individual_id")
-    table = KeyedTable(t.spark, "group_id long, members long")
-    jobs.indicator_stream(landed(t, changed, "memberships"), folder(t, "checkpoint"), t.registrant,
-                          lambda: t.group_membership, table)
-    return table.latest()
+    changed = t.group_membership.where("start_date >= DATE '1999-01-01'").select("group_id")
+    return members_by_changes(t).join(changed.distinct(), "group_id", "left_semi")
+
+
+def members_by_changes(t):
+    """Counts after three arrivals: what began before 1999, what began later, and what ended."""
+    m = t.group_membership
+    begun = m.select("group_id", "individual_id", F.lit(1).alias("sign"), "start_date")
+    ended = m.where("ended_date IS NOT NULL").select("group_id", "individual_id", F.lit(-1).alias("sign"), "start_date")
+    new = F.col("start_date") >= F.lit("1999-01-01").cast("date")
+    log = in_turn(t, [begun.where(~new), begun.where(new), ended], begun.schema, lambda s, c, out: jobs.membership_stream(s, c, t.registrant, out))
+    return newest(t.spark, log, ["group_id"])
+
+
+@query("l10_membership_changes", """
+    WITH c AS (SELECT m.group_id, count(*) AS n FROM group_membership m JOIN registrant g ON g.partner_id = m.group_id
+        JOIN registrant p ON p.partner_id = m.individual_id WHERE g.is_registrant AND g.is_group AND g.disabled IS NULL
+        AND p.disabled IS NULL AND m.ended_date IS NULL GROUP BY 1)
+    SELECT group_id, coalesce(n, 0) AS members FROM (SELECT DISTINCT group_id FROM group_membership) LEFT JOIN c USING (group_id)""")
+def _(t):
+    return members_by_changes(t)
+
+
+def totals_by_changes(t, arrivals):
+    """Count and total per event type after signed change rows (event_type, value, sign)."""
+    rows = [a.select("event_type", F.col("value").cast("decimal(18,6)").alias("value"), F.lit(sign).alias("sign")) for a, sign in arrivals]
+    aggregates = [F.sum("sign").cast("long").alias("n"), F.sum(F.col("sign") * F.col("value")).alias("total")]
+    log = in_turn(t, rows, rows[0].schema, lambda s, c, out: jobs.running_totals(s, c, ["event_type"], aggregates, out))
+    return newest(t.spark, log, ["event_type"]).select("event_type", "n", F.round(F.col("total").cast("double"), 2).alias("total"))
 
 
 @query("l11_dashboard_stream", """
     SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1""")
 def _(t):
-    table = KeyedTable(t.spark, "event_type string, n long, total double")
-    jobs.running_totals(landed(t, t.events.select("event_type", "value"), "events"), folder(t, "checkpoint"), ["event_type"],
-                        [F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")], table)
-    return table.latest().withColumn("total", F.round("total", 2))
+    return totals_by_changes(t, [(part, 1) for part in halves(t.events.withColumn("ts", F.col("ts").cast("timestamp")))])
+
+
+@query("l11_dashboard_corrections", """
+    SELECT event_type, count(*) FILTER (value < 40) AS n, coalesce(round(sum(value) FILTER (value < 40), 2), 0) AS total FROM events GROUP BY 1""")
+def _(t):
+    return totals_by_changes(t, [(t.events, 1), (t.events.where("NOT value < 40"), -1)])
 
 
 @query("l13_scoring_stream", f"""
@@ -159,12 +211,30 @@ def _(t):
         + 0.05 * CAST(income_program_inconsistency = 1 AS INT)) AS r FROM feat)
     SELECT partner_id, round(r, 6) AS rule_score FROM s WHERE r >= 0.3""")
 def _(t):
-    out = folder(t, "alerts")
-    jobs.scoring_stream(
-        landed(t, light_features(t), "features"), folder(t, "checkpoint"),
-        lambda s: s.select("partner_id", F.round(scoring.heuristic_rule_score(), 6).alias("rule_score")).where(
-            "rule_score >= 0.3"), out)
-    return t.spark.read.parquet(out)
+    return streamed_alerts(t).select(F.col("beneficiary_id").alias("partner_id"), F.round("rule_score", 6).alias("rule_score")).where("rule_score >= 0.3")
+
+
+def streamed_alerts(t):
+    """Alerts of all light feature rows that arrive, by a model that was trained before and saved."""
+    rows = light_features(t)
+    known = stage(learning.prepare_features(rows.withColumn("is_fraud", (F.col("cycle_count") > 10).cast("int"))), "known")
+    model = folder(t, "model")
+    learning.train(known, "logistic_regression", maxIter=20).write().overwrite().save(model)
+    early = F.col("partner_id") % 2 == 0
+    log = in_turn(t, [rows.where(early), rows.where(~early)], rows.schema, lambda s, c, out: jobs.scoring_stream(s, c, model, out))
+    return logged(t.spark, log).drop("batch")
+
+
+@query("l13_streamed_alerts", f"""
+    WITH {LIGHT}, {SERVICE} SELECT partner_id AS beneficiary_id, round(rule_s, 6) AS rule_score, round(graph_s, 6) AS graph_score,
+        true AS blended, true AS levelled, true AS scored, 'pending' AS status FROM svc""")
+def _(t):
+    ml, rule, graph, risk = (F.col(c) for c in ("ml_score", "rule_score", "graph_score", "risk_score"))
+    level = scoring.service_level(risk, F.col("ml_prediction"), rule, graph)
+    return streamed_alerts(t).select(
+        "beneficiary_id", F.round(rule, 6).alias("rule_score"), F.round(graph, 6).alias("graph_score"),
+        (F.abs(risk - scoring.service_blend(ml, rule, graph)) < 1e-9).alias("blended"), (F.col("risk_level") == level).alias("levelled"),
+        ml.between(0, 1).alias("scored"), "status")
 
 
 def counted(t, window, keys):

@@ -117,6 +117,31 @@ def running(
     return out.withColumns(stitched).select(*df.columns, *stitched)
 
 
+def previous(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str, name: str) -> DataFrame:
+    """Add ``name``, the ``value`` of the row before per key in ``order``, NULL for a key's first row.
+
+    Ordered range partitions as in :func:`running`: each takes from the ones before it the last row of the one key that
+    crosses its edge, so a hot key is spread over many partitions.  ``order`` must be a total order.
+    """
+    by = [F.col(k).asc_nulls_first() for k in keys] + list(order)
+    slotted = stage(
+        df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_slot", F.monotonically_increasing_id()),
+        "ordered",
+    ).withColumn("_part", F.shiftrightunsigned("_slot", 33))
+    held = F.struct(F.col(value).alias("v"))
+    lasts = slotted.groupBy("_part", *keys).agg(F.max_by(held, "_slot").alias("_last"))
+    before = Window.partitionBy(*keys).orderBy("_part")
+    carry = lasts.select(
+        F.col("_part").alias("_c_part"), *[F.col(k).alias(f"_c_{k}") for k in keys], F.lag("_last").over(before).alias("_c_last"),
+    ).where("_c_last IS NOT NULL")  # one key per partition at most began in an earlier one
+    same = F.col("_part") == F.col("_c_part")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_c_{k}"))
+    here = F.lag(held).over(Window.partitionBy("_part", *keys).orderBy("_slot"))
+    out = slotted.withColumn("_here", here).join(F.broadcast(carry), same, "left")
+    return out.select(*df.columns, F.coalesce("_here", "_c_last")["v"].alias(name))
+
+
 def _over(w, place: Column, sums, maxes, position) -> dict[str, Column]:
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     before = w.rowsBetween(Window.unboundedPreceding, -1)

@@ -33,12 +33,12 @@ def save_alerts(scored: DataFrame, path: str) -> None:
     alert_rows(scored).write.mode("append").parquet(path)
 
 
-def alert_rows(scored: DataFrame) -> DataFrame:
+def alert_rows(scored: DataFrame, *also: str) -> DataFrame:
     return scored.select(
         "beneficiary_id", F.col("final_score").alias("risk_score"), "risk_level",
         scoring.service_action(F.col("risk_level")).alias("action"),
         F.array_join("rule_flags", ", ").alias("rule_flags"), F.coalesce("explanation", F.lit("")).alias("explanation"),
-        F.lit("pending").alias("status"))
+        F.lit("pending").alias("status"), *also)
 
 
 def batch_file_rows(payments: DataFrame, payer_type: str, payer: str, mode: str, currency: str) -> DataFrame:

@@ -1,26 +1,30 @@
 """Stream forms of the incremental jobs.
 
-Each micro-batch is reduced with ordinary aggregates (map-side first) before it
-meets the kept state, so a key that fills a batch reaches the join as one row.
-The state of a key does not depend on the order in which its events arrive.
+What is known of a key lives in Spark's state store.  Rows are reduced where they are read, before they are
+shuffled to their key, so a key that fills a batch reaches its state as a few rows.  Results are logs of changed
+rows, one folder per batch (see ``runner.run_log``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.ml import PipelineModel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from benefica.fixed import MAX_ATTEMPTS, STALE_MINUTES
-from benefica.operators import households, payments, records
+from benefica.fixed import MAX_ATTEMPTS, SCORING_DEFAULTS, STALE_MINUTES
+from benefica.functions import scoring
+from benefica.operators import learning, payments
+from benefica.scale import previous, running
+from benefica.sources import files
 from benefica.sources.changes import published
-from benefica.streaming.runner import KeyedTable, run_append, run_batches
+from benefica.streaming.runner import logged, newest, read_files, run_append, run_batches, run_log
 
 # --- stages ---------------------------------------------------------------------------------------------------
 
-STAGE_SCHEMA = "key string, done timestamp, fails array<timestamp>, last timestamp, last_kind string"
-
 
 def stage_summary(events: DataFrame, attempts: int = MAX_ATTEMPTS) -> DataFrame:
     """What matters of every key's events: first success, first failures up to the limit, last event.
@@ -30,24 +34,12 @@ def stage_summary(events: DataFrame, attempts: int = MAX_ATTEMPTS) -> DataFrame:
     main = events.groupBy("key").agg(
         F.min(F.when(F.col("kind") == "ok", F.col("ts"))).alias("done"), F.max("ts").alias("last"),
         F.max_by("kind", F.struct("ts", "event_id")).alias("last_kind"))
-    place = F.row_number().over(Window.partitionBy("key").orderBy("ts", "event_id"))
-    fails = events.where("kind = 'fail'").withColumn("_p", place).where(F.col("_p") <= attempts).groupBy("key").agg(
-        F.array_sort(F.collect_list("ts")).alias("fails"))
+    placed = running(events.where("kind = 'fail'").select("key", "ts", "event_id"), ["key"], [F.col("ts"), F.col("event_id")], position="_p")
+    fails = placed.where(F.col("_p") <= attempts).groupBy("key").agg(F.array_sort(F.collect_list("ts")).alias("fails"))
     return main.join(fails, "key", "left").select(
         "key", "done", F.coalesce("fails", F.array().cast("array<timestamp>")).alias("fails"), "last", "last_kind")
 
 
-def merge_stages(old: DataFrame, new: DataFrame, attempts: int = MAX_ATTEMPTS) -> DataFrame:
-    n = new.select("key", *[F.col(c).alias(f"n_{c}") for c in ("done", "fails", "last", "last_kind")])
-    empty = F.array().cast("array<timestamp>")
-    both = F.array_sort(F.concat(F.coalesce("fails", empty), F.coalesce("n_fails", empty)))
-    newer = F.col("last").isNull() | (F.col("n_last") >= F.col("last"))
-    return old.join(n, "key", "full").select(
-        "key", F.least("done", "n_done").alias("done"), F.slice(both, 1, attempts).alias("fails"),
-        F.greatest("last", "n_last").alias("last"),
-        F.when(newer, F.col("n_last_kind")).otherwise(F.col("last_kind")).alias("last_kind"))
-
-
 def stage_status(state: DataFrame, attempts: int = MAX_ATTEMPTS) -> DataFrame:
     """(key, status, attempts, since): a success ends the work, so does the last allowed failure."""
     limit = F.get("fails", F.lit(attempts - 1))
@@ -67,69 +59,166 @@ def reset_stale(status: DataFrame, as_of: Column, minutes: int = STALE_MINUTES)
     return status.withColumn("status", F.when(old, "PENDING").otherwise(F.col("status")))
 
 
-def stage_machine(stream: DataFrame, checkpoint: str, table: KeyedTable) -> None:
-    def handle(batch: DataFrame, version: int) -> None:
-        table.write(merge_stages(table.before(version), stage_summary(batch)), version)
-
-    run_batches(stream, checkpoint, handle)
+STAGE_STATE = "done long, fails array<long>, last long, last_event long, last_kind string"
+
+
+def _reduced(attempts: int):
+    """What matters of each key's events, per Arrow batch."""
+    def reduce(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in parts:
+            rows = rows.sort_values(["key", "ts", "event_id"], kind="stable")
+            by = rows.groupby("key", sort=False)
+            out = by.agg(ts=("ts", "last"), last_event=("event_id", "last"), last_kind=("kind", "last"))
+            out["done"] = rows[rows["kind"] == "ok"].groupby("key")["ts"].first()
+            fails = rows[rows["kind"] == "fail"]
+            fails = fails[fails.groupby("key").cumcount() < attempts].groupby("key")["ts"].agg(list)
+            out["fails"] = fails.reindex(out.index)
+            out["fails"] = [x if isinstance(x, list) else [] for x in out["fails"]]
+            yield out.reset_index()[["key", "ts", "last_event", "last_kind", "done", "fails"]]
+    return reduce
+
+
+def _status(done, fails, last, kind, attempts: int) -> tuple[str, int, int]:
+    """(status, attempts, since) of a key: a success ends the work, so does the last allowed failure."""
+    limit = fails[attempts - 1] if len(fails) >= attempts else None
+    if limit is not None and (done is None or limit < done):
+        return "ERROR", attempts, limit
+    if done is not None:
+        return "PROCESSED", sum(x < done for x in fails) + 1, done
+    return ("PROCESSING" if kind == "start" else "PENDING"), len(fails), last
+
+
+def _stage_state(attempts: int, stale: int | None):
+    def change(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        done, fails, last, event, kind = state.get if state.exists else (None, [], None, None, None)
+        fails = list(fails)
+        if state.hasTimedOut:
+            state.update((done, fails, last, event, "stale"))
+            yield pd.DataFrame({"key": [key[0]], "status": ["PENDING"], "attempts": [len(fails)], "since": [last]})
+            return
+        for rows in parts:
+            rows = rows.sort_values(["last", "last_event"])
+            oks = [int(x) for x in rows["done"] if pd.notna(x)]
+            done = min([*oks, *([] if done is None else [done])], default=None)
+            fails = sorted([*fails, *(int(x) for some in rows["fails"] for x in some)])[:attempts]
+            top = rows.iloc[-1]
+            if last is None or (int(top["last"]), int(top["last_event"])) > (last, event):
+                last, event, kind = int(top["last"]), int(top["last_event"]), top["last_kind"]
+        status, tried, since = _status(done, fails, last, kind, attempts)
+        if status == "PROCESSING" and stale is not None:
+            until = last // 1000 + stale * 60_000  # milliseconds, as timers count
+            if until < state.getCurrentWatermarkMs():
+                status, kind = "PENDING", "stale"
+            else:
+                state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
+        state.update((done, fails, last, event, kind))
+        yield pd.DataFrame({"key": [key[0]], "status": [status], "attempts": [tried], "since": [since]})
+    return change
+
+
+def stage_machine(stream: DataFrame, checkpoint: str, path: str, attempts: int = MAX_ATTEMPTS, stale: int | None = STALE_MINUTES,
+                  lateness: str = "1 hour") -> None:
+    """Status of every key after its events (key, ts, event_id, kind), as a log of changes in ``path``.
+
+    A key's state is its first success, its first failures and its last event, whatever the order of arrival.  A timer sends
+    a key that is PROCESSING for more than ``stale`` minutes back to PENDING (None: never); time is the newest event
+    less ``lateness``, and events of a key that arrive later than that are dropped.  Events without a key only move the clock.
+    """
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = stream.select("key", micros.alias("ts"), "event_id", "kind")
+    tick = F.coalesce("key", F.lit(""))
+    rows = rows.withColumns({"key": tick, "kind": F.when(tick == "", "tick").otherwise(F.col("kind"))})
+    reduced = rows.mapInPandas(_reduced(attempts), "key string, ts long, last_event long, last_kind string, done long, fails array<long>")
+    timed = reduced.withColumn("last", F.col("ts")).withColumn("ts", F.timestamp_micros("ts")).withWatermark("ts", lateness)
+    status = timed.groupBy("key").applyInPandasWithState(
+        _stage_state(attempts, stale), "key string, status string, attempts int, since long", STAGE_STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    run_log(status.where("key <> ''").withColumn("since", F.timestamp_micros("since")), checkpoint, path)
 
 
 # --- reconciliation -------------------------------------------------------------------------------------------
 
-RECON_SCHEMA = ("reconciliation_id string, target string, statement_id string, entry_sequence long, amount double, "
-                "reversal_found boolean, reversal_statement_id string, reversal_entry_sequence long")
+def reconcile_stream(stream: DataFrame, checkpoint: str, facts_path: str, lines_path: str) -> None:
+    """Statement lines in any order of arrival: the lines themselves, and per id its first debit and its last reversal.
 
+    Both facts are aggregates that Spark keeps in its state store, so a batch reads and writes the ids that it touches.  A
+    late statement moves them, and with them the judgement of lines that came before it.
+    """
+    lines = stream.where(F.col("indicator").isin("D", "RD")).where("reconciliation_id IS NOT NULL")
+    run_append(stream, f"{checkpoint}/lines", lines_path)
+    place = [F.col(c) for c in ("statement_order", "entry_sequence")]
+    line = F.struct(*place, "statement_id", "amount")
+    facts = lines.groupBy("reconciliation_id").agg(
+        F.min(F.when(F.col("indicator") == "D", line)).alias("first_debit"), F.max(F.when(F.col("indicator") == "RD", line)).alias("last_reversal"))
+    run_log(facts, f"{checkpoint}/facts", facts_path)
 
-def reconcile_stream(stream: DataFrame, checkpoint: str, disbursement: DataFrame, geo_batches: DataFrame,
-                     table: KeyedTable, errors_path: str) -> None:
-    """Reconciliations kept in ``table``, rejected lines in one folder per batch.
 
-    Statements must arrive in order from batch to batch; inside a batch their order is kept.
-    """
-    def handle(batch: DataFrame, version: int) -> None:
-        stored = table.before(version)
-        judged = payments.reconcile(batch, disbursement, geo_batches, stored)
-        judged = judged.persist()
-        try:
-            place = F.struct("statement_order", "entry_sequence")
-            back = judged.where("outcome = 'REVERSED'").groupBy("reconciliation_id").agg(
-                F.max_by(F.struct("statement_id", "entry_sequence"), place).alias("_r"))
-            all_ = stored.unionByName(payments.recon_records(judged)).join(back, "reconciliation_id", "left")
-            hit = F.col("_r").isNotNull()
-            table.write(all_.select(
-                "reconciliation_id", "target", "statement_id", "entry_sequence", "amount",
-                (F.col("reversal_found") | hit).alias("reversal_found"),
-                F.coalesce("_r.statement_id", "reversal_statement_id").alias("reversal_statement_id"),
-                F.coalesce("_r.entry_sequence", "reversal_entry_sequence").alias("reversal_entry_sequence")), version)
-            payments.error_records(judged).write.mode("overwrite").parquet(f"{errors_path}/batch={version}")
-        finally:
-            judged.unpersist()
-
-    run_batches(stream, checkpoint, handle)
+def reconciliations(spark, facts_path: str, disbursement: DataFrame, geo_batches: DataFrame) -> DataFrame:
+    """One row per reconciled id after all that has arrived, with its last reversal if that did not come before the debit's statement."""
+    facts = newest(spark, facts_path, ["reconciliation_id"]).where("first_debit IS NOT NULL")
+    out = facts.join(payments.targets(disbursement, geo_batches), "reconciliation_id")
+    back = F.coalesce(F.col("last_reversal.statement_order") >= F.col("first_debit.statement_order"), F.lit(False))
+    return out.select(
+        "reconciliation_id", "target", "first_debit.statement_id", "first_debit.entry_sequence", "first_debit.amount",
+        back.alias("reversal_found"), F.when(back, F.col("last_reversal.statement_id")).alias("reversal_statement_id"),
+        F.when(back, F.col("last_reversal.entry_sequence")).alias("reversal_entry_sequence"))
 
 
-# --- audit, indicators, totals, publishing, scoring -----------------------------------------------------------
+def reconciled_lines(spark, lines_path: str, facts_path: str, disbursement: DataFrame, geo_batches: DataFrame) -> DataFrame:
+    """Every line that has arrived with its outcome by the facts known now; earlier judgements are revised that way."""
+    first = newest(spark, facts_path, ["reconciliation_id"]).select(
+        "reconciliation_id", F.struct("first_debit.statement_order", "first_debit.entry_sequence").alias("_first"))
+    return payments.judge(spark.read.parquet(lines_path), payments.targets(disbursement, geo_batches), first)
+
 
-def audit_stream(stream: DataFrame, checkpoint: str, key: str, fields: Sequence[str], images: KeyedTable, log_path: str) -> None:
-    """Field-level log of every change: each image of a record against the one before it, kept or in the same batch.
+# --- audit, indicators, totals, publishing, scoring -----------------------------------------------------------
 
-    Images of a record are taken in the order of ``ts`` and ``event_id``, so wherever the borders of batches fall the log is
-    the same.
+def _compare(key: str, kind: str, fields: Sequence[str]):
+    """The log rows between the image that a key's state holds and the first images of its batches."""
+    def change(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(parts).sort_values("batch")  # one row per batch of the key
+        last, out = (list(state.get[0]) if state.exists else None), []
+        for first, end in zip(rows["first"], rows["end"]):
+            old = last if last is not None else [None] * len(fields)
+            out += [(group[0], "create" if last is None else "write", f, a, b) for f, a, b in zip(fields, old, first) if a != b]
+            last = list(end)
+        state.update((last,))
+        yield pd.DataFrame(out, columns=[key, "change", "field", "old_value", "new_value"])
+    return change
+
+
+def audit_stream(stream: DataFrame, checkpoint: str, key: str, fields: Sequence[str], path: str) -> None:
+    """Field-level log of every change: each image of a record against the one before it.
+
+    Inside a batch images are compared in ordered range partitions, in the order of ``ts`` and ``event_id``, so a record that
+    fills a batch is not one task.  Only the first and the last image of each record go on, as a second stream, to
+    its state, which holds the last image.  Wherever the borders of batches fall the log is the same (see :func:`audit_log`).
     """
-    def handle(batch: DataFrame, version: int) -> None:
-        before = images.before(version)
-        after = batch.groupBy(key).agg(F.max_by(F.struct(*fields), F.struct("ts", "event_id")).alias("_v")).select(key, "_v.*")
-        kept = before.join(after.select(key), key, "left_semi").withColumn("_new", F.lit(False))
-        rows = batch.select(key, *fields, "ts", "event_id", F.lit(True).alias("_new")).unionByName(kept, allowMissingColumns=True)
-        last = F.lag(F.struct(*fields)).over(Window.partitionBy(key).orderBy("_new", "ts", "event_id"))
-        entries = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_last.{f}").cast("string").alias("old_value"),
-                                     F.col(f).cast("string").alias("new_value")) for f in fields])
-        change = F.when(F.col("_last").isNull(), "create").otherwise("write")
-        rows.withColumn("_last", last).where("_new").select(key, change.alias("change"), F.inline(F.filter(
-            entries, lambda e: ~e.old_value.eqNullSafe(e.new_value)))).write.mode("overwrite").parquet(f"{log_path}/batch={version}")
-        images.write(before.join(after.select(key), key, "left_anti").unionByName(after), version)
-
-    run_batches(stream, checkpoint, handle)
+    texts = F.array(*[F.col(f).cast("string") for f in fields])
+
+    def handle(batch: DataFrame, n: int) -> None:
+        rows = previous(batch.select(key, "ts", "event_id", texts.alias("_v")), [key], [F.col("ts"), F.col("event_id")], "_v", "_old")
+        entries = F.filter(F.transform(F.arrays_zip(F.array(*[F.lit(f) for f in fields]).alias("field"), F.col("_old").alias("old_value"),
+                                                    F.col("_v").alias("new_value")), lambda e: e), lambda e: ~e.old_value.eqNullSafe(e.new_value))
+        rows.where("_old IS NOT NULL").select(key, F.lit("write").alias("change"), F.inline(entries)).write.mode("overwrite").parquet(f"{path}/inside/batch={n}")
+        place = F.struct("ts", "event_id")
+        edges = batch.groupBy(key).agg(F.min_by(texts, place).alias("first"), F.max_by(texts, place).alias("end"))
+        edges.select(key, "first", "end", F.lit(n).cast("long").alias("batch")).write.mode("overwrite").parquet(f"{path}/edges/{n}")
+
+    stream.sparkSession.createDataFrame([], f"{key} {stream.schema[key].dataType.simpleString()}, change string, field string, old_value string, new_value string").write.mode(
+        "ignore").parquet(f"{path}/inside/batch=-1")
+    run_batches(stream, f"{checkpoint}/images", handle)
+    spark, kind = stream.sparkSession, stream.schema[key].dataType.simpleString()
+    schema = stream.select(key, texts.alias("first"), texts.alias("end"), F.lit(0).cast("long").alias("batch")).schema
+    edges = read_files(spark, f"{path}/edges/*", schema)
+    log = edges.groupBy(key).applyInPandasWithState(
+        _compare(key, kind, fields), f"{key} {kind}, change string, field string, old_value string, new_value string",
+        "last array<string>", "update", GroupStateTimeout.NoTimeout)
+    run_log(log, f"{checkpoint}/edges", f"{path}/between")
+
+
+def audit_log(spark, path: str) -> DataFrame:
+    """What :func:`audit_stream` has logged: changes inside batches and between them."""
+    return spark.read.parquet(f"{path}/inside").drop("batch").unionByName(logged(spark, f"{path}/between").drop("batch"))
 
 
 def windowed_counts(stream: DataFrame, checkpoint: str, window: Column, keys: Sequence[str], path: str,
@@ -139,30 +228,45 @@ def windowed_counts(stream: DataFrame, checkpoint: str, window: Column, keys: Se
     run_append(counts.select("w.start", "w.end", *keys, "n"), checkpoint, path)
 
 
-def indicator_stream(stream: DataFrame, checkpoint: str, registrant: DataFrame, membership: Callable[[], DataFrame],
-                     table: KeyedTable) -> None:
-    """Member counts of the groups touched by a batch of membership changes, recomputed for those only."""
-    def handle(batch: DataFrame, version: int) -> None:
-        touched = batch.select("group_id").distinct()
-        rows = membership().join(touched, "group_id", "left_semi")
-        fresh = households.indicator(touched, registrant, rows, "members")
-        old = table.before(version)
-        table.write(old.join(touched, "group_id", "left_anti").unionByName(fresh), version)
+def membership_stream(stream: DataFrame, checkpoint: str, registrant: DataFrame, path: str) -> None:
+    """Member counts of groups, kept up to date by membership changes (group_id, individual_id, sign).
 
-    run_batches(stream, checkpoint, handle)
+    A membership that begins counts +1, one that ends -1, of live members in live groups only; the counts are Spark's state,
+    so a batch reads and writes the groups that it touches.
+    """
+    live = registrant.where("is_registrant AND disabled IS NULL")
+    groups = live.where("is_group").select(F.col("partner_id").alias("group_id"), F.lit(True).alias("_group"))
+    people = registrant.where("disabled IS NULL").select(F.col("partner_id").alias("individual_id"), F.lit(True).alias("_person"))
+    counted = F.when(F.col("_group") & F.col("_person"), F.col("sign")).otherwise(0)
+    counts = stream.join(people, "individual_id", "left").join(groups, "group_id", "left").groupBy("group_id").agg(F.sum(counted).cast("long").alias("members"))
+    run_log(counts, checkpoint, path)
 
 
-def running_totals(stream: DataFrame, checkpoint: str, keys: Sequence[str], aggregates: Sequence[Column], table: KeyedTable) -> None:
-    """A grouped aggregate kept by Spark's own state; every trigger saves the complete result."""
-    totals = stream.groupBy(*keys).agg(*aggregates)
-    totals.writeStream.outputMode("complete").foreachBatch(lambda df, version: table.write(df, version)).option(
-        "checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def running_totals(stream: DataFrame, checkpoint: str, keys: Sequence[str], aggregates: Sequence[Column], path: str) -> None:
+    """A grouped aggregate kept in Spark's state; every trigger logs the groups that changed."""
+    run_log(stream.groupBy(*keys).agg(*aggregates), checkpoint, path)
 
 
 def publish_stream(stream: DataFrame, checkpoint: str, condition: str | None, key: str, topic: str, path: str) -> None:
     run_append(published(stream, condition, key, topic), checkpoint, path)
 
 
-def scoring_stream(stream: DataFrame, checkpoint: str, score: Callable[[DataFrame], DataFrame], path: str) -> None:
-    """Score new beneficiary rows and append the alerts."""
-    run_append(score(stream), checkpoint, path)
+def scored_alerts(rows: DataFrame, model: PipelineModel, id_col: str, model_name: str) -> DataFrame:
+    """Alert rows of beneficiaries by the full scoring path: default fill, model, rule and graph scores, blend and level.
+
+    Columns that the rows do not have, and missing values, count as the scoring defaults.
+    """
+    fill = {c: F.coalesce(F.col(c).cast("double"), F.lit(float(d))) if c in rows.columns else F.lit(float(d)) for c, d in SCORING_DEFAULTS.items()}
+    out = learning.score_batch(model, rows.select(F.col(id_col).alias("beneficiary_id"), *[v.alias(c) for c, v in fill.items()]))
+    out = out.withColumn("rule_score", scoring.heuristic_rule_score()).withColumn("graph_score", scoring.heuristic_graph_score())
+    ml, rule, graph = F.col("ml_score"), F.col("rule_score"), F.col("graph_score")
+    out = out.withColumn("final_score", scoring.service_blend(ml, rule, graph))
+    out = out.withColumn("risk_level", scoring.service_level(F.col("final_score"), F.col("ml_prediction"), rule, graph)).withColumn(
+        "explanation", scoring.explanation(model_name, ml, rule, graph, F.col("final_score"))).withColumn("rule_flags", F.array().cast("array<string>"))
+    return files.alert_rows(out, "ml_score", "ml_prediction", "rule_score", "graph_score")
+
+
+def scoring_stream(stream: DataFrame, checkpoint: str, model_path: str, path: str, id_col: str = "partner_id", model_name: str = "model") -> None:
+    """Score new beneficiary rows with the saved model; each batch owns one folder of alerts, so one that runs twice alerts once."""
+    model = PipelineModel.load(model_path)
+    run_log(scored_alerts(stream, model, id_col, model_name), checkpoint, path, "append")

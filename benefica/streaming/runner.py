@@ -1,13 +1,24 @@
-"""Running streams to the end of what has arrived, and keyed tables that streams keep up to date."""
+"""Running streams to the end of what has arrived, with Spark's state store and repeatable logs of changed rows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from benefica.scale import staging_path
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+def keep_state(spark: SparkSession) -> None:
+    """State per key lives on disk, and its checkpoints hold what a batch changed; settings of the session stay as they are."""
+    for name, value in STATE_STORE.items():
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, value)
 
 
 def read_files(spark: SparkSession, path: str, schema: StructType, form: str = "parquet", per_trigger: int | None = None) -> DataFrame:
@@ -18,56 +29,37 @@ def read_files(spark: SparkSession, path: str, schema: StructType, form: str = "
     return reader.load(path)
 
 
-def run_batches(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None]) -> None:
+def run_batches(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None], mode: str = "append") -> None:
     """Hand every micro-batch of what is available to ``handle`` and stop."""
-    stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(
+    keep_state(stream.sparkSession)
+    stream.writeStream.outputMode(mode).foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(
         availableNow=True).start().awaitTermination()
 
 
 def run_append(stream: DataFrame, checkpoint: str, path: str, form: str = "parquet") -> None:
     """Append what is available to a file sink (exactly once per checkpoint) and stop."""
+    keep_state(stream.sparkSession)
     stream.writeStream.format(form).option("path", path).option("checkpointLocation", checkpoint).outputMode(
         "append").trigger(availableNow=True).start().awaitTermination()
 
 
-class KeyedTable:
-    """A keyed table with one version per micro-batch.
+def run_log(stream: DataFrame, checkpoint: str, path: str, mode: str = "update", prepare: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """Write the rows that each micro-batch changed to a folder of its own, ``path``/batch=N.
 
-    A batch reads the version before it and writes its own folder, so a batch
-    that is run again after a failure replaces its half-written result and gives
-    the same table.  The last ``keep`` versions stay for readers and repeats.
+    A batch that runs again after a failure replaces its folder, so no row is there twice; what is written grows
+    with the batch and not with all that was ever seen.
     """
+    stream.sparkSession.createDataFrame([], (prepare(stream) if prepare else stream).schema).write.mode("ignore").parquet(f"{path}/batch=-1")
+    run_batches(stream, checkpoint, lambda batch, n: (prepare(batch) if prepare else batch).write.mode("overwrite").parquet(f"{path}/batch={n}"), mode)
+
+
+def logged(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of a log with the number of the batch that wrote them."""
+    return spark.read.parquet(path)
+
 
-    def __init__(self, spark: SparkSession, schema: str | StructType, path: str | None = None, keep: int = 3):
-        self.spark, self.schema, self.keep = spark, schema, keep
-        self.path = path or staging_path(spark, "table")
-
-    def _fs(self):
-        sc = self.spark.sparkContext
-        return sc._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(sc._jsc.hadoopConfiguration())
-
-    def _versions(self) -> list[int]:
-        jvm = self.spark.sparkContext._jvm
-        root, fs = jvm.org.apache.hadoop.fs.Path(self.path), self._fs()
-        if not fs.exists(root):
-            return []
-        found = [f.getPath() for f in fs.listStatus(root)]
-        return sorted(int(p.getName()[1:]) for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
-
-    def before(self, version: int) -> DataFrame:
-        """The newest version below the given one; empty when there is none."""
-        older = [v for v in self._versions() if v < version]
-        if not older:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self._struct()).parquet(f"{self.path}/v{older[-1]}")
-
-    def write(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/v{version}")
-        for old in [v for v in self._versions() if v <= version][: -self.keep]:
-            self._fs().delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{old}"), True)
-
-    def latest(self) -> DataFrame:
-        return self.before(1 << 62)
-
-    def _struct(self) -> StructType:
-        return self.schema if isinstance(self.schema, StructType) else StructType.fromDDL(self.schema)
+def newest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """The last row that a log has for each key."""
+    rows = logged(spark, path)
+    values = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v")).select(*keys, "_v.*")
