@@ -15,6 +15,7 @@ Nothing is shuffled and nothing but the tokens of one stretch is held.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,19 +32,26 @@ CHAIN = 1 << 18
 SENTENCE = 2  # tokens of padding that a cut between two sentences of a document is worth
 INSIDE = 16  # the same for a cut within a sentence
 LONG = 64  # tokens of a sentence after which it may be cut inside
-KNOWN_CHUNKS = 300_000
+KNOWN_CHUNKS = 500_000  # about 100 MB in a worker
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _FULL = np.zeros(256, bool)  # characters of one byte that are neither white space nor control characters
 _FULL[33:127] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[list(b".,;:!?")] = True
+_PLAIN = re.compile(rb" (?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 
 
 class ChunkIds:
     """Ids of whole texts by a byte-level tokenizer whose tokens never cross the start of white space.
 
-    A text is split before every run of ASCII white space that follows an ASCII or Latin-1 letter or mark; such a chunk has
-    the same ids alone as in its text.  Distinct chunks are encoded once and remembered.
+    A text is split before every run of ASCII white space that follows an ASCII or Latin-1 letter or mark, and between a
+    letter and a mark; such a chunk has the same ids alone as in its text.  Distinct chunks are encoded once and
+    remembered; new ones of one space and letters are encoded together as one text, whose ids are cut by the bytes that
+    each token stands for.
     """
 
     def __init__(self, path: str):
@@ -53,6 +61,7 @@ class ChunkIds:
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
         size = self.tokenizer.get_vocab_size()
         decoder = decoders.ByteLevel()
+        self.bytes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)])  # one letter of a token is one byte
         texts = [decoder.decode([self.tokenizer.id_to_token(i) or ""]) for i in range(size)]
         self.stop = np.array([t.rstrip("\"')]}»”’").endswith((".", "!", "?", "。", "！", "？")) for t in texts])
         self.line = np.array(["\n" in t for t in texts])
@@ -63,9 +72,15 @@ class ChunkIds:
             self.known.clear()
         known = self.known
         new = [c for c in chunks if c not in known]
-        if new:
-            for c, e in zip(new, self.tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)):
-                known[c] = np.array(e.ids, "<u4").tobytes()
+        plain = [c for c in new if _PLAIN.fullmatch(c)]
+        if plain:
+            ids = np.array(self.tokenizer.encode_batch_fast([b"".join(plain).decode()], add_special_tokens=False)[0].ids, "<u4")
+            ends = 4 * (np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(c) for c in plain])) + 1)
+            whole, ends = ids.tobytes(), [0, *ends.tolist()]
+            known.update(zip(plain, [whole[a:b] for a, b in zip(ends, ends[1:])]))
+        other = [c for c in new if c not in known]
+        for c, e in zip(other, self.tokenizer.encode_batch_fast([c.decode() for c in other], add_special_tokens=False)):
+            known[c] = np.array(e.ids, "<u4").tobytes()
         return [known[c] for c in chunks]
 
     def __call__(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +91,8 @@ class ChunkIds:
             blank = _BLANK[data]
             latin = np.zeros(len(data), bool)
             latin[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80)
-            cut[1:-1] |= blank[1:] & (_FULL[data] | latin)[:-1]
+            letter = _LETTER[data] | (latin & (data != 0x97) & (data != 0xB7))  # the signs of times and division are none
+            cut[1:-1] |= (blank[1:] & (_FULL[data] | latin)[:-1]) | (_MARK[data[1:]] & letter[:-1])
         at = np.flatnonzero(cut)
         coded = strings(data, at).dictionary_encode()
         found = self._ids(coded.dictionary.to_pylist())
