@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from benefica.functions.text import similarity, trigrams
+from benefica.operators.near_texts import similar_texts
 from benefica.scale import join_groups, stage
 
 
@@ -158,29 +159,6 @@ def fuzzy_duplicates(df: DataFrame, key: str, text_field: str, text_weight: floa
     return found.where(F.col("score") >= threshold - 1e-12)
 
 
-def similar_texts(texts: DataFrame, name: str, least: float) -> DataFrame:
-    """(text_a, text_b, similarity) in both directions, each text with itself included.
-
-    Two texts that similar share one of their rarest |grams| - ceil(least x |grams|) + 1
-    trigrams, so only those are joined on.
-    """
-    grams = texts.select(F.col(name).alias("text"), trigrams(F.col(name)).alias("grams"))
-    frequency = grams.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    ranked = grams.select("text", "grams", F.explode("grams").alias("gram")).join(frequency, "gram").groupBy("text").agg(
-        F.first("grams").alias("grams"), F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("rare"))
-    size = F.size("grams")
-    keep = F.greatest(size - F.ceil(size * least - 1e-9) + 1, F.lit(1)).cast("int")
-    indexed = ranked.select("text", "grams", F.explode(F.slice("rare.gram", 1, keep)).alias("gram"))
-    a = indexed.select(F.col("text").alias("text_a"), F.col("grams").alias("grams_a"), "gram")
-    b = indexed.select(F.col("text").alias("text_b"), F.col("grams").alias("grams_b"), "gram")
-    met = a.join(b, "gram").where("text_a < text_b").drop("gram").dropDuplicates(["text_a", "text_b"])
-    near = met.select("text_a", "text_b", similarity(F.col("grams_a"), F.col("grams_b")).alias("similarity")).where(
-        F.col("similarity") >= least - 1e-12)
-    same = texts.select(F.col(name).alias("text_a"), F.col(name).alias("text_b"), F.lit(1.0).alias("similarity"))
-    back = near.select(F.col("text_b").alias("text_a"), F.col("text_a").alias("text_b"), "similarity")
-    return near.unionByName(back).unionByName(same)
-
-
 # --- upsert by identifier -------------------------------------------------------------------------------------
 
 def match_incoming(incoming: DataFrame, reg_id: DataFrame) -> DataFrame:

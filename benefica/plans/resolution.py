@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from benefica.operators import dedup, payments
+from benefica.operators import dedup, near_texts, payments
 from benefica.plans.registry import query
 from benefica.scale import join_groups
 from benefica.plans.scalars import grams_sql
@@ -92,6 +92,18 @@ def _(t):
         "score", F.round("score", 6))
 
 
+@query("i06_near_documents", """
+    WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+      s AS (SELECT doc_id, list_sort(list_distinct([array_to_string(w[i : i + 4], ' ') for i in range(1, greatest(len(w) - 4, 1) + 1)])) AS s FROM w WHERE len(w) > 0),
+      c AS (SELECT min(doc_id) AS id, s FROM s GROUP BY s),
+      g AS (SELECT id, len(s) AS n, unnest(s) AS g FROM c),
+      met AS (SELECT x.id AS a, y.id AS b, count(*) AS k, any_value(x.n) AS na, any_value(y.n) AS nb FROM g x JOIN g y ON x.g = y.g AND x.id < y.id GROUP BY 1, 2)
+    SELECT a, b, round(k / (na + nb - k), 6) AS similarity FROM met WHERE k / (na + nb - k) >= 0.8 - 1e-12""")
+def _(t):
+    near, _ = near_texts.similar_long_texts(t.documents, "doc_id", "text")
+    return near.withColumn("similarity", F.round("similarity", 6))
+
+
 @query("i07_registry_flags", """
     WITH p AS (SELECT d.* FROM reg_id d JOIN registrant r USING (partner_id) WHERE NOT is_group
             AND id_type = 'National ID'),

@@ -76,11 +76,12 @@ def test_exact_quantiles(spark):
     assert np.allclose([r["a"], r["b"], r["c"]], np.quantile(values, [0.15, 0.5, 0.95]))
 
 
-@pytest.mark.parametrize("wide", [1, 2, 8])
+@pytest.mark.parametrize("wide", [1, 9])
 def test_other_owners_matches_sets(spark, wide):
     rnd = random.Random(7)
-    pairs = [(o, "hot") for o in range(60)] + [(rnd.randint(0, 90), f"v{rnd.randint(0, 40)}") for _ in range(300)]
-    pairs += [(5, f"v{i}") for i in range(40)]
+    pairs = [(o, "hot") for o in range(300)] + [(o, f"v{rnd.randint(0, 200)}") for o in range(300) for _ in range(wide - 1)]
+    pairs += [(rnd.randint(250, 400), f"v{rnd.randint(0, 200)}") for _ in range(300)] + [(o, f"set{k}") for o in range(500, 600) for k in range(wide)]
+    pairs += [(5, f"v{i}") for i in range(200)]
     df = spark.createDataFrame(pairs + pairs[:20] + [(1, None)], "o long, v string")
     holders = {}
     for o, v in set(pairs):
@@ -90,9 +91,9 @@ def test_other_owners_matches_sets(spark, wide):
         met = set().union(*[holders[v] for oo, v in set(pairs) if oo == o]) - {o}
         if met:
             want[o] = len(met)
-    got = {r["o"]: r["shared_count"] for r in other_owners(df, "o", "v", strict=False, wide=wide).collect()}
+    got = {r["o"]: r["shared_count"] for r in other_owners(df, "o", "v", strict=False).collect()}
     assert got == want
-    strict = {r["o"]: r["shared_count"] for r in other_owners(df, "o", "v", wide=wide).collect()}
+    strict = {r["o"]: r["shared_count"] for r in other_owners(df, "o", "v").collect()}
     assert strict == {o: n - 1 for o, n in want.items()}
 
 
