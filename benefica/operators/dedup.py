@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from benefica.functions.text import similarity, trigrams
 from benefica.operators.near_texts import similar_texts
-from benefica.scale import join_groups, stage
+from benefica.scale import join_groups, running, stage
 
 
 def valid_documents(reg_id: DataFrame, as_of: Column, id_types: Sequence[str]) -> DataFrame:
@@ -184,3 +184,74 @@ def upsert(incoming: DataFrame, reg_id: DataFrame) -> dict[str, DataFrame]:
     have = reg_id.select("partner_id", "id_type").distinct()
     missing = listed.join(have, ["partner_id", "id_type"], "left_anti")
     return {"records": records, "ids": missing}
+
+
+def record_groups(listed: DataFrame) -> DataFrame:
+    """(record_id, leader): records that share identifiers (record_id, id_type, value), directly or through others.
+
+    Each round gives every record the smallest leader of its identifiers, then every leader the smallest one that its
+    records have seen; an identifier that very many records share is one group with a minimum.
+    """
+    now = stage(listed.select("record_id", F.col("record_id").alias("leader")).distinct(), "leaders")
+    ids = stage(listed.select("record_id", "id_type", "value").distinct(), "identifiers")
+    while True:
+        least = ids.join(now, "record_id").groupBy("id_type", "value").agg(F.min("leader").alias("_m"))
+        seen = join_groups(ids, least, ["id_type", "value"]).groupBy("record_id").agg(F.min("_m").alias("_m"))
+        step = stage(now.join(seen, "record_id").select("record_id", "leader", F.least("leader", "_m").alias("_m")), "step")
+        up = step.groupBy("leader").agg(F.min("_m").alias("_up"))
+        after = stage(join_groups(step, up, ["leader"]).select("record_id", F.col("_up").alias("leader"), (F.col("_up") < F.col("leader")).alias("_moved")), "leaders")
+        now = after.drop("_moved")
+        if after.where("_moved").isEmpty():
+            return now
+
+
+def merge_registry(incoming: DataFrame, registrant: DataFrame, reg_id: DataFrame, membership: DataFrame, fields: Sequence[str],
+                   program_id: int, source: str, without_id: bool = False, links: DataFrame | None = None) -> dict[str, DataFrame]:
+    """A pulled batch of records merged into the registry: registrants, ids, memberships, what happened to whom, and links.
+
+    ``incoming`` holds record_id, ids (an array of (id_type, value)) and ``fields``.  A record that an earlier pull has linked
+    (``links``: record_id, partner_id) stays with its registrant; others belong to the registrant of their first known identifier; records without one that share an identifier with others of the batch belong where the
+    first of those belongs, and the rest become new registrants, numbered without gaps behind the largest partner_id in
+    the order of record_id.  Of a registrant's records the last one that has a value gives a field; empty ones leave it as
+    it is.  An identifier type that a registrant lacks is added from its first record, and a membership of ``program_id``
+    where there is none.  Records without identifiers are left out unless ``without_id``.  The same batch again changes nothing
+    but for those.
+    """
+    listed = incoming.select("record_id", F.posexplode("ids").alias("place", "i")).select(
+        "record_id", "place", "i.id_type", "i.value").where("id_type <> '' AND value <> ''")
+    listed = stage(listed, "listed")
+    if not without_id:
+        incoming = incoming.join(listed.select("record_id").distinct(), "record_id", "left_semi")
+    matched = match_incoming(incoming, reg_id)
+    if links is not None:
+        before = links.select("record_id", F.col("partner_id").alias("_linked"))
+        matched = matched.join(before, "record_id", "left").select("record_id", F.coalesce("_linked", "partner_id").alias("partner_id"))
+    matched = stage(matched, "matched")
+    groups = record_groups(listed)
+    known = groups.join(matched, "record_id").where("partner_id IS NOT NULL").groupBy("leader").agg(F.min_by("partner_id", "record_id").alias("_known"))
+    placed = matched.join(groups, "record_id", "left").withColumn("leader", F.coalesce("leader", "record_id"))
+    placed = stage(placed.join(known, "leader", "left").select("record_id", "leader", F.coalesce("partner_id", "_known").alias("partner_id")), "placed")
+    base = registrant.agg(F.coalesce(F.max("partner_id"), F.lit(0)).cast("long").alias("m")).first().m
+    fresh = running(placed.where("partner_id IS NULL").groupBy("leader").agg(F.lit(1).alias("_one")), [], [F.col("leader")], position="_p")
+    fresh = stage(fresh.select("leader", (F.col("_p") + base).alias("_new")), "new_ids")
+    owner = stage(placed.join(fresh, "leader", "left").select(
+        "record_id", F.coalesce("partner_id", "_new").alias("partner_id"), F.col("partner_id").isNull().alias("is_created")), "owners")
+
+    given = incoming.select("record_id", *fields).join(owner, "record_id")
+    last = [F.max_by(f, F.when(F.col(f).isNotNull(), F.col("record_id"))).alias(f"_n_{f}") for f in fields]
+    given = given.groupBy("partner_id").agg(F.bool_or("is_created").alias("is_created"), *last)
+    given = stage(given, "given")
+    rest = [c for c in registrant.columns if c not in ("partner_id", "is_registrant", *fields)]
+    merged = registrant.join(given, "partner_id", "full").select(
+        "partner_id", *[F.coalesce(f"_n_{f}", f).alias(f) for f in fields],
+        F.when(F.col("is_created").isNotNull(), True).otherwise(F.col("is_registrant")).alias("is_registrant"), *rest,
+        F.when(F.col("is_created").isNotNull(), F.lit(source)).alias("data_source"))
+
+    missing = listed.join(owner, "record_id").join(reg_id.select("partner_id", "id_type").distinct(), ["partner_id", "id_type"], "left_anti")
+    added = missing.groupBy("partner_id", "id_type").agg(F.min_by("value", F.struct("record_id", "place")).alias("value"))
+    have = membership.where(F.col("program_id") == program_id).select("partner_id")
+    joined = running(given.select("partner_id").join(have, "partner_id", "left_anti"), [], [F.col("partner_id")], position="_p")
+    top = membership.agg(F.coalesce(F.max("membership_id"), F.lit(0)).cast("long").alias("m")).first().m
+    joined = joined.select((F.col("_p") + top).alias("membership_id"), "partner_id", F.lit(program_id).alias("program_id"), F.lit("draft").alias("state"))
+    imported = given.select("partner_id", "is_created", (~F.col("is_created")).alias("is_updated"))
+    return {"registrants": merged, "ids": added, "memberships": joined, "imported": imported, "links": owner.select("record_id", "partner_id")}

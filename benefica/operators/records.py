@@ -52,6 +52,53 @@ def map_records(
     return df.select(*[c.alias(n) for n, c in out.items()])
 
 
+def map_children(
+    children: str | Column,
+    direct: Sequence[tuple[str | Callable[[Column], Column], str]],
+    only_create: Sequence[str] = (),
+    changed_by: Mapping[str, Sequence[str]] | None = None,
+    for_create: Column | None = None,
+    changed_fields: str | None = None,
+    keep: Callable[[Column], Column] | None = None,
+    nested: Mapping[str, Callable[[Column], Column]] | None = None,
+) -> Column:
+    """Children of a record, an array of structs, under a mapping table of their own; the array stays in its row.
+
+    A source is a field of the child or a function of it.  ``for_create`` says whether the record is new: ``only_create``
+    targets are NULL otherwise.
+    ``changed_by`` reads the child's own ``changed_fields``.  ``keep`` filters children first; ``nested`` maps their own arrays.
+    """
+    array = F.col(children) if isinstance(children, str) else children
+    if keep is not None:
+        array = F.filter(array, keep)
+
+    def one(child: Column) -> Column:
+        out: dict[str, Column] = {}
+        for source, target in direct:
+            value = child[source] if isinstance(source, str) else source(child)
+            if target in only_create and for_create is not None:
+                value = F.when(for_create, value)
+            if changed_fields and target in (changed_by or {}):
+                hit = F.arrays_overlap(child[changed_fields], F.array(*[F.lit(w) for w in changed_by[target]]))
+                value = F.when(hit, value)
+            out[target] = value
+        out |= {target: make(child) for target, make in (nested or {}).items()}
+        return F.struct(*[v.alias(n) for n, v in out.items()])
+
+    return F.transform(array, one)
+
+
+def assign_to_batch(payments: DataFrame, new_batch: str) -> DataFrame:
+    """Selected payments with their batch afterwards: those in none go to the new one, the others keep theirs.
+
+    Raises ValueError when none is free, or when none is selected.
+    """
+    free, n = payments.agg(F.count_if(F.col("batch_id").isNull()), F.count(F.lit(1))).first()
+    if not free:
+        raise ValueError("all selected payments are in a batch already" if n else "no payments are selected")
+    return payments.withColumn("is_added", F.col("batch_id").isNull()).withColumn("batch_id", F.coalesce("batch_id", F.lit(new_batch)))
+
+
 # --- change requests ------------------------------------------------------------------------------------------
 
 def apply_requests(registrants: DataFrame, requests: DataFrame, fields: Sequence[str], key: str = "partner_id") -> DataFrame:

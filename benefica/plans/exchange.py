@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from benefica.functions import scoring
@@ -10,8 +12,8 @@ from benefica.plans.fraud import LIGHT, level_sql, light_features
 from benefica.plans.ordering import BATCHES, batches
 from benefica.plans.projections import AFTER, after_image
 from benefica.plans.registry import query
-from benefica.scale import chunked_lists, staging_path
-from benefica.sources import changes, export, files
+from benefica.scale import chunked_lists, stage, staging_path
+from benefica.sources import changes, export, files, views
 
 
 @query("a01_table_scan", """
@@ -176,6 +178,23 @@ def _(t):
     return t.spark.read.parquet(path)
 
 
+@query("a14_refreshed_totals", """
+    SELECT zone_id, count(*) FILTER (NOT is_group) AS total_individuals, count(*) FILTER (is_group) AS total_groups
+    FROM registrant WHERE is_registrant AND active AND NOT (zone_id = 3) AND NOT (zone_id = 5 AND income > 5000) GROUP BY 1""")
+def _(t):
+    """Created, refreshed for two zones that changed, read and dropped; one zone has no one left."""
+    def totals(people):
+        return people.where("is_registrant AND active").groupBy("zone_id").agg(
+            F.count_if(~F.col("is_group")).alias("total_individuals"), F.count_if("is_group").alias("total_groups"))
+
+    name = f"totals_{uuid.uuid4().hex}"
+    views.create_view(totals(t.registrant), name, "zone_id", staging_path(t.spark, "view"))
+    after = t.registrant.where("NOT (zone_id = 3) AND NOT (zone_id = 5 AND income > 5000)")
+    rows = stage(views.refresh_view(totals(after), name, "zone_id", [3, 5]), "read")
+    views.drop_view(t.spark, name)
+    return rows
+
+
 @query("a17_case_update", """
     WITH u AS (SELECT entitlement_id, CASE WHEN program_id = 1 THEN 'closed' END AS state, CASE WHEN program_id = 2 THEN
         'X' END AS code FROM entitlement WHERE initial_amount < 50000)

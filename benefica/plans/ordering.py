@@ -275,3 +275,17 @@ def _(t):
 def _(t):
     seen = t.change_event.select("record_id", "op").dropDuplicates()
     return seen.groupBy("record_id").agg(F.count(F.lit(1)).alias("n_ops"))
+
+
+def first_seen(df, keys, value, order):
+    """Each value of a key once, numbered in the order in which it was first seen; one aggregate, then ordered ranges."""
+    seen = df.groupBy(*keys, value).agg(F.min(F.struct(*order)).alias("_at"))
+    return running(seen, list(keys), [F.col("_at")], position="place").select(*keys, "place", value)
+
+
+@query("g07_first_seen_order", """
+    WITH s AS (SELECT record_id, op, min(ts) AS seen, min_by(event_id, (ts, event_id)) AS e FROM change_event GROUP BY 1, 2)
+    SELECT record_id, op, row_number() OVER (PARTITION BY record_id ORDER BY seen, e) AS place FROM s""")
+def _(t):
+    return first_seen(t.change_event, ["record_id"], "op", ["ts", "event_id"])
+

@@ -9,7 +9,7 @@ from benefica.functions import text
 from benefica.operators import eligibility, records
 from benefica.operators.domain import Relation, domain_filter
 from benefica.plans.registry import query
-from benefica.scale import join_groups
+from benefica.scale import chunked_lists, join_groups
 
 def as_of():
     return F.lit("2002-01-01").cast("date")
@@ -25,6 +25,9 @@ SURVEY_EXPRS = [
     "CASE WHEN c_custkey % 9 = 0 THEN 'nan' WHEN c_custkey % 9 = 1 THEN '' WHEN c_custkey % 9 = 2 THEN 'None' "
     "ELSE 'P' || CAST(c_nationkey * 40 + c_custkey % 40 AS STRING) END AS phone_number",
     "c_nationkey % 11 AS household_size", "c_custkey % 6 AS nb_children",
+    "CASE c_custkey % 5 WHEN 0 THEN 'Migrant' WHEN 1 THEN ' immigrant' WHEN 2 THEN 'citizen' WHEN 3 THEN '1' END AS immigration_status",
+    "CASE WHEN c_custkey % 7 = 0 THEN 'None' WHEN c_custkey % 7 = 1 THEN ' ' WHEN c_custkey % 7 = 2 THEN NULL "
+    "ELSE ' A' || CAST(c_nationkey AS STRING) || ' ' END AS account_number",
 ]
 SURVEY_CTE = f"survey AS (SELECT {', '.join(SURVEY_EXPRS)} FROM customer)"
 
@@ -45,7 +48,8 @@ def clean_survey(df):
     return df.withColumns({
         "income": mapped("income", INCOME_CLASSES), "vehicles_owned": mapped("vehicles_owned", VEHICLE_CLASSES),
         "disability_flag": yes("disability_status", "disability"), "own_home_flag": yes("own_home", "own_home"),
-        "phone_number": F.when(~F.trim("phone_number").isin(FAKE_MISSING), F.trim("phone_number")),
+        "immigration_flag": yes("immigration_status", "immigration"),
+        **{c: F.when(~F.trim(c).isin(FAKE_MISSING), F.trim(c)) for c in ("phone_number", "account_number")},
     })
 
 
@@ -57,6 +61,8 @@ CLEAN_CTE = f"""{SURVEY_CTE}, clean AS (SELECT id, household_size, nb_children,
     CAST(coalesce(lower(trim(disability_status)) IN ('yes', 'true', '1', 'disabled', 'has_disability'), false) AS INT)
         AS disability_flag,
     CAST(lower(trim(own_home)) IN ('yes', 'true', '1', 'owned', 'own_home') AS INT) AS own_home_flag,
+    CAST(coalesce(lower(trim(immigration_status)) IN ('yes', 'true', '1', 'immigrant', 'migrant'), false) AS INT) AS immigration_flag,
+    CASE WHEN trim(account_number) NOT IN ('nan', 'None', '') THEN trim(account_number) END AS account_number,
     CASE WHEN phone_number NOT IN ('nan', 'None', '') THEN phone_number END AS phone_number FROM survey)"""
 
 
@@ -176,10 +182,10 @@ def _(t):
 
 
 @query("b15_category_maps", f"""WITH {CLEAN_CTE}
-    SELECT id, income, vehicles_owned, disability_flag, own_home_flag, phone_number FROM clean""")
+    SELECT id, income, vehicles_owned, disability_flag, immigration_flag, own_home_flag, phone_number, account_number FROM clean""")
 def _(t):
-    return clean_survey(survey(t)).select("id", "income", "vehicles_owned", "disability_flag", "own_home_flag",
-                                          "phone_number")
+    return clean_survey(survey(t)).select("id", "income", "vehicles_owned", "disability_flag", "immigration_flag", "own_home_flag",
+                                          "phone_number", "account_number")
 
 
 @query("b16_suspicion_target", f"""WITH {CLEAN_CTE},
@@ -254,6 +260,26 @@ def _(t):
         only_create=["created_on"], changed_by={"label": ["name"]}, changed_fields="changed")
 
 
+@query("b28_mapped_children", """
+    SELECT 'grp-' || CAST(group_id AS VARCHAR) AS external_id, CASE WHEN group_id % 2 = 0 THEN '1998' END AS created_on, 'ind-' || CAST(individual_id AS VARCHAR) AS member,
+        CASE WHEN individual_id % 2 = 0 THEN upper(kind) END AS role, CASE WHEN group_id % 2 = 0 THEN CAST(start_date AS VARCHAR) END AS joined_on,
+        CAST(2 * (individual_id % 3) AS BIGINT) AS weight FROM group_membership WHERE ended_date IS NULL""")
+def _(t):
+    """Groups with pages of their members: parents and children are mapped in one pass, each level under its own conditions."""
+    child = F.struct("individual_id", "kind", "start_date", "ended_date", F.array(F.when(F.col("individual_id") % 2 == 0, "kind").otherwise("ended")).alias("changed"),
+                     F.array(F.col("individual_id") % 3, F.col("individual_id") % 3).alias("points"))
+    pages = chunked_lists(t.group_membership.select("group_id", "individual_id", child.alias("child")), ["group_id"], "child",
+                          [F.col("individual_id"), F.col("child.kind"), F.col("child.start_date")], size=100)
+    new = F.col("group_id") % 2 == 0
+    children = records.map_children(
+        "members", direct=[(lambda c: F.concat(F.lit("ind-"), c["individual_id"].cast("string")), "member"), (lambda c: F.upper(c["kind"]), "role"),
+                           (lambda c: c["start_date"].cast("string"), "joined_on")],
+        only_create=["joined_on"], changed_by={"role": ["kind"]}, for_create=new, changed_fields="changed", keep=lambda c: c["ended_date"].isNull(),
+        nested={"weight": lambda c: F.aggregate(c["points"], F.lit(0).cast("long"), lambda a, x: a + x)})
+    return records.map_records(pages, direct=[(F.concat(F.lit("grp-"), F.col("group_id").cast("string")), "external_id"),
+                                              (F.when(new, F.lit("1998")), "created_on"), (children, "members")]).select("external_id", "created_on", F.inline("members"))
+
+
 REQUESTS = """SELECT partner_id, CASE WHEN partner_id % 10 < 6 THEN 'modify' ELSE 'delete' END AS change,
     ' ' || lower(name) || ' ' AS new_name, CASE WHEN partner_id % 4 = 0 THEN '' ELSE 'Other' END AS gender,
     CASE WHEN partner_id % 3 = 0 THEN NULL ELSE 'X-' || kind END AS kind,
@@ -303,11 +329,20 @@ def _(t):
     SELECT count(*) AS selected, count(*) FILTER (state = 'draft') AS ignored, count(*) FILTER (state <> 'draft')
            AS added FROM entitlement WHERE program_id = 2""")
 def _(t):
-    df = t.entitlement.where("program_id = 2").withColumn(
-        "batch_id", F.when(F.col("state") == "draft", F.lit("old-batch")))
-    placed = df.withColumn("new_batch", F.coalesce("batch_id", F.lit("new-batch")))
-    return placed.agg(F.count(F.lit(1)).alias("selected"), F.count("batch_id").alias("ignored"),
-                      F.count_if((F.col("new_batch") == "new-batch")).alias("added"))
+    return batch_choice(t).agg(F.count(F.lit(1)).alias("selected"), F.count_if(~F.col("is_added")).alias("ignored"), F.count_if("is_added").alias("added"))
+
+
+def batch_choice(t):
+    """The payments of a program: those of draft entitlements are in a batch of their cycle."""
+    taken = F.when(F.col("state") == "draft", F.concat(F.lit("batch-"), F.col("cycle_id").cast("string")))
+    return records.assign_to_batch(t.entitlement.where("program_id = 2").withColumn("batch_id", taken), "new-batch")
+
+
+@query("b32_assigned_payments", """
+    SELECT entitlement_id, CASE WHEN state = 'draft' THEN 'batch-' || CAST(cycle_id AS VARCHAR) ELSE 'new-batch' END AS batch_id, state <> 'draft' AS is_added
+    FROM entitlement WHERE program_id = 2""")
+def _(t):
+    return batch_choice(t).select("entitlement_id", "batch_id", "is_added")
 
 
 @query("h01_lower_trim_nullif", """

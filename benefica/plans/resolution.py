@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from benefica.operators import dedup, near_texts, payments
 from benefica.plans.registry import query
-from benefica.scale import join_groups
+from benefica.scale import join_groups, stage
 from benefica.plans.scalars import grams_sql
 
 def as_of():
@@ -201,3 +201,66 @@ def _(t):
     SELECT * FROM al WHERE id_value NOT IN (SELECT id_value FROM ok WHERE op = 'unlink')""")
 def _(t):
     return payments.apply_mapping_requests(t.id_fa_mapping, judged(t))
+
+
+def pulled(t):
+    """The incoming records with fields: every second one has no income."""
+    return incoming(t).join(t.registrant.select(
+        F.col("partner_id").alias("record_id"), F.concat(F.lit("In "), "name").alias("name"),
+        F.when(F.col("partner_id") % 2 == 0, F.col("income") + 1).alias("income")), "record_id")
+
+
+MERGED = f"""WITH RECURSIVE {MATCHED},
+    link AS (SELECT DISTINCT a.record_id AS a, b.record_id AS b FROM ids a JOIN ids b USING (id_type, value)),
+    reach(node, seen) AS (SELECT record_id, record_id FROM matched WHERE partner_id IS NULL
+        UNION SELECT r.node, l.b FROM reach r JOIN link l ON l.a = r.seen),
+    lead AS (SELECT node, min(seen) AS leader, min_by(partner_id, record_id) FILTER (partner_id IS NOT NULL) AS known
+        FROM reach JOIN matched ON record_id = seen GROUP BY 1),
+    new AS (SELECT leader, row_number() OVER (ORDER BY leader) + (SELECT max(partner_id) FROM registrant) AS id
+        FROM (SELECT DISTINCT leader FROM lead WHERE known IS NULL)),
+    owner AS (SELECT record_id, coalesce(partner_id, known, new.id) AS partner_id, partner_id IS NULL AND known IS NULL AS created
+        FROM matched LEFT JOIN lead ON node = record_id LEFT JOIN new USING (leader)),
+    pull AS (SELECT o.*, 'In ' || r.name AS name, CASE WHEN record_id % 2 = 0 THEN r.income + 1 END AS income
+        FROM owner o JOIN registrant r ON r.partner_id = o.record_id)"""
+
+
+def merged(t):
+    return dedup.merge_registry(pulled(t), t.registrant, t.reg_id, t.program_membership, ["name", "income"], 2, "pull")
+
+
+@query("i08_merged_registrants", f"""{MERGED},
+    g AS (SELECT partner_id, max_by(name, record_id) AS name, max_by(income, record_id) FILTER (income IS NOT NULL) AS income, bool_or(created) AS created
+        FROM pull GROUP BY 1)
+    SELECT partner_id, coalesce(g.name, r.name) AS name, coalesce(g.income, r.income) AS income, CASE WHEN g.partner_id IS NULL THEN r.is_registrant
+        ELSE true END AS is_registrant, g.created AS is_created FROM registrant r FULL JOIN g USING (partner_id)""")
+def _(t):
+    out = merged(t)
+    return out["registrants"].join(out["imported"], "partner_id", "left").select("partner_id", "name", "income", "is_registrant", "is_created")
+
+
+@query("i08_added_ids", f"""{MERGED}
+    SELECT partner_id, id_type, min_by(value, record_id * 2 + place) AS value FROM ids JOIN owner USING (record_id)
+    WHERE NOT EXISTS (SELECT 1 FROM reg_id d WHERE d.partner_id = owner.partner_id AND d.id_type = ids.id_type) GROUP BY 1, 2""")
+def _(t):
+    return merged(t)["ids"]
+
+
+@query("i08_new_memberships", f"""{MERGED},
+    p AS (SELECT DISTINCT partner_id FROM owner EXCEPT SELECT partner_id FROM program_membership WHERE program_id = 2)
+    SELECT partner_id, row_number() OVER (ORDER BY partner_id) + (SELECT max(membership_id) FROM program_membership) AS membership_id FROM p""")
+def _(t):
+    return merged(t)["memberships"].select("partner_id", "membership_id")
+
+
+@query("i08_second_pull", f"""{MERGED},
+    g AS (SELECT partner_id, max_by(name, record_id) AS name, max_by(income, record_id) FILTER (income IS NOT NULL) AS income FROM pull GROUP BY 1)
+    SELECT partner_id, coalesce(g.name, r.name) AS name, coalesce(g.income, r.income) AS income, CASE WHEN g.partner_id IS NULL THEN r.is_registrant
+        ELSE true END AS is_registrant, CASE WHEN g.partner_id IS NOT NULL THEN false END AS is_created FROM registrant r FULL JOIN g USING (partner_id)""")
+def _(t):
+    """The registry after the same pull was merged twice: no one is new the second time."""
+    once = merged(t)
+    people = stage(once["registrants"].drop("data_source"), "people")
+    ids = stage(t.reg_id.select("partner_id", "id_type", "value").unionByName(once["ids"]), "ids")
+    members = stage(t.program_membership.select("membership_id", "partner_id", "program_id", "state").unionByName(once["memberships"]), "members")
+    again = dedup.merge_registry(pulled(t), people, ids, members, ["name", "income"], 2, "pull", links=once["links"])
+    return again["registrants"].join(again["imported"], "partner_id", "left").select("partner_id", "name", "income", "is_registrant", "is_created")
