@@ -8,20 +8,22 @@ from benefica.fixed import ML_FEATURES, TRAINING_DEFAULTS
 from benefica.functions import scoring
 from benefica.operators import learning
 from benefica.operators.features import beneficiary_features
-from benefica.plans.fraud import BASE, as_of
+from benefica.plans.fraud import BASE, STAR, as_of
 from benefica.plans.registry import query
 from benefica.scale import stage
 
-# The label comes from single payments, which no feature reads: two in five or more fell short of 60 % of what was issued.
-LABEL = f"""{BASE}, short AS (SELECT partner_id FROM payment JOIN entitlement USING (entitlement_id) GROUP BY 1
-        HAVING avg(CAST(amount_paid < 0.6 * amount_issued AS INT)) >= 0.4),
-    labelled AS (SELECT partner_id, CAST(partner_id IN (SELECT partner_id FROM short) AS INT) AS is_fraud FROM base)"""
+# The label comes from delivered quantities, a column that feeds no feature: 25 or more deliveries of over 25 units.  Features only know how often
+# and how much was paid, so they can guess it and not read it.
+LARGE, MANY = 25, 25
+LABEL = f"""{BASE}, heavy AS (SELECT o_custkey AS partner_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1
+        HAVING count(*) FILTER (l_quantity > {LARGE}) >= {MANY}),
+    labelled AS (SELECT partner_id, CAST(partner_id IN (SELECT partner_id FROM heavy) AS INT) AS is_fraud FROM base)"""
 
 
 def labels(t):
-    share = F.avg((F.col("amount_paid") < 0.6 * F.col("amount_issued")).cast("int"))
-    return t.payment.join(t.entitlement, "entitlement_id").groupBy("partner_id").agg(share.alias("share")).where(
-        "share >= 0.4").select("partner_id", F.lit(1).alias("is_fraud"))
+    large = F.count_if(F.col("l_quantity") > LARGE)
+    return t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("partner_id")).agg(
+        large.alias("large")).where(F.col("large") >= MANY).select("partner_id", F.lit(1).alias("is_fraud"))
 
 
 def people(t):
@@ -110,14 +112,19 @@ def _(t):
     return quality(held_out(t, "gradient_boosting"), "ml_score", 0.75)
 
 
-@query("k07_isolation_forest", f"""WITH {LABEL} SELECT count(*) AS n, CAST(sum(is_fraud) AS BIGINT) AS positives, true AS in_range
-    FROM labelled""")
+@query("k07_isolation_forest", f"""WITH {LABEL} SELECT count(*) AS n, CAST(sum(is_fraud) AS BIGINT) AS positives, true AS in_range,
+    true AS planted_stand_out FROM labelled""")
 def _(t):
-    df = people(t)
-    forest = learning.fit_isolation_forest(df, "idx", ML_FEATURES)
-    scored = learning.score_isolation(df.select("idx", "is_fraud", *ML_FEATURES), forest, ML_FEATURES)
-    return scored.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("is_fraud").cast("long")).alias("positives"),
-                      F.bool_and(F.col("anomaly_score").between(0, 1)).alias("in_range"))
+    """Scores of all beneficiaries; the two with the largest ids are there once more with every feature far beyond all others."""
+    df = people(t).select("idx", "is_fraud", *ML_FEATURES)
+    far = df.orderBy(F.desc("idx")).limit(2).select((-F.col("idx") - 1).alias("idx"), "is_fraud", *[(F.abs(c) * 30 + 1000).alias(c) for c in ML_FEATURES])
+    both = stage(df.withColumn("idx", F.col("idx").cast("long")).union(far), "planted")
+    forest = learning.fit_isolation_forest(both, "idx", ML_FEATURES)
+    scored = stage(learning.score_isolation(both, forest, ML_FEATURES), "isolated")
+    own, score = F.col("idx") >= 0, F.col("anomaly_score")
+    return scored.agg(F.count_if(own).alias("n"), F.sum(F.when(own, F.col("is_fraud"))).cast("long").alias("positives"),
+                      F.bool_and(score.between(0, 1)).alias("in_range"),
+                      (F.min(F.when(~own, score)) >= F.percentile(F.when(own, score), 0.99)).alias("planted_stand_out"))
 
 
 def hybrid(t):
@@ -214,10 +221,20 @@ def _(t):
         F.round("score", 6).alias("score"), "tp", "fp")
 
 
-@query("f05_top_importances", "SELECT CAST(15 AS BIGINT) AS n, true AS falling, true AS own_names")
+# The first feature of the forest is the one that goes with the label most.
+STRONGEST = f"""WITH {STAR}, heavy AS (SELECT o_custkey AS partner_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1
+        HAVING count(*) FILTER (l_quantity > {LARGE}) >= {MANY}),
+    lab AS (SELECT *, CAST(partner_id IN (SELECT partner_id FROM heavy) AS INT) AS y FROM feat),
+    c AS ({" UNION ALL ".join(f"SELECT '{f}' AS feature, abs(corr({f}, y)) AS r FROM lab" for f in
+          ("payment_count", "nb_programs", "age", "income", "payment_gap_ratio", "shared_phone_count", "avg_enrollment_days"))})
+    SELECT CAST(15 AS BIGINT) AS n, true AS falling, true AS own_names, (SELECT max_by(feature, r) FROM c WHERE isfinite(r)) AS strongest"""
+
+
+@query("f05_top_importances", STRONGEST)
 def _(t):
     model, _ = trained(t, "random_forest")
-    return ranked(learning.importances(model, t.spark, top=15))
+    top = learning.importances(model, t.spark, top=15)
+    return ranked(top).withColumn("strongest", F.lit(top.first()["feature"]))
 
 
 @query("k11_coefficients", f"SELECT CAST({len(ML_FEATURES)} AS BIGINT) AS n, true AS falling, true AS own_names")

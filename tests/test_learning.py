@@ -75,3 +75,13 @@ def test_isolation_forest_finds_far_points(spark):
                    F.avg(F.when(F.col("id") < 2000, (F.col("anomaly_score") >= 1).cast("int"))).alias("full")).first()
     # The score is full from an isolation value of 0.5 on: far points reach it, most others do not.
     assert r.far == 1.0 and r.near < 0.9 and r.full < 0.2
+
+
+def test_no_column_of_the_label_feeds_a_feature():
+    from benefica.plans import learning as plans
+    from benefica.tables import DERIVED
+
+    read = ("registrant", "program_membership", "entitlement", "payment", "phone_number", "bank_account", "group_membership")
+    assert "l_quantity" in plans.LABEL and not any("l_quantity" in DERIVED[name] for name in read)
+    heavy = plans.LABEL[plans.LABEL.index("heavy AS"):plans.LABEL.index("labelled AS")]
+    assert not any(c in heavy for c in ("l_extendedprice", "l_returnflag", "o_totalprice", "o_orderdate", "o_orderstatus", "o_orderpriority"))
