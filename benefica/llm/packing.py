@@ -42,7 +42,7 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.letters = Tokenizer.from_file(path), {}
+        self.tokenizer, self.letters, self.whole = Tokenizer.from_file(path), {}, {}
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
 
@@ -58,7 +58,16 @@ class WordIds:
         return [whole[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def _ids(self, vocabulary: list[bytes]) -> list[bytes]:
-        """The ids of distinct words."""
+        """The ids of distinct words; known ones are not decoded again."""
+        if len(self.whole) > KNOWN_WORDS:
+            self.whole.clear()
+        whole = self.whole
+        new = [w for w in vocabulary if w not in whole]
+        whole.update(zip(new, self._new_ids(new)))
+        return [whole[w] for w in vocabulary]
+
+    def _new_ids(self, vocabulary: list[bytes]) -> list[bytes]:
+        """The ids of distinct words, by way of their letters."""
         if len(self.letters) > KNOWN_WORDS:
             self.letters.clear()
         letters, parts, other = self.letters, [], []
