@@ -1,8 +1,8 @@
 """Near duplicates by SimHash: fingerprints are cut into shards by vantage points and compared inside shards.
 
-A vantage-point tree splits fingerprints at the median Hamming distance to a pivot.  A fingerprint lives in one leaf;
-as a query it also visits each leaf that the triangle bound cannot rule out, so every pair within the radius meets
-where one of the two lives.  The upper tree is built on the driver from a bounded sample (``sample_rows``) and only
+A vantage-point tree splits fingerprints at the median Hamming distance to a pivot.  A fingerprint lives in one leaf.  At
+each split those that live inside also visit the outside where the triangle bound cannot rule it out, and those that are
+visiting already go on to both sides, so every pair within the radius meets once, where one of the two lives.  The upper tree is built on the driver from a bounded sample (``sample_rows``) and only
 decides where the shards are cut; every fingerprint is indexed.  Those that live in a shard and those that visit it are
 cut into blocks of bounded size, and two blocks meet in a group of their own, where the tree goes on in numpy.
 
@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from benefica.llm.common import connected_components, merge_labels, stage, words
+from benefica.llm.common import connected_components, drop_stage, merge_labels, stage, words
 
 SEED = 42
 SHARD_ROWS = 16384
@@ -75,25 +75,34 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fp): the fingerprint of every row as a signed 64-bit integer; a null text has fingerprint zero.
 
     With ``sets`` each distinct shingle counts once in the fingerprint too, and there are also the number of distinct
-    shingles, their sketch, a 128-bit hash of them all, and their hashes.
+    shingles, their sketch and a 128-bit hash of them all.
     """
     def many(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in parts:
             rows = []
             for hashes in (shingle_hashes(t, shingle) for t in texts):
                 distinct = np.unique(hashes) if sets else None
-                rows.append((bit_majority(distinct if sets else hashes), *((*sketch(distinct), xxhash.xxh3_128_digest(distinct.tobytes()), distinct.view(np.int64)) if sets else ())))
+                rows.append((bit_majority(distinct if sets else hashes), *((*sketch(distinct), xxhash.xxh3_128_digest(distinct.tobytes())) if sets else ())))
             out = pd.DataFrame({"fp": np.array([r[0] for r in rows], np.uint64).view(np.int64)})
             if sets:
                 out["n"] = np.array([r[1] for r in rows], np.int64)
-                for k, c in enumerate(("sketch", "whole", "hashes"), 2):
+                for k, c in enumerate(("sketch", "whole"), 2):
                     out[c] = pd.Series([r[k] for r in rows], dtype=object)
             yield out
 
-    of = F.pandas_udf(many, "fp long" + (", n long, sketch binary, whole binary, hashes array<long>" if sets else ""))
+    of = F.pandas_udf(many, "fp long" + (", n long, sketch binary, whole binary" if sets else ""))
     return docs.select(F.col(id_col).alias("id"), of(F.col(text_col).cast("string")).alias("f")).select("id", "f.*")
 
 
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, hashes) of all rows: the distinct shingle hashes in order."""
+    @F.pandas_udf("array<long>")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in texts], dtype=object)
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), of(F.col(text_col).cast("string")).alias("hashes"))
+
+
 def _distances(fps: np.ndarray, pivot: np.uint64) -> np.ndarray:
     return np.bitwise_count(fps ^ pivot).astype(np.int16)
 
@@ -128,10 +137,10 @@ def build_tree(sample: np.ndarray, depth: int, least: int = 16) -> list:
     return [root, nodes]
 
 
-def visits(tree: list, fps: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(shard, positions of the fingerprints that visit it, whether each one lives there)."""
+def visits(tree: list, fps: np.ndarray, radius: int, live: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, positions of the fingerprints that visit it, whether each one lives there); without ``live`` all only visit."""
     root, nodes = tree
-    todo = [(root, np.arange(len(fps)), np.ones(len(fps), bool))]
+    todo = [(root, np.arange(len(fps)), np.full(len(fps), live))]
     while todo:
         at, rows, home = todo.pop()
         if not len(rows):
@@ -141,8 +150,12 @@ def visits(tree: list, fps: np.ndarray, radius: int) -> Iterator[tuple[int, np.n
             continue
         pivot, middle, inside, outside = nodes[at]
         d = _distances(fps[rows], pivot)
-        for child, near, mine in ((inside, d <= middle + radius, d <= middle), (outside, d > middle - radius, d > middle)):
-            todo.append((child, rows[near], home[near] & mine[near]))
+        mine = d <= middle
+        # The inside asks the outside; what lives outside is asked and need not ask back.
+        into = np.where(home, mine, d <= middle + radius)
+        todo.append((inside, rows[into], home[into]))
+        out = d > middle - radius
+        todo.append((outside, rows[out], (home & ~mine)[out]))
 
 
 def cells(home: np.ndarray, ask: np.ndarray, salt: np.ndarray, homes: int, asks: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -233,15 +246,17 @@ def proposals(rows: pd.DataFrame, radius: int, similarity: float, most: int) ->
     return pd.DataFrame({"a": a, "b": pd.Series(b, dtype="Int64").mask(np.arange(len(b)) >= len(b) - len(left))})
 
 
-def alike(pairs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of ids whose sets of shingles have at least that Jaccard similarity."""
+def alike(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """The pairs (a, b) of ids whose sets of shingles have at least that Jaccard similarity; sets are made for the ids named only."""
     pairs = stage(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "pairs")
-    named = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = stage(prints.where("id IS NOT NULL").select(F.col("id").cast("long").alias("id"), "whole", "hashes").join(named, "id", "left_semi").groupBy("id", "whole").agg(
-        F.first("hashes").alias("hashes")).drop("whole"), "sets")
+    named = stage(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "named")
+    sets = stage(sets_of(named).distinct(), "sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return stage(both.where(common / (F.size("x") + F.size("y") - common) >= similarity).select("a", "b").distinct(), "alike")
+    out = stage(both.where(common / (F.size("x") + F.size("y") - common) >= similarity).select("a", "b").distinct(), "alike")
+    for table in (pairs, named, sets):
+        drop_stage(table)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2,
@@ -273,12 +288,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def places(rows: pd.DataFrame) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(ring, shard, positions, whether each one lives there)"""
-        ring = rows["ring"].to_numpy(np.int64)
-        for shard, at, home in visits(tree, rows["fp"].to_numpy(np.int64).view(np.uint64), radius):
-            for below in range(2 if similarity else 1):
+        ring, fps = rows["ring"].to_numpy(np.int64), rows["fp"].to_numpy(np.int64).view(np.uint64)
+        for below in range(2 if similarity else 1):
+            for shard, at, home in visits(tree, fps, radius, below == 0):
                 for r in np.unique(ring[at]).tolist():
                     of = ring[at] == r
-                    yield r - below, shard, at[of], home[of] & (below == 0)
+                    yield r - below, shard, at[of], home[of]
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in parts:
@@ -314,17 +329,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     form = "ring int, shard int, cell int, fp long, first long, home boolean, ask boolean" + "".join(f", {c} {t}" for c, t in columns.items())
     if similarity:
-        asking, most, links = distinct.withColumns({"label": F.col("first"), "ask": F.lit(True)}), ASKED, None
+        def sets_of(named: DataFrame) -> DataFrame:
+            rows = docs.select(F.col(id_col), F.col(text_col)).where(F.col(id_col).isNotNull())
+            return shingle_sets(rows.join(named.select(F.col("id").alias(id_col)), id_col, "left_semi"), id_col, text_col, shingle)
+
+        asking, most, links, old = distinct.withColumns({"label": F.col("first"), "ask": F.lit(True)}), ASKED, None, []
         while True:
             groups = asking.mapInPandas(deal, form).groupBy("ring", "shard", "cell")
             said = stage(groups.applyInPandas(proposer(most), "a long, b long"), "proposals")
-            new = alike(said.where("b IS NOT NULL"), prints, similarity)
+            for table in old:
+                drop_stage(table)
+            new = alike(said.where("b IS NOT NULL"), sets_of, similarity)
             links = new if links is None else links.unionByName(new)
             parts = stage(connected_components(links).select(F.col("node").alias("first"), F.col("component_id").alias("part")), "parts")
             left = stage(said.where("b IS NULL").select(F.col("a").alias("first")).distinct().withColumn("more", F.lit(True)), "left")
             rings = {x for r in distinct.join(left, "first", "left_semi").select("ring").distinct().collect() for x in (r["ring"], r["ring"] - 1)}
+            drop_stage(said)
             if not rings:
                 break
+            old = [parts, left]
             most *= 8
             asking = distinct.where(F.col("ring").isin(*rings)).join(parts, "first", "left").join(left, "first", "left").select(
                 *distinct.columns, F.coalesce("part", "first").alias("label"), F.coalesce("more", F.lit(False)).alias("ask"))
@@ -332,6 +355,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = distinct.withColumn("ask", F.lit(True)).mapInPandas(deal, form).groupBy("ring", "shard", "cell").applyInPandas(match, "a long, b long")
         parts = connected_components(links).select(F.col("node").alias("first"), F.col("component_id").alias("part"))
     classes = stage(distinct.join(parts, "first", "left").select(*key, F.coalesce("part", "first").alias("component_id")), "classes")
+    drop_stage(distinct)
     return prints.join(classes, key, "left").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
