@@ -69,13 +69,13 @@ def test_collocations_of_nothing(spark, corpus, nothing):
 
 def test_scores_pass_64_bits(spark):
     big = 3_000_000_000
-    words = spark.createDataFrame([("en", "a", 4 * big), ("en", "b", 2 * big), ("en", "c", 3 * big)], "lang string, word string, n long")
-    pairs = spark.createDataFrame([("en", "a", "b", big), ("en", "b", "c", big)], "lang string, w1 string, w2 string, a long")
-    triples = spark.createDataFrame([("en", "a", "b", "c", big // 3)], "lang string, w1 string, w2 string, w3 string, a long")
-    got = {r.phrase: (r.a, r.l, r.r, r.score) for r in collocations.phrase_scores(words, pairs, triples).collect()}
+    words = spark.createDataFrame([(1, "en", 4 * big), (2, "en", 2 * big), (3, "en", 3 * big)], "h long, lang string, n long")
+    pairs = spark.createDataFrame([(1, 2, big), (2, 3, big)], "h1 long, h2 long, a long")
+    triples = spark.createDataFrame([(1, 2, 3, big // 3)], "h1 long, h2 long, h3 long, a long")
+    got = {(r.h1, r.h2, r.h3): (r.a, r.l, r.r, r.score) for r in collocations.phrase_scores(words, pairs, triples).collect()}
     third = big // 3
-    assert got == {"a b": (big, 4 * big, 2 * big, 125000), "b c": (big, 2 * big, 3 * big, 10**6 // 6),
-                   "a b c": (third, 4 * big, big, 10**6 * third * third // (4 * big * big))}
+    assert got == {(1, 2, None): (big, 4 * big, 2 * big, 125000), (2, 3, None): (big, 2 * big, 3 * big, 10**6 // 6),
+                   (1, 2, 3): (third, 4 * big, big, 10**6 * third * third // (4 * big * big))}
 
 
 def test_double_array_finds_exactly_its_rows():
@@ -90,7 +90,7 @@ def test_double_array_finds_exactly_its_rows():
         at = at[on]
     number = {tuple(r): i for i, r in enumerate(rows.tolist())}
     want = {i: number[tuple(r)] for i, r in enumerate(ask.tolist()) if tuple(r) in number}
-    assert dict(zip(at.tolist(), trie.ends[state].tolist())) == want
+    assert dict(zip(at.tolist(), trie.row(state).tolist())) == want
 
 
 # --- whitening ------------------------------------------------------------------------------------------------
@@ -239,7 +239,7 @@ def test_stretches_carry_the_open_sequence(monkeypatch):
 def test_chunk_ids_are_the_ids_of_whole_texts():
     ids_of, tokenizer = window_packing.ChunkIds(TOKENIZER), Tokenizer.from_file(TOKENIZER)
     rng = random.Random(7)
-    signs = [" ", "  ", "\n", "\t", "a", "é", "ÿ", " ", "　", " ", "\x85", "\x1c", "'s", ".", "日", "1", "<|endoftext|>", "́", " ", "﻿", "​"]
+    signs = [" ", "  ", "\n", "\t", "a", "é", "ÿ", " ", "　", " ", "\x85", "\x1c", "'s", ".", "日", "1", "<|endoftext|>", "́", "×", "÷", ",", "!?", " Word", " über", "x.", " ", "﻿", "​"]
     texts = ODD + ["".join(rng.choice(signs) for _ in range(rng.randint(1, 40))) for _ in range(3000)]
     data = [t.encode() for t in texts]
     starts = np.cumsum([0, *map(len, data)])
