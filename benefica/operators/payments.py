@@ -77,11 +77,14 @@ def unresolved(disbursement: DataFrame, resolution: DataFrame) -> DataFrame:
 
 
 def resolve_accounts(disbursement: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Every disbursement with the account found for its beneficiary, and a mark on repeated beneficiaries."""
-    repeated = disbursement.groupBy("batch_id", "beneficiary_id").agg(F.count(F.lit(1)).alias("_n"))
-    return disbursement.join(mapping.select("beneficiary_id", "fa_value", F.col("name").alias("resolved_name")),
-                             "beneficiary_id", "left").join(
-        repeated, ["batch_id", "beneficiary_id"]).withColumn("is_repeated", F.col("_n") > 1).drop("_n")
+    """Every disbursement with the account found for its beneficiary."""
+    return disbursement.join(mapping.select("beneficiary_id", "fa_value", F.col("name").alias("resolved_name")), "beneficiary_id", "left")
+
+
+def mark_repeated(disbursement: DataFrame) -> DataFrame:
+    """Whether a beneficiary has several disbursements in the batch."""
+    repeated = disbursement.groupBy("batch_id", "beneficiary_id").agg((F.count(F.lit(1)) > 1).alias("is_repeated"))
+    return disbursement.join(repeated, ["batch_id", "beneficiary_id"])
 
 
 def batch_resolution_status(resolved: DataFrame) -> DataFrame:
@@ -124,9 +127,9 @@ def digital_payloads(resolved: DataFrame, programs: DataFrame) -> DataFrame:
         *[c.alias(n) for n, c in parts.items()])
 
 
-def split_by_quantity(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Payloads to send, and those with nothing to pay that go straight to reconciliation."""
-    return payloads.where("quantity > 0"), payloads.where("quantity <= 0")
+def split_by_quantity(payloads: DataFrame) -> DataFrame:
+    """Payloads marked as to send, or with nothing to pay and straight to reconciliation."""
+    return payloads.withColumn("to_recon", F.col("quantity") <= 0)
 
 
 def funds_gate(envelope: DataFrame, received: DataFrame, as_of: Column) -> DataFrame:

@@ -113,7 +113,7 @@ RESOLVED = """resolved AS (SELECT d.*, m.fa_value, m.name AS resolved_name,
 
 @query("c13_resolve_accounts", f"WITH {RESOLVED} SELECT disbursement_id, fa_value, is_repeated FROM resolved")
 def _(t):
-    return payments.resolve_accounts(t.disbursement, t.id_fa_mapping).select(
+    return payments.mark_repeated(payments.resolve_accounts(t.disbursement, t.id_fa_mapping)).select(
         "disbursement_id", "fa_value", "is_repeated")
 
 
@@ -174,11 +174,8 @@ def payload_rows(t):
         coalesce(regexp_extract(fa_value, 'fa_type:(.*)$', 1), '') AS fa_type, quantity <= 0 AS to_recon
     FROM resolved LEFT JOIN envelope e ON e.envelope_id = resolved.envelope_id""")
 def _(t):
-    send, recon = payments.split_by_quantity(payload_rows(t))
-    cols = ["disbursement_id", "quantity", "payee_name", "sponsor_account", "account_number", "bank_code",
-            "wallet_provider_code", "fa_type"]
-    return send.select(*cols, F.lit(False).alias("to_recon")).unionByName(
-        recon.select(*cols, F.lit(True).alias("to_recon")))
+    return payments.split_by_quantity(payload_rows(t)).select(
+        "disbursement_id", "quantity", "payee_name", "sponsor_account", "account_number", "bank_code", "wallet_provider_code", "fa_type", "to_recon")
 
 
 @query("c17_physical_payloads", f"""

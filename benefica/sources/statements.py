@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from benefica.functions.text import matched_groups
-from benefica.scale import join_groups, running
+from benefica.scale import join_groups, running, stage
 
 # Value date, indicator, amount, customer reference, bank reference.
 ENTRY = r"^:61:(\d{6})(?:\d{4})?(R?[DC])[A-Z]?(\d+,\d*)[A-Z][A-Z0-9]{3}((?:(?!//).)*)(?://(.*))?$"
@@ -42,13 +42,14 @@ def transactions(statements: DataFrame) -> DataFrame:
     """
     text = F.replace(F.col("text"), F.lit("\r"), F.lit(""))
     blocks = F.split(text, r"\n(?=:61:)")
-    pages = statements.select("statement_id", F.coalesce(tag(text, "28C?", r"\d+/(\d+)").try_cast("int"), F.lit(1)).alias("page"),
-                              F.slice(blocks, 2, F.greatest(F.size(blocks) - 1, F.lit(0))).alias("blocks"))
+    pages = stage(statements.select("statement_id", F.coalesce(tag(text, "28C?", r"\d+/(\d+)").try_cast("int"), F.lit(1)).alias("page"),
+                                    F.slice(blocks, 2, F.greatest(F.size(blocks) - 1, F.lit(0))).alias("blocks")).withColumn("n", F.size("blocks")), "pages")
     earlier = Window.partitionBy("statement_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
-    starts = pages.groupBy("statement_id", "page").agg(F.sum(F.size("blocks")).alias("n")).withColumn(
+    starts = pages.groupBy("statement_id", "page").agg(F.sum("n").alias("n")).withColumn(
         "start", F.coalesce(F.sum("n").over(earlier), F.lit(0).cast("long"))).drop("n")
-    entries = join_groups(pages.select("statement_id", "page", F.posexplode("blocks").alias("pos", "block")), starts,
-                          ["statement_id", "page"]).withColumn("place", F.col("pos") + F.col("start"))
+    # Pages find their start before they are taken apart, so lines are not joined.
+    entries = join_groups(pages.drop("n"), starts, ["statement_id", "page"]).select("statement_id", "start", F.posexplode("blocks").alias("pos", "block")).withColumn(
+        "place", F.col("pos") + F.col("start"))
     fields = matched_groups(F.substring_index("block", "\n", 1), ENTRY, 5)
     narrative = F.get(F.split("block", "\n:86:", 2), F.lit(1))
     part = lambda i: F.get("f", F.lit(i))
