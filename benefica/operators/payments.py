@@ -174,7 +174,8 @@ def envelope_limit_errors(requests: DataFrame, envelope: DataFrame, received: Da
 
 # --- reconciliation -------------------------------------------------------------------------------------------
 
-def reconcile(lines: DataFrame, disbursement: DataFrame, geo_batches: DataFrame) -> DataFrame:
+def reconcile(lines: DataFrame, disbursement: DataFrame, geo_batches: DataFrame,
+              stored: DataFrame | None = None) -> DataFrame:
     """Outcome of every debit and reversal line.
 
     Statements count in ``statement_order``, and inside one all debits come
@@ -185,6 +186,10 @@ def reconcile(lines: DataFrame, disbursement: DataFrame, geo_batches: DataFrame)
     """
     place = F.struct("statement_order", "entry_sequence")
     debits = lines.where("indicator = 'D'").groupBy("reconciliation_id").agg(F.min(place).alias("_first"))
+    if stored is not None:  # a reconciliation that is there already was made before every line
+        kinds = [lines.schema[c].dataType for c in ("statement_order", "entry_sequence")]
+        before = F.struct(*[F.lit(-(1 << 31)).cast(k).alias(c) for c, k in zip(("statement_order", "entry_sequence"), kinds)])
+        debits = debits.unionByName(stored.select("reconciliation_id", before.alias("_first")))
     return judge(lines, targets(disbursement, geo_batches), debits)
 
 
