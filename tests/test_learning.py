@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from benefica.fixed import ML_FEATURES
-from benefica.operators import learning, population
+from benefica.operators import learning
 from benefica.operators.features import thresholds, with_threshold_flags
 from benefica.scale import stage
+from tests import population
 
 
 @pytest.fixture(scope="module")
