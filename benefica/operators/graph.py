@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from benefica.scale import join_groups, stage
 
 
-def incidence(nodes: DataFrame, weights: Mapping[str, float], id_column: str = "id") -> DataFrame:
-    """(id, subset, key, min_weight, sign, n): the groups with two or more members that a node belongs to."""
+def memberships(nodes: DataFrame, weights: Mapping[str, float], id_column: str = "id") -> DataFrame:
+    """(id, subset, key, min_weight, sign): every group that a node belongs to."""
     attributes = [a for a in weights if a in nodes.columns]
     entries = []
     for size in range(1, len(attributes) + 1):
@@ -37,8 +37,12 @@ def incidence(nodes: DataFrame, weights: Mapping[str, float], id_column: str = "
                 F.to_json(F.array(*[F.col(a).cast("string") for a in chosen])).alias("key"),
                 F.lit(float(min(weights[a] for a in chosen))).alias("min_weight"),
                 F.lit(1 if size % 2 else -1).alias("sign"))))
-    exploded = nodes.select(F.col(id_column).alias("id"), F.inline(F.filter(
-        F.array(*entries), lambda x: x.isNotNull())))
+    return nodes.select(F.col(id_column).alias("id"), F.inline(F.filter(F.array(*entries), lambda x: x.isNotNull())))
+
+
+def incidence(nodes: DataFrame, weights: Mapping[str, float], id_column: str = "id") -> DataFrame:
+    """(id, subset, key, min_weight, sign, n): the groups with two or more members that a node belongs to."""
+    exploded = memberships(nodes, weights, id_column)
     sizes = exploded.groupBy("subset", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return join_groups(exploded, sizes, ["subset", "key"])
 
@@ -55,11 +59,12 @@ def merged_edge_weights(nodes: DataFrame, weights: Mapping[str, float], id_colum
 
     Edges of weight >= w are the pairs sharing one of the attributes that weigh
     at least w; each level is counted by inclusion and exclusion over groups.
+    Only the size of a group counts, so members are not joined to it.
     """
     levels = sorted(set(weights.values()), reverse=True)
-    pairs = incidence(nodes, weights, id_column).select("subset", "key", "min_weight", "sign", "n").distinct().groupBy(
-        "subset").agg(F.first("min_weight").alias("min_weight"), F.first("sign").alias("sign"),
-                      F.sum(F.expr("n * (n - 1) / 2")).alias("pairs"))
+    sizes = memberships(nodes, weights, id_column).groupBy("subset", "key", "min_weight", "sign").agg(F.count(F.lit(1)).alias("n"))
+    pairs = sizes.where("n > 1").groupBy("subset").agg(
+        F.first("min_weight").alias("min_weight"), F.first("sign").alias("sign"), F.sum(F.expr("n * (n - 1) / 2")).alias("pairs"))
     at_least = pairs.agg(*[F.coalesce(F.sum(F.when(F.col("min_weight") >= w, F.col("sign") * F.col("pairs"))), F.lit(0.0))
                            .alias(str(i)) for i, w in enumerate(levels)])
     exact = [F.struct(F.lit(w).alias("weight"), (F.col(str(i)) - (F.col(str(i - 1)) if i else F.lit(0.0)))

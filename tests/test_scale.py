@@ -191,3 +191,17 @@ def test_a_hot_key_is_split_in_a_join_to_its_own_group(spark, how):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_edge_weights_are_counted_without_joining_members_to_groups(spark):
+    df = spark.createDataFrame(people(), "id long, phone string, address_hash string, agent_id string, bank_account string")
+    out = graph.merged_edge_weights(df, WEIGHTS)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.count() > 0
+
+
+def test_groups_of_small_files_are_not_broadcast(spark):
+    rows = spark.range(3000).selectExpr("id", "id % 700 AS k")
+    got = join_groups(stage(rows, "rows"), rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")), ["k"])
+    assert got.count() == 3000
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
