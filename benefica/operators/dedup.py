@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from benefica.functions.text import similarity, trigrams
 from benefica.operators.near_texts import similar_texts
-from benefica.scale import join_groups, running, stage
+from benefica.scale import dealt, join_groups, running, stage
 
 
 def valid_documents(reg_id: DataFrame, as_of: Column, id_types: Sequence[str]) -> DataFrame:
@@ -169,9 +169,9 @@ def match_incoming(incoming: DataFrame, reg_id: DataFrame) -> DataFrame:
     listed = incoming.select("record_id", F.posexplode("ids").alias("place", "i")).select(
         "record_id", "place", "i.id_type", "i.value").where("id_type <> '' AND value <> ''")
     known = reg_id.groupBy("id_type", "value").agg(F.min("partner_id").alias("partner_id"))
-    hit = listed.join(known, ["id_type", "value"]).groupBy("record_id").agg(
+    hit = listed.join(dealt(known), ["id_type", "value"]).groupBy("record_id").agg(
         F.min_by("partner_id", "place").alias("partner_id"))
-    return incoming.select("record_id").join(hit, "record_id", "left")
+    return incoming.select("record_id").join(dealt(hit), "record_id", "left")
 
 
 def upsert(incoming: DataFrame, reg_id: DataFrame) -> dict[str, DataFrame]:
@@ -179,10 +179,10 @@ def upsert(incoming: DataFrame, reg_id: DataFrame) -> dict[str, DataFrame]:
     matched = match_incoming(incoming, reg_id)
     records = matched.select("record_id", "partner_id", F.col("partner_id").isNull().alias("is_created"),
                              F.col("partner_id").isNotNull().alias("is_updated"))
-    listed = incoming.join(matched, "record_id").select("record_id", "partner_id", F.inline("ids")).where(
+    listed = incoming.join(dealt(matched), "record_id").select("record_id", "partner_id", F.inline("ids")).where(
         "id_type <> '' AND value <> ''")
     have = reg_id.select("partner_id", "id_type").distinct()
-    missing = listed.join(have, ["partner_id", "id_type"], "left_anti")
+    missing = listed.join(dealt(have), ["partner_id", "id_type"], "left_anti")
     return {"records": records, "ids": missing}
 
 
@@ -195,9 +195,9 @@ def record_groups(listed: DataFrame) -> DataFrame:
     now = stage(listed.select("record_id", F.col("record_id").alias("leader")).distinct(), "leaders")
     ids = stage(listed.select("record_id", "id_type", "value").distinct(), "identifiers")
     while True:
-        least = ids.join(now, "record_id").groupBy("id_type", "value").agg(F.min("leader").alias("_m"))
+        least = ids.join(dealt(now), "record_id").groupBy("id_type", "value").agg(F.min("leader").alias("_m"))
         seen = join_groups(ids, least, ["id_type", "value"]).groupBy("record_id").agg(F.min("_m").alias("_m"))
-        step = stage(now.join(seen, "record_id").select("record_id", "leader", F.least("leader", "_m").alias("_m")), "step")
+        step = stage(now.join(dealt(seen), "record_id").select("record_id", "leader", F.least("leader", "_m").alias("_m")), "step")
         up = step.groupBy("leader").agg(F.min("_m").alias("_up"))
         after = stage(join_groups(step, up, ["leader"]).select("record_id", F.col("_up").alias("leader"), (F.col("_up") < F.col("leader")).alias("_moved")), "leaders")
         now = after.drop("_moved")
@@ -221,23 +221,23 @@ def merge_registry(incoming: DataFrame, registrant: DataFrame, reg_id: DataFrame
         "record_id", "place", "i.id_type", "i.value").where("id_type <> '' AND value <> ''")
     listed = stage(listed, "listed")
     if not without_id:
-        incoming = incoming.join(listed.select("record_id").distinct(), "record_id", "left_semi")
+        incoming = incoming.join(dealt(listed.select("record_id").distinct()), "record_id", "left_semi")
     matched = match_incoming(incoming, reg_id)
     if links is not None:
         before = links.select("record_id", F.col("partner_id").alias("_linked"))
-        matched = matched.join(before, "record_id", "left").select("record_id", F.coalesce("_linked", "partner_id").alias("partner_id"))
+        matched = matched.join(dealt(before), "record_id", "left").select("record_id", F.coalesce("_linked", "partner_id").alias("partner_id"))
     matched = stage(matched, "matched")
     groups = record_groups(listed)
-    known = groups.join(matched, "record_id").where("partner_id IS NOT NULL").groupBy("leader").agg(F.min_by("partner_id", "record_id").alias("_known"))
-    placed = matched.join(groups, "record_id", "left").withColumn("leader", F.coalesce("leader", "record_id"))
-    placed = stage(placed.join(known, "leader", "left").select("record_id", "leader", F.coalesce("partner_id", "_known").alias("partner_id")), "placed")
+    known = groups.join(dealt(matched), "record_id").where("partner_id IS NOT NULL").groupBy("leader").agg(F.min_by("partner_id", "record_id").alias("_known"))
+    placed = matched.join(dealt(groups), "record_id", "left").withColumn("leader", F.coalesce("leader", "record_id"))
+    placed = stage(placed.join(dealt(known), "leader", "left").select("record_id", "leader", F.coalesce("partner_id", "_known").alias("partner_id")), "placed")
     base = registrant.agg(F.coalesce(F.max("partner_id"), F.lit(0)).cast("long").alias("m")).first().m
     fresh = running(placed.where("partner_id IS NULL").groupBy("leader").agg(F.lit(1).alias("_one")), [], [F.col("leader")], position="_p")
     fresh = stage(fresh.select("leader", (F.col("_p") + base).alias("_new")), "new_ids")
-    owner = stage(placed.join(fresh, "leader", "left").select(
+    owner = stage(placed.join(dealt(fresh), "leader", "left").select(
         "record_id", F.coalesce("partner_id", "_new").alias("partner_id"), F.col("partner_id").isNull().alias("is_created")), "owners")
 
-    given = incoming.select("record_id", *fields).join(owner, "record_id")
+    given = incoming.select("record_id", *fields).join(dealt(owner), "record_id")
     last = [F.max_by(f, F.when(F.col(f).isNotNull(), F.col("record_id"))).alias(f"_n_{f}") for f in fields]
     given = given.groupBy("partner_id").agg(F.bool_or("is_created").alias("is_created"), *last)
     given = stage(given, "given")
@@ -247,10 +247,10 @@ def merge_registry(incoming: DataFrame, registrant: DataFrame, reg_id: DataFrame
         F.when(F.col("is_created").isNotNull(), True).otherwise(F.col("is_registrant")).alias("is_registrant"), *rest,
         F.when(F.col("is_created").isNotNull(), F.lit(source)).alias("data_source"))
 
-    missing = listed.join(owner, "record_id").join(reg_id.select("partner_id", "id_type").distinct(), ["partner_id", "id_type"], "left_anti")
+    missing = listed.join(dealt(owner), "record_id").join(dealt(reg_id.select("partner_id", "id_type").distinct()), ["partner_id", "id_type"], "left_anti")
     added = missing.groupBy("partner_id", "id_type").agg(F.min_by("value", F.struct("record_id", "place")).alias("value"))
     have = membership.where(F.col("program_id") == program_id).select("partner_id")
-    joined = running(given.select("partner_id").join(have, "partner_id", "left_anti"), [], [F.col("partner_id")], position="_p")
+    joined = running(given.select("partner_id").join(dealt(have), "partner_id", "left_anti"), [], [F.col("partner_id")], position="_p")
     top = membership.agg(F.coalesce(F.max("membership_id"), F.lit(0)).cast("long").alias("m")).first().m
     joined = joined.select((F.col("_p") + top).alias("membership_id"), "partner_id", F.lit(program_id).alias("program_id"), F.lit("draft").alias("state"))
     imported = given.select("partner_id", "is_created", (~F.col("is_created")).alias("is_updated"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from benefica.operators import dedup, near_texts, payments
 from benefica.plans.registry import query
-from benefica.scale import join_groups, stage
+from benefica.scale import dealt, join_groups, stage
 from benefica.plans.scalars import grams_sql
 
 def as_of():
@@ -205,9 +205,9 @@ def _(t):
 
 def pulled(t):
     """The incoming records with fields: every second one has no income."""
-    return incoming(t).join(t.registrant.select(
+    return incoming(t).join(dealt(t.registrant.select(
         F.col("partner_id").alias("record_id"), F.concat(F.lit("In "), "name").alias("name"),
-        F.when(F.col("partner_id") % 2 == 0, F.col("income") + 1).alias("income")), "record_id")
+        F.when(F.col("partner_id") % 2 == 0, F.col("income") + 1).alias("income"))), "record_id")
 
 
 MERGED = f"""WITH RECURSIVE {MATCHED},
@@ -235,7 +235,7 @@ def merged(t):
         ELSE true END AS is_registrant, g.created AS is_created FROM registrant r FULL JOIN g USING (partner_id)""")
 def _(t):
     out = merged(t)
-    return out["registrants"].join(out["imported"], "partner_id", "left").select("partner_id", "name", "income", "is_registrant", "is_created")
+    return out["registrants"].join(dealt(out["imported"]), "partner_id", "left").select("partner_id", "name", "income", "is_registrant", "is_created")
 
 
 @query("i08_added_ids", f"""{MERGED}
@@ -263,4 +263,4 @@ def _(t):
     ids = stage(t.reg_id.select("partner_id", "id_type", "value").unionByName(once["ids"]), "ids")
     members = stage(t.program_membership.select("membership_id", "partner_id", "program_id", "state").unionByName(once["memberships"]), "members")
     again = dedup.merge_registry(pulled(t), people, ids, members, ["name", "income"], 2, "pull", links=once["links"])
-    return again["registrants"].join(again["imported"], "partner_id", "left").select("partner_id", "name", "income", "is_registrant", "is_created")
+    return again["registrants"].join(dealt(again["imported"]), "partner_id", "left").select("partner_id", "name", "income", "is_registrant", "is_created")

@@ -127,3 +127,11 @@ def test_values_keep_the_order_in_which_they_were_first_seen(spark):
     df = spark.createDataFrame([(1, "b", 1), (1, "a", 2), (1, "b", 3), (2, None, 1), (2, "a", 2), (1, None, 9)], "k int, v string, at int")
     got = sorted(tuple(r) for r in first_seen(df, ["k"], "v", ["at"]).collect())
     assert got == [(1, 1, "b"), (1, 2, "a"), (1, 3, None), (2, 1, None), (2, 2, "a")]
+
+
+def test_a_pull_sends_no_side_of_a_join_whole_to_every_executor(spark):
+    out = dedup.merge_registry(pull(spark), *registry(spark), ["name", "income"], 7, "pull")
+    for part in ("registrants", "ids"):
+        assert "BroadcastHashJoin" not in out[part]._jdf.queryExecution().executedPlan().toString()
+    matched = dedup.match_incoming(pull(spark), registry(spark)[1])
+    assert "BroadcastHashJoin" not in matched._jdf.queryExecution().executedPlan().toString()
