@@ -223,7 +223,10 @@ def _(t):
         start, end = dates.cycle_range(F.col("create_date"), rule)
         entries.append(F.struct(F.lit(name).alias("rule"), start.cast("string").alias("start_date"),
                                 end.cast("string").alias("end_date")))
-    return t.registrant.select("partner_id", F.inline(F.array(*entries)))
+    # Rules cost far more than reading: a small file is one split, so its rows are first spread over the cores.
+    cores = t.spark.sparkContext.defaultParallelism
+    people = t.registrant.select("partner_id", "create_date").repartition(4 * cores, "partner_id")
+    return people.select("partner_id", F.inline(F.array(*entries)))
 
 
 @query("h19_application_ids")

@@ -18,3 +18,10 @@ def test_fifth_weekday_of_february_comes_again(spark):
     after = lambda s: next(d for d in sundays if d > datetime.date.fromisoformat(s))
     assert (row.a, row.b) == (after("2004-02-29"), after("2088-02-29"))
     assert row.c == after("2005-02-01") and row.d == after(row.c.isoformat()) - datetime.timedelta(1)
+
+
+def test_recurrence_spreads_a_small_file_over_the_cores(spark):
+    from benefica.plans import load
+
+    out = load()["h18_recurrence"](spark, "/root/testdata/sf0.001")
+    assert out.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
