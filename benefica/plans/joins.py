@@ -280,7 +280,8 @@ def parsed(t):
 
 
 def numbered_lines(t):
-    return running(t.statement_line, ["statement_id"], [F.col(c) for c in ORDER], position="entry_sequence")
+    judged_by = ["statement_id", "statement_order", "reconciliation_id", "indicator", "amount"]
+    return running(t.statement_line.select(*judged_by, *ORDER), ["statement_id"], [F.col(c) for c in ORDER], position="entry_sequence", kept=judged_by)
 
 
 def judged(t):

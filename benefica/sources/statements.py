@@ -47,8 +47,13 @@ def transactions(statements: DataFrame) -> DataFrame:
     earlier = Window.partitionBy("statement_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
     starts = pages.groupBy("statement_id", "page").agg(F.sum("n").alias("n")).withColumn(
         "start", F.coalesce(F.sum("n").over(earlier), F.lit(0).cast("long"))).drop("n")
-    # Pages find their start before they are taken apart, so lines are not joined.
-    entries = join_groups(pages.drop("n"), starts, ["statement_id", "page"]).select("statement_id", "start", F.posexplode("blocks").alias("pos", "block")).withColumn(
+    # Pages find their start before they are taken apart, so lines are not joined.  Nothing comes before a page with
+    # the smallest number of all, so only later pages are joined to their start.
+    lowest = pages.agg(F.coalesce(F.min("page"), F.lit(1)).alias("m")).first().m
+    later = F.col("page") > lowest
+    begun = pages.where(~later).select("statement_id", "page", "blocks", F.lit(0).cast("long").alias("start"))
+    placed = begun.unionByName(join_groups(pages.where(later).drop("n"), starts.where(later), ["statement_id", "page"]))
+    entries = placed.where("statement_id IS NOT NULL").select("statement_id", "start", F.posexplode("blocks").alias("pos", "block")).withColumn(
         "place", F.col("pos") + F.col("start"))
     fields = matched_groups(F.substring_index("block", "\n", 1), ENTRY, 5)
     narrative = F.get(F.split("block", "\n:86:", 2), F.lit(1))
@@ -82,7 +87,7 @@ def compose(lines: DataFrame, order: list[str], page_size: int = 1000) -> DataFr
 
     # The texts are built after the shuffle, where the work is spread.
     parts = ["value_date", "indicator", "amount", "reconciliation_id", "reference"]
-    placed = running(lines.select("statement_id", *order, *parts), ["statement_id"], [F.col(c) for c in order], position="_place")
+    placed = running(lines.select("statement_id", *order, *parts), ["statement_id"], [F.col(c) for c in order], position="_place", kept=["statement_id", *parts])
     page = (F.floor((F.col("_place") - 1) / page_size) + 1).cast("int").alias("page")
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_place", *parts))), entry), "\n")
     return placed.groupBy("statement_id", page).agg(body.alias("body")).select("statement_id", "page", F.concat(

@@ -205,3 +205,23 @@ def test_groups_of_small_files_are_not_broadcast(spark):
     got = join_groups(stage(rows, "rows"), rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")), ["k"])
     assert got.count() == 3000
     assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_columns_that_only_order_rows_do_not_go_on(spark):
+    rows = skewed(400)
+    df = spark.createDataFrame(rows, "k string, i long, v long")
+    out = running(df, ["k"], [F.col("v").desc(), F.col("i")], kept=["k", "i"])
+    assert out.columns == ["k", "i", "position"]
+    whole = running(df, ["k"], [F.col("v").desc(), F.col("i")]).select("k", "i", "position")
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_pages_with_the_smallest_number_are_not_joined(spark):
+    from benefica.sources import statements
+
+    page = lambda s, n, refs: (s, f":20:X\n:28C:1/{n}\n" + "\n".join(f":61:2401010101D5,00NTRF{r}//B{r}\n:86:T {r}" for r in refs) + "\n:62F:C")
+    texts = [page("a", 1, "pq"), page("a", 3, "s"), page("a", 2, "r"), page("b", 2, "tu"), page("c", 1, "v")]
+    got = statements.transactions(spark.createDataFrame(texts, "statement_id string, text string"))
+    assert sorted((r.statement_id, r.entry_sequence, r.reconciliation_id) for r in got.collect()) == [
+        ("a", 1, "p"), ("a", 2, "q"), ("a", 3, "r"), ("a", 4, "s"), ("b", 1, "t"), ("b", 2, "u"), ("c", 1, "v")]
+    assert "Union" in got._jdf.queryExecution().optimizedPlan().toString()  # only later pages reach the join
