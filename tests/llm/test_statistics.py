@@ -4,6 +4,7 @@ import math
 import random
 import re
 import struct
+import tracemalloc
 from collections import Counter, defaultdict
 from fractions import Fraction
 
@@ -246,3 +247,17 @@ def test_chunk_ids_are_the_ids_of_whole_texts():
     ids, at = ids_of(np.frombuffer(b"".join(data), np.uint8), starts)
     for t, a, b in zip(texts, at, at[1:]):
         assert ids[a:b].tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_a_shard_of_phrases_becomes_a_trie_in_little_memory():
+    """The driver builds the trie of a shard: beside the trie itself it holds less than 200 bytes a phrase."""
+    rng = np.random.default_rng(0)
+    p = 1 / np.arange(1, 20_001)
+    codes = np.unique(rng.integers(1, 1 << 63, 20_000, dtype=np.uint64)[rng.choice(20_000, size=(120_000, 3), p=p / p.sum())], axis=0)
+    tracemalloc.start()
+    built = collocations.PhraseTrie(codes)
+    own, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert (peak - own) / len(codes) < 200
+    text = np.column_stack([codes[:500], np.zeros(500, np.uint64)]).ravel()
+    assert (built.count(text)[:500] == 1).all()
