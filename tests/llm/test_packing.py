@@ -10,6 +10,7 @@ from public_tokenizers import path
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from benefica.llm import stages
 from benefica.llm import packing, queries
 from benefica.llm.common import stage
 
@@ -105,3 +106,16 @@ def test_query_digests(spark):
     rows = queries.op7_best_fit_packing(spark, "/root/testdata/sf0.001").collect()
     assert all(r.ids_crc32 >= 0 for r in rows) and zlib.crc32(b"") == 0
     assert set(queries.SQL) <= set(queries.QUERIES)
+
+
+def test_stages_hand_python_few_texts_at_a_time(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    largest = lambda: spark.range(5000, numPartitions=1).mapInPandas(lambda parts: (p.assign(id=len(p)) for p in parts), "id long").agg({"id": "max"}).first()[0]
+    try:
+        for given, most in (("10000", stages.ROWS), ("300", 300), ("0", stages.ROWS)):
+            spark.conf.set(name, given)
+            stages.short_batches(spark)
+            assert largest() == most
+    finally:
+        spark.conf.set(name, before)
