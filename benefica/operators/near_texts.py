@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from benefica.functions.text import similarity, trigrams
-from benefica.scale import join_groups, stage
+from benefica.scale import dealt, join_groups, stage
 
 LIST = 4096  # texts of one block of a trigram's list
 BANDS, ROWS = 30, 5  # a pair at 0.8 shares one of the bands with probability 0.99999, one at 0.5 with 0.61
@@ -75,7 +76,7 @@ def candidate_pairs(grams: DataFrame, least: float) -> DataFrame:
 # --- long texts -----------------------------------------------------------------------------------------------
 
 def run_sets(texts: DataFrame, key: str, name: str, size: int) -> DataFrame:
-    """(key, hashes): sorted hashes of the distinct runs of ``size`` lower-case words; a shorter text is one run, one without words is left out."""
+    """(key, hashes, digest): sorted hashes of the distinct runs of ``size`` lower-case words and their SHA-256; a shorter text is one run, one without words is left out."""
 
     def hash_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,25 +87,24 @@ def run_sets(texts: DataFrame, key: str, name: str, size: int) -> DataFrame:
                     runs = {xxhash.xxh64_intdigest(b" ".join(words[k:k + size])) for k in range(max(1, len(words) - size + 1))}
                     keep.append(i)
                     out.append(np.sort(np.fromiter(runs, np.uint64, len(runs)).view(np.int64)))
-            yield pa.RecordBatch.from_pydict({"key": batch.column("key").take(pa.array(keep, pa.int64())), "hashes": pa.array(out, pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"key": batch.column("key").take(pa.array(keep, pa.int64())), "hashes": pa.array(out, pa.list_(pa.int64())),
+                                              "digest": pa.array([hashlib.sha256(h.tobytes()).digest() for h in out], pa.binary())})
 
     kind = texts.schema[key].dataType.simpleString()
-    return texts.select(F.col(key).alias("key"), F.col(name).alias("text")).mapInArrow(hash_runs, f"key {kind}, hashes array<long>")
+    return texts.select(F.col(key).alias("key"), F.col(name).alias("text")).mapInArrow(hash_runs, f"key {kind}, hashes array<long>, digest binary")
 
 
 def minhash_bands(sets: DataFrame, bands: int = BANDS, rows: int = ROWS, seed: int = 1) -> DataFrame:
-    """(id, band, key): for each band of each set (id, hashes) one hash of its smallest hashes under ``rows`` permutations."""
+    """(key, digest, bands): for each set (key, hashes, digest) and band one hash of its smallest hashes under ``rows`` permutations."""
     rng = np.random.default_rng(seed)
     a = rng.integers(1, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     b = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets_, ids, out = batch.column("hashes"), [], []
+            sets_, out = batch.column("hashes"), []
             for i in range(len(sets_)):
                 h = sets_[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
-                if not len(h):
-                    continue
                 least = np.full(bands * rows, np.iinfo(np.uint64).max)
                 for lo in range(0, len(h), 4096):  # bounded, however long the text
                     x = h[lo:lo + 4096, None] * a + b
@@ -114,14 +114,10 @@ def minhash_bands(sets: DataFrame, bands: int = BANDS, rows: int = ROWS, seed: i
                 for r in least.reshape(bands, rows).T:
                     key = (key ^ r) * np.uint64(0xC2B2AE3D27D4EB4F)
                     key ^= key >> np.uint64(29)
-                ids.append(i)
                 out.append(key.view(np.int64))
-            n = len(ids)
-            yield pa.RecordBatch.from_pydict({
-                "id": batch.column("id").take(pa.array(np.repeat(np.array(ids, np.int64), bands))), "band": pa.array(np.tile(np.arange(bands, dtype=np.int32), n)),
-                "key": pa.array(np.concatenate(out) if n else np.zeros(0, np.int64))})
+            yield pa.RecordBatch.from_pydict({"key": batch.column("key"), "digest": batch.column("digest"), "bands": pa.array(out, pa.list_(pa.int64()))})
 
-    return sets.select("id", "hashes").mapInArrow(sketch, f"id {sets.schema['id'].dataType.simpleString()}, band int, key long")
+    return sets.select("key", "hashes", "digest").mapInArrow(sketch, f"key {sets.schema['key'].dataType.simpleString()}, digest binary, bands array<long>")
 
 
 def similar_long_texts(texts: DataFrame, key: str, name: str, least: float = 0.8, size: int = 5, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
@@ -131,14 +127,19 @@ def similar_long_texts(texts: DataFrame, key: str, name: str, least: float = 0.8
     share of common runs decides.  Bands miss a pair at 0.8 about once in 10^5; rows without words are in no pair.
     """
     sets = stage(run_sets(texts, key, name, size), "sets")
-    classes = stage(sets.groupBy("hashes").agg(F.min("key").alias("id")), "classes")
-    members = join_groups(sets.select("key", F.xxhash64("hashes").alias("h"), "hashes"), classes.select(F.xxhash64("hashes").alias("h"), "hashes", "id"), ["h", "hashes"]).select("key", "id")
-    keys = stage(minhash_bands(classes, bands, rows), "bands")
+    # Sets are known by their digests; the hashes themselves are only moved to compare those that bands propose.
+    classes = stage(minhash_bands(sets, bands, rows).groupBy("digest").agg(F.min("key").alias("id"), F.any_value("bands").alias("bands")), "classes")
+    members = sets.select("key", "digest").join(dealt(classes.select("digest", "id")), "digest").select("key", "id")
+    keys = stage(classes.select("id", F.posexplode("bands").alias("band", "key")), "bands")
     lists = keys.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / LIST).cast("int")).drop("n")
     index = stage(join_groups(keys, lists, ["band", "key"]), "index")
     a = index.select(F.col("id").alias("a"), "band", "key", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
     b = index.select(F.col("id").alias("b"), "band", "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     met = a.join(b, ["band", "key", "block"]).where("a < b").select("a", "b").distinct()
-    near = met.join(classes.select(F.col("id").alias("a"), F.col("hashes").alias("_ha")), "a").join(
-        classes.select(F.col("id").alias("b"), F.col("hashes").alias("_hb")), "b").select("a", "b", similarity(F.col("_ha"), F.col("_hb")).alias("similarity"))
+    met = stage(met, "met")
+    named = met.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(dealt(classes.select("id", "digest")), "id")
+    # One row per class that is in a pair: equal rows of the table would repeat it.
+    held = stage(sets.join(named, (F.col("key") == F.col("id")) & (sets["digest"] == named["digest"]), "left_semi").dropDuplicates(["key", "digest"]).select("key", "hashes"), "held")
+    near = met.join(held.select(F.col("key").alias("a"), F.col("hashes").alias("_ha")), "a").join(
+        held.select(F.col("key").alias("b"), F.col("hashes").alias("_hb")), "b").select("a", "b", similarity(F.col("_ha"), F.col("_hb")).alias("similarity"))
     return near.where(F.col("similarity") >= least - 1e-12), members

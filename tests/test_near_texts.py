@@ -74,3 +74,13 @@ def test_no_long_texts(spark):
     df = spark.createDataFrame([(1, None), (2, " \n")], "doc int, text string")
     near, members = near_texts.similar_long_texts(df, "doc", "text")
     assert near.count() == 0 and members.count() == 0
+
+
+def test_long_sets_move_by_digest(spark):
+    """Hashes are never a key of a group or of a join: what is dealt for a text that is in no pair has a fixed size."""
+    texts = [" ".join(f"w{i}x{k}" for k in range(400)) for i in range(20)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, texts[0], texts[1] + " z", texts[0]])] + [(1, texts[1])], "doc int, text string")
+    assert "digest" in near_texts.run_sets(df, "doc", "text", 5).columns
+    near, members = near_texts.similar_long_texts(df, "doc", "text")
+    assert [(r.a, r.b) for r in near.collect()] == [(1, 21)]
+    assert sorted((r.key, r.id) for r in members.collect()) == sorted([(i, i) for i in range(20)] + [(1, 1), (20, 0), (21, 21), (22, 0)])
