@@ -6,13 +6,14 @@ visiting already go on to both sides, so every pair within the radius meets once
 decides where the shards are cut; every fingerprint is indexed.  Those that live in a shard and those that visit it are
 cut into blocks of bounded size, and two blocks meet in a group of their own, where the tree goes on in numpy.
 
-With a similarity the fingerprints and sketches only propose pairs; the whole sets of shingles decide.
+With a similarity the fingerprints and sketches only tell which documents of a block may have a similar one there; these
+meet once more with their whole sets of shingles, which decide.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,8 @@ SAMPLE_ROWS = 32768
 LEAF_ROWS = 256
 BINS = 512
 SIGMAS = 5  # standard errors that the sketches of a pair may fall short
-ASKED = 4  # pairs that a fingerprint proposes in a group in the first round; eight times as many in each further round
+ASKED = 4  # pairs of a fingerprint that are looked at first; eight times as many in each further step
+SET_HASHES = 1 << 21  # shingle hashes of those that live in a group, or visit it, where whole sets are compared
 
 
 def bit_majority(hashes: np.ndarray) -> int:
@@ -95,12 +97,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, hashes) of all rows: the distinct shingle hashes in order."""
-    @F.pandas_udf("array<long>")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in texts], dtype=object)
+    """(id, whole, hashes) of all rows: the distinct shingle hashes in order, 8 bytes each, and the 128-bit hash of them all."""
+    @F.pandas_udf("whole binary, hashes binary")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        sets = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in texts]
+        return pd.DataFrame({"whole": pd.Series([xxhash.xxh3_128_digest(x) for x in sets], dtype=object), "hashes": pd.Series(sets, dtype=object)})
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), of(F.col(text_col).cast("string")).alias("hashes"))
+    return docs.select(F.col(id_col).cast("long").alias("id"), of(F.col(text_col).cast("string")).alias("s")).select("id", "s.*")
 
 
 def _distances(fps: np.ndarray, pivot: np.uint64) -> np.ndarray:
@@ -211,52 +214,65 @@ def likely(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, simil
     return ((a == b) & (a > 0)).sum(axis=1) / used >= similarity - slack
 
 
-def proposals(rows: pd.DataFrame, radius: int, similarity: float, most: int) -> pd.DataFrame:
-    """Pairs (a, b) of ``first`` to be decided by their sets, and (a, null) where a document has pairs that were not looked at.
+def possible(rows: pd.DataFrame, radius: int, similarity: float) -> pd.DataFrame:
+    """The rows of a group that have a pair which their sketches leave possible: at most all of them, however many pairs there are.
 
-    A document stops once ``most`` of its pairs are proposed.  Pairs of one label are linked already.
+    Pairs of two rows that are known to have one say nothing new and are not looked at, so a large group is soon through.
     """
     rows = rows.sort_values("first", kind="stable")
-    fps, first, label = rows["fp"].to_numpy(np.int64).view(np.uint64), rows["first"].to_numpy(np.int64), rows["label"].to_numpy(np.int64)
-    n, sketches = rows["n"].to_numpy(np.float64), np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, BINS)
-    turn = (first.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64)
-    proposed, more, found = np.zeros(len(fps), np.int64), np.zeros(len(fps), bool), []
+    fps, first, n = rows["fp"].to_numpy(np.int64).view(np.uint64), rows["first"].to_numpy(np.int64), rows["n"].to_numpy(np.float64)
+    sketches, known = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, BINS), np.zeros(len(fps), bool)
     for a, b in links_within(fps, rows["home"].to_numpy(bool), radius, rows["ask"].to_numpy(bool)):
-        apart = (label[a] != label[b]) & (np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-6)
+        apart = (first[a] != first[b]) & (np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-6) & ~(known[a] & known[b])
         a, b = a[apart], b[apart]
         if not len(a):
             continue
         count = np.bincount(a, minlength=len(fps))
-        # Each document begins elsewhere in its list, so that those of a large group do not all name the same few.
-        rank = (np.arange(len(a)) - (np.cumsum(count) - count)[a] + turn[a]) % count[a]
-        low, high = 0, 2 * most
+        rank = np.arange(len(a)) - (np.cumsum(count) - count)[a]
+        low, high = 0, ASKED
         while low <= rank.max():
-            full = proposed[a] >= most
-            more[a[full & (rank >= low)]] = True
-            now = np.flatnonzero((rank >= low) & (rank < high) & ~full)
+            now = np.flatnonzero((rank >= low) & (rank < high) & ~(known[a] & known[b]))
             for at in range(0, len(now), 8192):
                 s, t = a[now[at:at + 8192]], b[now[at:at + 8192]]
+                new = ~(known[s] & known[t])
+                s, t = s[new], t[new]
                 near = likely(sketches[s], sketches[t], n[s], n[t], similarity)
-                np.add.at(proposed, s[near], 1)
-                found.append((first[s[near]], first[t[near]]))
+                known[s[near]] = known[t[near]] = True
             low, high = high, 8 * high
-    left = first[more]
-    a = np.concatenate([x for x, _ in found] + [left])
-    b = np.concatenate([x for _, x in found] + [np.zeros(len(left), np.int64)])
-    return pd.DataFrame({"a": a, "b": pd.Series(b, dtype="Int64").mask(np.arange(len(b)) >= len(b) - len(left))})
+    return rows.loc[known, ["ring", "shard", "cell", "fp", "first", "home", "ask", "n", "whole"]]
 
 
-def alike(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
-    """The pairs (a, b) of ids whose sets of shingles have at least that Jaccard similarity; sets are made for the ids named only."""
-    pairs = stage(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "pairs")
-    named = stage(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "named")
-    sets = stage(sets_of(named).distinct(), "sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    out = stage(both.where(common / (F.size("x") + F.size("y") - common) >= similarity).select("a", "b").distinct(), "alike")
-    for table in (pairs, named, sets):
-        drop_stage(table)
-    return out
+def alike(rows: pd.DataFrame, radius: int, similarity: float) -> pd.DataFrame:
+    """Links (a, b) of ``first`` that span the pairs of a group whose sets of shingles have at least that Jaccard similarity.
+
+    At most one link per row.  A document is compared with those that it is not linked to yet, all of them at once: its
+    shingles are marked, and the marks that each of the others hits are counted.
+    """
+    rows = rows.sort_values("first", kind="stable")
+    fps, first = rows["fp"].to_numpy(np.int64).view(np.uint64), rows["first"].to_numpy(np.int64)
+    n = np.array([len(h) // 8 for h in rows["hashes"]], np.int64)
+    starts = np.cumsum(n) - n
+    codes = np.unique(np.frombuffer(b"".join(rows["hashes"]), np.uint64), return_inverse=True)[1]
+    marks, labels = np.zeros(len(codes) + 1, bool), np.arange(len(fps))
+    for a, b in links_within(fps, rows["home"].to_numpy(bool), radius, rows["ask"].to_numpy(bool)):
+        fit = (np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-6) & (n[b] > 0)
+        a, b = a[fit], b[fit]
+        edges = np.flatnonzero(np.diff(a, prepend=-1, append=-1)) if len(a) else np.zeros(0, np.int64)
+        for x, y in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            one, others = a[x], b[x:y]
+            others = others[labels[others] != labels[one]]
+            if not len(others):
+                continue
+            own = codes[starts[one]:starts[one] + n[one]]
+            marks[own] = True
+            at = np.cumsum(n[others]) - n[others]
+            hit = marks[codes[np.repeat(starts[others] - at, n[others]) + np.arange(n[others].sum())]]
+            marks[own] = False
+            common = np.add.reduceat(hit, at, dtype=np.int64)
+            near = others[common / (n[one] + n[others] - common) >= similarity]
+            labels = merge_labels(labels, np.full(len(near), one), near)
+    linked = labels != np.arange(len(fps))
+    return pd.DataFrame({"a": first[linked], "b": first[labels[linked]]})
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2,
@@ -268,9 +284,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     so the trees are first cut into rings of like size, and a document visits its own ring and the one below.
 
     Equal fingerprints (and sets) are merged first, so a group of copies is one entry however large it is.  Without
-    ``similarity`` shards return spanning links, at most one per visiting fingerprint, never pairs.  With it they propose a
-    few pairs per visiting document, the sets decide, and documents with pairs left go on with larger rounds; pairs that are
-    linked by then need no decision.  It ends when no pair is left.  Ids name documents: rows that repeat an id share
+    ``similarity`` shards return spanning links, at most one per visiting fingerprint, never pairs.  With it they first name
+    the documents that may have a similar one there; only these meet again, in blocks of bounded size, with their sets, and
+    each block returns spanning links, never pairs.  Ids name documents: rows that repeat an id share
     its component.  A row with a null id keeps its fingerprint, links nothing and has a null component_id.  An empty
     table gives no rows; other columns are not read.
     """
@@ -284,7 +300,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     part = min(1.0, max(sample_rows, 64 << depth) / max(1, sizes[1] or 0))
     sample = distinct.where(F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(1_000_000).cast("long")) < math.ceil(part * 1_000_000)).select("fp") if depth else None
     tree = build_tree(sample.toArrow()["fp"].to_numpy().astype(np.int64).view(np.uint64) if depth else np.zeros(0, np.uint64), depth)
-    columns = {"n": "long", "sketch": "binary", "label": "long"} if similarity else {}
+    columns = {"n": "long", "whole": "binary", "sketch": "binary"} if similarity else {}
 
     def places(rows: pd.DataFrame) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(ring, shard, positions, whether each one lives there)"""
@@ -324,36 +340,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         linked = labels != np.arange(len(fps))
         return pd.DataFrame({"a": first[linked], "b": first[labels[linked]]})
 
-    def proposer(most: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-        return lambda rows: proposals(rows, radius, similarity, most)
-
     form = "ring int, shard int, cell int, fp long, first long, home boolean, ask boolean" + "".join(f", {c} {t}" for c, t in columns.items())
+    asking = distinct.withColumn("ask", F.lit(True))
+    place = ["ring", "shard", "cell"]
     if similarity:
-        def sets_of(named: DataFrame) -> DataFrame:
-            rows = docs.select(F.col(id_col), F.col(text_col)).where(F.col(id_col).isNotNull())
-            return shingle_sets(rows.join(named.select(F.col("id").alias(id_col)), id_col, "left_semi"), id_col, text_col, shingle)
-
-        asking, most, links, old = distinct.withColumns({"label": F.col("first"), "ask": F.lit(True)}), ASKED, None, []
-        while True:
-            groups = asking.mapInPandas(deal, form).groupBy("ring", "shard", "cell")
-            said = stage(groups.applyInPandas(proposer(most), "a long, b long"), "proposals")
-            for table in old:
-                drop_stage(table)
-            new = alike(said.where("b IS NOT NULL"), sets_of, similarity)
-            links = new if links is None else links.unionByName(new)
-            parts = stage(connected_components(links).select(F.col("node").alias("first"), F.col("component_id").alias("part")), "parts")
-            left = stage(said.where("b IS NULL").select(F.col("a").alias("first")).distinct().withColumn("more", F.lit(True)), "left")
-            rings = {x for r in distinct.join(left, "first", "left_semi").select("ring").distinct().collect() for x in (r["ring"], r["ring"] - 1)}
-            drop_stage(said)
-            if not rings:
-                break
-            old = [parts, left]
-            most *= 8
-            asking = distinct.where(F.col("ring").isin(*rings)).join(parts, "first", "left").join(left, "first", "left").select(
-                *distinct.columns, F.coalesce("part", "first").alias("label"), F.coalesce("more", F.lit(False)).alias("ask"))
+        kept = form.removesuffix(", sketch binary")
+        near = stage(asking.mapInPandas(deal, form).groupBy(*place).applyInPandas(
+            lambda rows: possible(rows, radius, similarity), kept), "possible")
+        large = near.groupBy(*place).agg(*[F.coalesce(F.sum(F.when(F.col(c), F.col("n"))), F.lit(0)).alias(c) for c in ("home", "ask")]).where(
+            F.greatest("home", "ask") > SET_HASHES).collect()
+        blocks = {tuple(r[c] for c in place): tuple(max(1, -(-r[c] // SET_HASHES)) for c in ("home", "ask")) for r in large}
+
+        def cut_by_size(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for rows in parts:
+                salt = (rows["fp"].to_numpy(np.int64) ^ rows["first"].to_numpy(np.int64)).view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(32)
+                for group, at in rows.groupby(place, sort=False).indices.items():
+                    mine = rows.iloc[at]
+                    for block, some, here, there in cells(mine["home"].to_numpy(bool), mine["ask"].to_numpy(bool), salt[at], *blocks.get(tuple(map(int, group)), (1, 1))):
+                        yield mine.iloc[some].assign(home=here, ask=there, block=np.int32(block))
+
+        named = stage(near.select(F.col("first").alias(id_col)).distinct(), "named")
+        texts = docs.select(F.col(id_col), F.col(text_col)).where(F.col(id_col).isNotNull()).join(named, id_col, "left_semi")
+        # Grouped by the keys of the join, so the sets are dealt once for both.
+        sets = shingle_sets(texts, id_col, text_col, shingle).groupBy(F.col("id").alias("first"), "whole").agg(F.any_value("hashes").alias("hashes"))
+        links = stage(near.mapInPandas(cut_by_size, f"{kept}, block int").join(sets, ["first", "whole"]).groupBy(*place, "block").applyInPandas(
+            lambda rows: alike(rows, radius, similarity), "a long, b long"), "alike")
+        for table in (near, named):
+            drop_stage(table)
     else:
-        links = distinct.withColumn("ask", F.lit(True)).mapInPandas(deal, form).groupBy("ring", "shard", "cell").applyInPandas(match, "a long, b long")
-        parts = connected_components(links).select(F.col("node").alias("first"), F.col("component_id").alias("part"))
+        links = asking.mapInPandas(deal, form).groupBy(*place).applyInPandas(match, "a long, b long")
+    parts = connected_components(links).select(F.col("node").alias("first"), F.col("component_id").alias("part"))
     classes = stage(distinct.join(parts, "first", "left").select(*key, F.coalesce("part", "first").alias("component_id")), "classes")
     drop_stage(distinct)
     return prints.join(classes, key, "left").select(

@@ -150,6 +150,33 @@ def test_similarity_in_large_groups_needs_more_rounds(spark, monkeypatch):
     assert found == components(range(len(rows)), linked)
 
 
+def test_large_groups_make_no_table_of_pairs(spark, monkeypatch):
+    sizes, stage = {}, simhash_dedup.stage
+
+    def counted(df, label="llm"):
+        out = stage(df, label)
+        sizes[label] = max(sizes.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(simhash_dedup, "stage", counted)
+    rng = random.Random(14)
+    base, rows = [f"b{i}" for i in range(160)], []
+    for _ in range(400):  # two of them have a similarity of about 0.7 to 0.9
+        ws = list(base)
+        for at in rng.sample(range(160), rng.randrange(1, 4)):
+            ws[at] = f"e{rng.randrange(10**6)}"
+        rows.append(" ".join(ws))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    run = lambda: {r.doc_id: r.component_id for r in simhash_dedup.near_duplicates(docs, shingle=5, radius=64, similarity=0.8).collect()}
+    found = run()
+    sets = [shingle_set(t) for t in rows]
+    linked = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    assert found == components(range(len(rows)), linked) and len(linked) > 5000
+    assert max(sizes.values()) <= 2 * len(rows)  # a document lives in one ring and visits another
+    monkeypatch.setattr(simhash_dedup, "SET_HASHES", 2000)
+    assert run() == found
+
+
 def test_repeated_lines_do_not_hide_a_similar_text(spark):
     rng, rows = random.Random(10), []
     for _ in range(8):
