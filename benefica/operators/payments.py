@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from benefica.functions.text import account_parts, blank_to_null
-from benefica.scale import chunked_lists, join_groups
+from benefica.scale import chunked_lists, join_groups, stage
 
 # --- id to account mapping ------------------------------------------------------------------------------------
 
@@ -34,33 +34,35 @@ def judge_mapping_requests(requests: DataFrame, mapping: DataFrame) -> DataFrame
     """Status of link, update and unlink requests against the stored mapping.
 
     Inside one run the first link of a new id (by reference) wins and the later
-    ones meet an id that exists.  The codes are fixed values.
+    ones meet an id that exists.  Requests without an id meet nothing, so however
+    many there are they are not gathered under one key.  The codes are fixed values.
     """
+    no_id = blank_to_null(F.col("id_value")).isNull()
     stored = mapping.select("id_value", F.col("fa_value").alias("_fa"), F.lit(True).alias("_stored"))
     first = requests.where("op = 'link' AND id_value <> '' AND fa_value <> ''").groupBy("id_value").agg(
         F.min("reference_id").alias("_first"))
-    r = requests.join(stored, "id_value", "left").join(first, "id_value", "left")
-    no_id = blank_to_null(F.col("id_value")).isNull()
+    r = requests.where(~no_id).join(stored, "id_value", "left").join(first, "id_value", "left")
     no_fa = blank_to_null(F.col("fa_value")).isNull()
     known = F.coalesce("_stored", F.lit(False))
     is_ = lambda op: F.col("op") == op
     reason = (
-        F.when(no_id, "rjct.id.invalid")
-        .when(~is_("unlink") & no_fa, "rjct.fa.invalid")
+        F.when(~is_("unlink") & no_fa, "rjct.fa.invalid")
         .when(is_("link") & (known | (F.col("reference_id") != F.col("_first"))), "rjct.reference_id.duplicate")
         .when(is_("update") & ~known, "rjct.reference_id.duplicate")
         .when(is_("unlink") & (~known | (~no_fa & (F.col("fa_value") != F.col("_fa")))), "rjct.id.invalid")
     )
-    return r.withColumn("reason", reason).withColumn(
+    met = r.withColumn("reason", reason).withColumn(
         "status", F.when(F.col("reason").isNull(), "succ").otherwise("rjct")).select(*requests.columns, "status", "reason")
+    return met.unionByName(requests.where(no_id).withColumns({"status": F.lit("rjct"), "reason": F.lit("rjct.id.invalid")}))
 
 
 def apply_mapping_requests(mapping: DataFrame, judged: DataFrame) -> DataFrame:
     """Mapping after the accepted requests: links added, given fields overwritten, unlinked ids gone.
 
-    Several accepted updates of one id: the last reference wins.
+    Several accepted updates of one id: the last reference wins.  The accepted
+    requests are written once, so they are judged once and not for each kind.
     """
-    ok = judged.where("status = 'succ'")
+    ok = stage(judged.where("status = 'succ'").select("reference_id", "op", "id_value", "fa_value", "name"), "accepted")
     unlinked = ok.where("op = 'unlink'").select("id_value").distinct()
     updates = ok.where("op = 'update'").groupBy("id_value").agg(
         F.max_by("fa_value", "reference_id").alias("_fa"),

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from benefica.operators import graph, validation
+from benefica.operators import graph, payments, validation
 from benefica.operators.sharing import other_owners
 from benefica.scale import chunked_lists, exact_quantiles, join_groups, running, stage
 
@@ -225,3 +225,16 @@ def test_pages_with_the_smallest_number_are_not_joined(spark):
     assert sorted((r.statement_id, r.entry_sequence, r.reconciliation_id) for r in got.collect()) == [
         ("a", 1, "p"), ("a", 2, "q"), ("a", 3, "r"), ("a", 4, "s"), ("b", 1, "t"), ("b", 2, "u"), ("c", 1, "v")]
     assert "Union" in got._jdf.queryExecution().optimizedPlan().toString()  # only later pages reach the join
+
+
+def test_mapping_requests_are_judged_once_and_blank_ids_meet_nothing(spark):
+    rows = [(f"r{i:03d}", op, who, "fa", None) for i, (op, who) in enumerate([("update", "a"), ("link", "n"), ("unlink", "b"), ("link", "n")] + [("link", ""), ("update", None)] * 40)]
+    requests = spark.createDataFrame(rows, "reference_id string, op string, id_value string, fa_value string, name string")
+    mapping = spark.createDataFrame([("a", "old", "A"), ("b", "fa", "B"), ("", "none", "C")], "id_value string, fa_value string, name string")
+    judged = payments.judge_mapping_requests(requests, mapping)
+    assert {r.reference_id: r.reason for r in judged.collect()} == {
+        r[0]: None if i < 3 else "rjct.reference_id.duplicate" if i == 3 else "rjct.id.invalid" for i, r in enumerate(rows)}
+    after = payments.apply_mapping_requests(mapping, judged)
+    assert {tuple(r) for r in after.collect()} == {("a", "fa", "A"), ("", "none", "C"), ("n", "fa", None)}
+    plan = after._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 3  # the mapping meets the updates, and both parts of the result the unlinked ids
