@@ -21,9 +21,10 @@ LABEL = f"""{BASE}, heavy AS (SELECT o_custkey AS partner_id FROM lineitem JOIN
 
 
 def labels(t):
-    large = F.count_if(F.col("l_quantity") > LARGE)
-    return t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("partner_id")).agg(
-        large.alias("large")).where(F.col("large") >= MANY).select("partner_id", F.lit(1).alias("is_fraud"))
+    """Beneficiaries with ``MANY`` or more large deliveries; only those are read on, and counted per order before they meet their owner."""
+    large = t.lineitem.where(F.col("l_quantity") > LARGE).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("large"))
+    return t.orders.select("o_orderkey", "o_custkey").join(large, "o_orderkey").groupBy(F.col("o_custkey").alias("partner_id")).agg(
+        F.sum("large").alias("large")).where(F.col("large") >= MANY).select("partner_id", F.lit(1).alias("is_fraud"))
 
 
 def people(t):

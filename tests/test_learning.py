@@ -86,3 +86,17 @@ def test_no_column_of_the_label_feeds_a_feature():
     assert "l_quantity" in plans.LABEL and not any("l_quantity" in DERIVED[name] for name in read)
     heavy = plans.LABEL[plans.LABEL.index("heavy AS"):plans.LABEL.index("labelled AS")]
     assert not any(c in heavy for c in ("l_extendedprice", "l_returnflag", "o_totalprice", "o_orderdate", "o_orderstatus", "o_orderpriority"))
+
+
+def test_labels_count_large_deliveries_before_they_meet_their_owner(spark):
+    from types import SimpleNamespace
+
+    from benefica.plans import learning as plans
+
+    rows = [(o, q) for o, n in ((1, 20), (2, 5), (3, 24), (4, 30)) for q in [26.0] * n + [25.0, 1.0, None] * 9]
+    t = SimpleNamespace(lineitem=spark.createDataFrame(rows, "l_orderkey long, l_quantity double"),
+                        orders=spark.createDataFrame([(1, 7), (2, 7), (3, 8), (4, 9), (5, 6)], "o_orderkey long, o_custkey long"))
+    found = plans.labels(t)
+    assert {tuple(r) for r in found.collect()} == {(7, 1), (9, 1)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_quantity" in plan and "Aggregate" in plan[plan.index("Join "):]
