@@ -25,6 +25,7 @@ from benefica.llm.common import stage
 SEQ_LEN = 4096
 END = 1
 KNOWN_WORDS = 300_000  # words a worker process remembers the ids of, about 70 MB
+ENCODED = 4096  # words that are encoded together as one text, whose tokens and offsets are held beside the ids
 
 
 # A word of Latin-1 letters with punctuation behind it: the letters are one unit before the merges, the marks are another.
@@ -34,8 +35,8 @@ PLAIN = re.compile("([a-zà-öø-ÿ]+)([,.;:!?]*)")
 class WordIds:
     """Ids of whole texts by a tokenizer that lower-cases and whose tokens cross neither white space nor the end of letters.
 
-    Words of plain letters are remembered, one entry for all their spellings, and new ones are encoded together as one text;
-    its ids are cut behind every token that ends a word.
+    Words of plain letters are remembered, one entry for all their spellings, and up to ``ENCODED`` new ones are encoded
+    together as one text; its ids are cut behind every token that ends a word.
     """
 
     def __init__(self, path: str):
@@ -80,8 +81,9 @@ class WordIds:
                 parts.append((w, None))
                 other.append(w)
         units = list({u for u, m in parts if m is not None and u not in letters})
-        if units:
-            letters.update(zip(units, self._encode_letters(units)))
+        for at in range(0, len(units), ENCODED):
+            some = units[at:at + ENCODED]
+            letters.update(zip(some, self._encode_letters(some)))
         marks = list({m for _, m in parts if m and m not in letters})
         letters.update(zip(marks, self._encode(marks)))
         rest = dict(zip(other, self._encode(other)))
@@ -112,20 +114,21 @@ def word_ids(path: str) -> WordIds:
     return _word_ids[path]
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", seq_len: int = SEQ_LEN) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", seq_len: int = SEQ_LEN,
+                 together: int = 512) -> DataFrame:
     """Pieces of at most ``seq_len`` tokens: id, piece, start, length, ids (little-endian unsigned 32-bit), part, nth.
 
     The ids of a text are followed by id 1; a null text is empty.  Only texts with more tokens are cut, every
     ``seq_len`` tokens.  ``nth`` counts the pieces of one length within the scan task ``part``; stage the result before
-    it is used twice.
+    it is used twice.  A worker holds the ids of ``together`` texts at a time; fewer need less memory, more look up fewer words.
     """
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids_of, seen = word_ids(tokenizer), np.zeros(seq_len + 1, np.int64)
         for rows in parts:
             keys, texts = rows["id"].tolist(), rows["text"].tolist()
-            for at in range(0, len(keys), 512):  # so few texts at a time hold their ids
+            for at in range(0, len(keys), together):
                 out = []
-                for key, ids in zip(keys[at:at + 512], ids_of(texts[at:at + 512])):
+                for key, ids in zip(keys[at:at + together], ids_of(texts[at:at + together])):
                     ids += END.to_bytes(4, "little")
                     for k, start in enumerate(range(0, len(ids) // 4, seq_len)):
                         some = ids[4 * start:4 * (start + seq_len)]

@@ -97,13 +97,18 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, whole, hashes) of all rows: the distinct shingle hashes in order, 8 bytes each, and the 128-bit hash of them all."""
+    """(id, whole, hashes) of all rows: the distinct shingle hashes in order, 8 bytes each, and the 128-bit hash of them all.
+
+    Declared as not deterministic, so that a filter on ``whole``, which any join on it brings, is not pushed below: it would
+    hash every text a second time, in a second Python worker of the same task.
+    """
     @F.pandas_udf("whole binary, hashes binary")
     def of(texts: pd.Series) -> pd.DataFrame:
         sets = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in texts]
         return pd.DataFrame({"whole": pd.Series([xxhash.xxh3_128_digest(x) for x in sets], dtype=object), "hashes": pd.Series(sets, dtype=object)})
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), of(F.col(text_col).cast("string")).alias("s")).select("id", "s.*")
+    once = of.asNondeterministic()
+    return docs.select(F.col(id_col).cast("long").alias("id"), once(F.col(text_col).cast("string")).alias("s")).select("id", "s.*")
 
 
 def _distances(fps: np.ndarray, pivot: np.uint64) -> np.ndarray:

@@ -187,6 +187,15 @@ def test_repeated_lines_do_not_hide_a_similar_text(spark):
     assert found == {i: i // 2 * 2 for i in range(len(rows))}
 
 
+def test_sets_of_a_text_are_hashed_once(spark):
+    docs = spark.createDataFrame([(1, "a b c d e"), (2, "a b c d f"), (3, None)], "doc_id long, text string")
+    sets = simhash_dedup.shingle_sets(docs, "doc_id", "text", 2)
+    named = sets.select("id", "whole").localCheckpoint()
+    joined = named.join(sets.groupBy("id", "whole").count(), ["id", "whole"])
+    assert joined._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1  # not once more for a filter on whole
+    assert sorted(joined.select("id", "count").collect()) == [(1, 1), (2, 1), (3, 1)]
+
+
 def test_blocks_of_a_shard_are_bounded_and_meet_once():
     rng = np.random.default_rng(12)
     home, ask, salt = rng.random(3000) < 0.5, rng.random(3000) < 0.9, rng.integers(0, 1 << 40, 3000, dtype=np.uint64)

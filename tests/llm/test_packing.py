@@ -102,6 +102,24 @@ def test_ids_of_words_are_the_ids_of_whole_texts():
     assert ids(odd) == [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in ids.tokenizer.encode_batch(odd, add_special_tokens=False)]
 
 
+def test_few_words_are_encoded_together(monkeypatch):
+    texts = [" ".join(f"{a}{b}lo{c}," for a in "klmn" for b in "aeiou" for c in "rst"), "Kalor lanos " * 9]
+    whole, sizes = packing.WordIds(TOKENIZER)(texts), []
+    monkeypatch.setattr(packing, "ENCODED", 7, raising=False)
+    ids = packing.WordIds(TOKENIZER)
+    encode = ids._encode_letters
+    ids._encode_letters = lambda units: (sizes.append(len(units)), encode(units))[1]
+    assert ids(texts) == whole
+    assert max(sizes) <= 7 and sum(sizes) > 50
+
+
+def test_together_changes_no_piece(spark, corpus):
+    def pieces(n):
+        return sorted(map(tuple, packing.token_pieces(corpus.where("doc_id IS NOT NULL"), TOKENIZER, seq_len=64, together=n).drop("nth", "part").collect()))
+
+    assert pieces(2) == pieces(512)
+
+
 def test_query_digests(spark):
     rows = queries.op7_best_fit_packing(spark, "/root/testdata/sf0.001").collect()
     assert all(r.ids_crc32 >= 0 for r in rows) and zlib.crc32(b"") == 0
