@@ -68,6 +68,30 @@ def test_collocations_of_nothing(spark, corpus, nothing):
     assert sorted(tuple(r) for r in collocations.collocations(corpus).collect()) == plain_collocations(rows, 10, 2000)
 
 
+def test_counters_and_rows_of_codes_stay_few_and_small(spark, monkeypatch):
+    """Counters of pairs come once from each task over codes, not from each partition of the texts; rows of codes have 64 KB."""
+    given, longest = [], []
+    reached, candidates = collocations.reached, collocations.candidates
+
+    def of_blocks(blocks, *more):
+        given.append(blocks.groupBy("block").count().agg({"count": "max"}).first()[0])
+        return reached(blocks, *more)
+
+    def of_codes(coded, *more):
+        longest.append(coded.selectExpr("max(length(codes))").first()[0])
+        return candidates(coded, *more)
+
+    monkeypatch.setattr(collocations, "reached", of_blocks)
+    monkeypatch.setattr(collocations, "candidates", of_codes)
+    rng = random.Random(5)
+    rows = [("en", "".join(rng.choice("abcdefghijklmnopqrst") + rng.choice([" "] * 9 + [". "]) for _ in range(20_000))) for _ in range(40)]
+    texts = spark.createDataFrame(rows, "lang string, text string").repartition(40)
+    assert sorted(tuple(r) for r in collocations.collocations(texts).collect()) == plain_collocations(rows, 10, 2000)
+    assert len(given) == len(longest) == 2
+    assert max(given) <= spark.sparkContext.defaultParallelism
+    assert max(longest) <= 1 << 17
+
+
 def test_scores_pass_64_bits(spark):
     big = 3_000_000_000
     words = spark.createDataFrame([(1, "en", 4 * big), (2, "en", 2 * big), (3, "en", 3 * big)], "h long, lang string, n long")
